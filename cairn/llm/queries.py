@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"), shards=24, slots=8192)
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import store_and_describe
+
+    return store_and_describe(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sp_codec import digests
 
