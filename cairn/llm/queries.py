@@ -25,6 +25,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), shards=24, slots=8192)
 
 
+def good_label():
+    from pyspark.sql import functions as F
+
+    return F.col("quality") == 1
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), good_label())
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import store_and_describe
 
