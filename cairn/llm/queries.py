@@ -43,6 +43,14 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_describe(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .lm_score import lm_score
+
+    return lm_score(table(spark, sf_dir, "documents"), F.col("lang") == "en")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sp_codec import digests
 
