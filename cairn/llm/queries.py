@@ -31,6 +31,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), shards=24, slots=8192)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar
+
+    return similar(spark, f"{sf_dir}/documents.parquet")
+
+
 def good_label():
     from pyspark.sql import functions as F
 
