@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, filesystem, shared_path, small_batches
 
 #: Rows a chunk.
-ROWS = 1024
+ROWS = 2048
 BLOCK = "slice int, file string, chunk long, block binary"
 NO_ID = 2**63 - 1
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))

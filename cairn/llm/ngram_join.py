@@ -401,10 +401,18 @@ def links(sets: DataFrame) -> DataFrame:
     """rep, partners, root over the ordered sets: partners counts documents of other classes."""
     with_tokens = sets.where("own and tokens is not null")
     posts = with_tokens.select("rep", "n", "rare", "tokens").mapInArrow(_postings, "token long, rep long, n long, at long")
-    lead = posts.groupBy("token").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).where("c > 1").drop("c")
-    posts = persist(posts.join(lead, "token"), "postings")
-    sizes = posts.groupBy("leader").agg(F.countDistinct("rep").alias("m"))
-    blocks = F.ceil(F.col("m") / F.lit(GROUP)).cast("int")
+    # room: what is left of a set behind the shingle; a pair passes if each one's room reaches 375 times the other's size
+    posts = posts.withColumn("room", F.lit(625) * F.col("n") - F.lit(1000) * F.col("at"))
+    lead = posts.groupBy("token").agg(
+        F.min("rep").alias("leader"), F.count("*").alias("c"), F.min("n").alias("n0"), F.sum("n").alias("ns"), F.max("n").alias("n1"), F.min("room").alias("r0"), F.sum("room").alias("rs"), F.max("room").alias("r1")
+    ).where("c > 1")
+    # the smallest size and the largest room among the others: exact among two or three, else among all
+    least = F.when((F.col("n") > F.col("n0")) | (F.col("c") > 3), F.col("n0")).when(F.col("c") == 2, F.col("n1")).otherwise(F.col("ns") - F.col("n0") - F.col("n1"))
+    widest = F.when((F.col("room") < F.col("r1")) | (F.col("c") > 3), F.col("r1")).when(F.col("c") == 2, F.col("r0")).otherwise(F.col("rs") - F.col("r0") - F.col("r1"))
+    may = (F.col("room") >= F.lit(375) * least) & (widest >= F.lit(375) * F.col("n"))
+    posts = persist(posts.join(lead, "token").where(may).select("leader", "token", "rep", "n", "at"), "postings")
+    sizes = posts.groupBy("leader").agg(F.approx_count_distinct("rep").alias("m"))  # decides on blocks only
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(GROUP))).cast("int")
     posts = posts.join(sizes.select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = posts.select("leader", "token", "rep", "n", "at", "block", other.alias("other"))
