@@ -45,7 +45,7 @@ def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
 
 
 _FROM, _TO, _MANY = _fold_tables()
-_LIGATURES = [("œ", "oe"), ("Œ", "oe"), ("æ", "ae"), ("Æ", "ae"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("™", "tm"), ("№", "no"), ("ĳ", "ij"), ("Ĳ", "ij")]
+_LIGATURES = [("œ", "oe"), ("Œ", "oe"), ("æ", "ae"), ("Æ", "ae"), ("ǣ", "ae"), ("Ǣ", "ae"), ("ǽ", "ae"), ("Ǽ", "ae"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("™", "tm"), ("№", "no"), ("ĳ", "ij"), ("Ĳ", "ij")]
 
 
 def fold_text(text: str | None) -> str:

@@ -17,7 +17,7 @@ from cairn.plans import oracle as O
 from cairn.plans.corpora import DOCUMENTS, PARTS, TURNS, corpus, table
 
 Query = Callable[[SparkSession, str], DataFrame]
-TWO, FIVE, THREE = "anea erin", "anea attion erin thanea thanedble", "ing und der"
+TWO, FIVE = "anea erin", "anea attion erin thanea thanedble"
 PHRASE = "red widget"
 
 D = O.index(DOCUMENTS, "documents", "doc_id", {"body": "text"})
@@ -220,13 +220,13 @@ register("rank_map", "SELECT 'p_retailprice_desc' AS replica, p_partkey AS doc,
 
 # -- dependencies ---------------------------------------------------------------
 
-_DEP = S.dependency_terms(T.tokenize_text("ere ion th"))
+_DEP = S.dependency_terms(T.tokenize_text("auf der die"))
 _CASE = "CASE term " + " ".join(f"WHEN '{t}' THEN {w!r}e0" for t, w in _DEP.items()) + " ELSE 0e0 END"
 register(
     "search_dependencies",
-    f"{C}, {_hits('ere ion th')}), head AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc) AS first FROM hits QUALIFY first <= 30), more AS (SELECT doc, sum(impact * {_CASE}) AS more FROM postings WHERE term IN ({O.quoted(list(_DEP))}) GROUP BY doc),"
+    f"{C}, {_hits('auf der die')}), head AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc) AS first FROM hits QUALIFY first <= 30), more AS (SELECT doc, sum(impact * {_CASE}) AS more FROM postings WHERE term IN ({O.quoted(list(_DEP))}) GROUP BY doc),"
     " raised AS (SELECT doc, round(score + coalesce(more, 0e0), 6) AS score, first FROM head LEFT JOIN more USING (doc)) " + O.page("score DESC, first, doc", 10, 0, "raised"),
-)(lambda s, d: _page(s, d, "turns", "ere ion th").withColumn("score", F.round(F.col("score").cast("double"), 6)))
+)(lambda s, d: _page(s, d, "turns", "auf der die").withColumn("score", F.round(F.col("score").cast("double"), 6)))
 
 # -- layout and bounds ------------------------------------------------------------
 
@@ -253,7 +253,7 @@ register("fold_and_stem", f"WITH src AS (SELECT doc_id AS doc, 0 AS f, text FROM
 register("query_expansion", f"WITH src AS (SELECT p_partkey AS doc, 0 AS f, p_name || ' ' || p_type AS text FROM part),{O.tokens('tok', 'src')}, b AS (SELECT doc, list(term ORDER BY pos) AS a FROM (SELECT doc, term, min(pos) AS pos FROM tok GROUP BY doc, term) GROUP BY doc) SELECT doc, array_to_string(list_distinct(a), ' ') IS NOT NULL AS ok, len(a) AS n_base, len(a) + greatest(len(a) - 1, 0) + greatest(len(a) - 2, 0) AS n_terms FROM b")(
     lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("doc"), T.tokens(F.concat_ws(" ", "p_name", "p_type"), unique=True).alias("a")).where(F.size("a") > 0).select("doc", F.lit(True).alias("ok"), F.size("a").cast("long").alias("n_base"), F.size(T.expanded(F.col("a"))).cast("long").alias("n_terms"))
 )
-register("number_values", "SELECT event_id, CAST(floor(value + 0.5e0) AS BIGINT) AS whole, value AS real, epoch_ms(ts) AS at FROM events")(
+register("number_values", "SELECT event_id, CAST(floor(value + 0.5e0) AS BIGINT) AS whole, value AS real, epoch_us(ts) // 1000 AS at FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", V.number(F.col("value"), "long").alias("whole"), V.number(F.col("value"), "double").alias("real"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
 )
 register("boolean_values", "SELECT doc_id, CASE WHEN quality = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END AS quality, CASE WHEN toxic = 1 THEN 2 WHEN toxic = 0 THEN 1 ELSE 0 END AS toxic FROM labels")(
