@@ -189,13 +189,13 @@ def ordered_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _postings(batches):
-    """token, rep, n, at: the prefix of each ordered set, but for shingles that it alone holds."""
-    kinds = ["token", "rep", "n", "at"]
+    """token, rep, place: the prefix of each ordered set, but for shingles that it alone holds. place: size and position in one."""
+    kinds = ["token", "rep", "place"]
     for batch in batches:
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[], [], []]
         for rep, n, rare, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             t = np.frombuffer(tokens, np.int64)[rare : prefix_length(n)]
-            for c, v in zip(cols, (t, np.full(len(t), rep), np.full(len(t), n), np.arange(rare, rare + len(t))), strict=True):
+            for c, v in zip(cols, (t, np.full(len(t), rep), (n << 31) + np.arange(rare, rare + len(t))), strict=True):
                 c.append(v)
         if cols[0]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], kinds)
@@ -243,11 +243,13 @@ def _survivors(table: pa.Table) -> pa.Table:
 class Trie:
     """Ordered sets as a radix tree of flat edge arrays, level by level."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None):
+        """sizes: of the whole sets, if `sets` leave out shingles that no other set holds."""
         big = [s.astype(">u8").tobytes() for s in sets]
         self.order = sorted(range(len(sets)), key=big.__getitem__)
         ordered = [sets[k] for k in self.order]
         size = np.array([len(s) for s in ordered])
+        whole = size if sizes is None else np.asarray(sizes)[self.order]
         common = np.zeros(len(ordered) + 1, np.int64)
         for k in range(1, len(ordered)):
             a, b = ordered[k - 1], ordered[k]
@@ -279,20 +281,21 @@ class Trie:
         self.tokens = np.concatenate([ordered[v][a:b] for v, a, b in zip(via.tolist(), start.tolist(), self.depth.tolist(), strict=True)]) if len(e) else np.empty(0, np.uint64)
         self.first = np.cumsum(self.length) - self.length
         self.last = self.tokens[self.first + self.length - 1] if len(e) else self.tokens
-        self.most = np.array([size[a:b].max() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
-        self.least = np.array([size[a:b].min() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        self.longest = np.array([size[a:b].max() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        self.most = np.array([whole[a:b].max() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+        self.least = np.array([whole[a:b].min() for a, b in zip(low.tolist(), high.tolist(), strict=True)])
         self.levels = [np.flatnonzero(self.level == k) for k in range(int(self.level.max()) + 1)] if len(e) else []
-        self.sizes = size
+        self.sizes = whole
         values, self.local = np.unique(self.tokens, return_inverse=True)
         self.values = values
         self.mask = np.zeros(len(values) + 1, bool)
 
-    def overlaps(self, x: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    def overlaps(self, x: np.ndarray, n: int | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
         """(positions in self.order, overlaps) of the sets that x may be similar to; the overlap of each is exact."""
         at = np.searchsorted(self.values, x)
         at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == x)]
         self.mask[at] = True
-        n = len(x)
+        n = len(x) if n is None else n
         over = np.full(len(self.parent) + 1, -1, np.int64)
         over[-1] = 0  # the root, as parent -1
         for level in self.levels:
@@ -304,7 +307,7 @@ class Trie:
             ends = np.cumsum(length)
             index = np.arange(ends[-1]) - np.repeat(ends - length - self.first[e], length)
             shared = over[self.parent[e]] + np.add.reduceat(self.mask[self.local[index]].astype(np.int64), ends - length)
-            rest = np.minimum(n - np.searchsorted(x, self.last[e], "right"), self.most[e] - self.depth[e])
+            rest = np.minimum(len(x) - np.searchsorted(x, self.last[e], "right"), self.longest[e] - self.depth[e])
             good = (100 + percent) * (shared + rest) >= percent * (n + self.least[e])
             over[e[good]] = shared[good]
         self.mask[at] = False
@@ -323,6 +326,7 @@ def _links(table: pa.Table) -> pa.Table:
     rep, mult, block = (table.column(c).to_numpy() for c in ("rep", "mult", "block"))
     sets = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
     ats = [np.frombuffer(b, np.int32) for b in table.column("ats").to_pylist()]
+    size, rare = table.column("n").to_numpy(), table.column("rare").to_numpy()
     m = len(sets)
     partners = np.zeros(m, np.int64)
     root = list(range(m))
@@ -337,7 +341,7 @@ def _links(table: pa.Table) -> pa.Table:
         if rep[a] == rep[b] or i != j and block[a] == block[b]:
             return
         both = np.intersect1d(sets[a], sets[b], assume_unique=True)
-        first = np.searchsorted(sets[a], both[0])
+        first = np.searchsorted(sets[a], both[0]) + rare[a]
         where = ats[a]
         k = np.searchsorted(where, first)
         if k < len(where) and where[k] == first:  # their first common shingle is led by this group
@@ -349,14 +353,14 @@ def _links(table: pa.Table) -> pa.Table:
 
     if m == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if 160 * both >= 60 * (len(sets[0]) + len(sets[1])):
+        if 160 * both >= 60 * (size[0] + size[1]):
             pair(0, 1)
     elif m:
-        trie = Trie(sets)
+        trie = Trie(sets, size)
         place = np.empty(m, np.int64)
         place[trie.order] = np.arange(m)
         for a in range(m):
-            for k in trie.overlaps(sets[a])[0].tolist():
+            for k in trie.overlaps(sets[a], int(size[a]))[0].tolist():
                 if k > place[a]:
                     pair(a, trie.order[k])
     at = np.flatnonzero(partners)
@@ -400,17 +404,17 @@ def components(edges: DataFrame, a: str, b: str, at_once: int = 1_000_000) -> Da
 def links(sets: DataFrame) -> DataFrame:
     """rep, partners, root over the ordered sets: partners counts documents of other classes."""
     with_tokens = sets.where("own and tokens is not null")
-    posts = with_tokens.select("rep", "n", "rare", "tokens").mapInArrow(_postings, "token long, rep long, n long, at long")
+    posts = with_tokens.select("rep", "n", "rare", "tokens").mapInArrow(_postings, "token long, rep long, place long")
     # room: what is left of a set behind the shingle; a pair passes if each one's room reaches 375 times the other's size
-    posts = posts.withColumn("room", F.lit(625) * F.col("n") - F.lit(1000) * F.col("at"))
-    lead = posts.groupBy("token").agg(
-        F.min("rep").alias("leader"), F.count("*").alias("c"), F.min("n").alias("n0"), F.sum("n").alias("ns"), F.max("n").alias("n1"), F.min("room").alias("r0"), F.sum("room").alias("rs"), F.max("room").alias("r1")
-    ).where("c > 1")
-    # the smallest size and the largest room among the others: exact among two or three, else among all
-    least = F.when((F.col("n") > F.col("n0")) | (F.col("c") > 3), F.col("n0")).when(F.col("c") == 2, F.col("n1")).otherwise(F.col("ns") - F.col("n0") - F.col("n1"))
-    widest = F.when((F.col("room") < F.col("r1")) | (F.col("c") > 3), F.col("r1")).when(F.col("c") == 2, F.col("r0")).otherwise(F.col("rs") - F.col("r0") - F.col("r1"))
-    may = (F.col("room") >= F.lit(375) * least) & (widest >= F.lit(375) * F.col("n"))
-    posts = persist(posts.join(lead, "token").where(may).select("leader", "token", "rep", "n", "at"), "postings")
+    size = lambda p: F.shiftright(p, 31)
+    room = lambda p: F.lit(625) * size(p) - F.lit(1000) * p.bitwiseAND(F.lit(2**31 - 1))
+    place = F.col("place")
+    lead = posts.groupBy("token").agg(F.min("rep").alias("leader"), F.count("*").alias("c"), F.min(size(place)).alias("least"), F.max(room(place)).alias("widest"), F.sum("place").alias("places")).where("c > 1")
+    other = F.col("places") - place  # of two holders, the other one's place
+    least = F.when(F.col("c") == 2, size(other)).otherwise(F.col("least"))
+    widest = F.when(F.col("c") == 2, room(other)).otherwise(F.col("widest"))
+    may = (room(place) >= F.lit(375) * least) & (widest >= F.lit(375) * size(place))
+    posts = persist(posts.join(lead, "token").where(may).select("leader", "token", "rep", size(place).alias("n"), place.bitwiseAND(F.lit(2**31 - 1)).alias("at")), "postings")
     sizes = posts.groupBy("leader").agg(F.approx_count_distinct("rep").alias("m"))  # decides on blocks only
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(GROUP))).cast("int")
     posts = posts.join(sizes.select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
@@ -418,7 +422,9 @@ def links(sets: DataFrame) -> DataFrame:
     tasks = posts.select("leader", "token", "rep", "n", "at", "block", other.alias("other"))
     tasks = tasks.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "token", "rep", "n", "at", "block")
     alive = tasks.groupBy("leader", "i", "j").applyInArrow(_survivors, "leader long, i int, j int, rep long, block int, ats binary")
-    shipped = alive.join(with_tokens.select("rep", "mult", "tokens"), "rep")
+    # shingles that a class alone holds can't be shared: the shortest part of the set that counts is shipped
+    sets_of = with_tokens.select("rep", "mult", "n", "rare", F.substring("tokens", F.col("rare") * 8 + 1, F.octet_length("tokens")).alias("tokens"))
+    shipped = alive.join(sets_of, "rep")
     return shipped.groupBy("leader", "i", "j").applyInArrow(_links, LINKS)
 
 
