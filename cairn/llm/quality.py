@@ -73,24 +73,25 @@ def labelled(labels: DataFrame, good, limit: int = SAMPLE) -> DataFrame:
 
 
 def _counts(docs: DataFrame, sample: dict[int, bool]):
-    """(raw counts, sample rows): one pass; each task adds up its own table of buckets before anything is shuffled."""
+    """kind 0: raw counts, 1: target counts, by bucket; 2 and 3: the table of a bad or good document of the sample. One
+    pass; each task adds up its own tables of buckets before anything is shuffled."""
 
     def run(batches):
-        raw = np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         held = []
         for batch in batches:
             _hashes.turn()
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 g = grams((text or b"").decode("utf-8"))
-                raw += np.bincount(g, minlength=BUCKETS)
+                counts = np.bincount(g, minlength=BUCKETS)
+                raw += counts
                 if doc in sample:
-                    held.append((doc, sample[doc], g))
-        at = np.flatnonzero(raw)
+                    target += counts if sample[doc] else 0
+                    b = np.flatnonzero(counts)
+                    held.append((sample[doc], np.stack([b, counts[b]]).astype("<u4").tobytes()))
         kinds = [("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())]
-        rows = [(0, int(b), int(n), None) for b, n in zip(at, raw[at], strict=True)]
-        for _, good, g in held:  # a labelled document's table, as (bucket, count) pairs
-            b, n = np.unique(g, return_counts=True)
-            rows.append((2 if good else 1, len(g), 1, np.stack([b, n]).astype("<u4").tobytes()))
+        rows = [(kind, int(b), int(n[b]), None) for kind, n in enumerate((raw, target)) for b in np.flatnonzero(n)]
+        rows += [(3 if good else 2, 0, 1, g) for good, g in held]
         for i in range(0, len(rows), 2000):
             part = rows[i : i + 2000]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], t) for j, (_, t) in enumerate(kinds)], [k for k, _ in kinds])
@@ -101,24 +102,18 @@ def _counts(docs: DataFrame, sample: dict[int, bool]):
 class Model:
     """Log ratio of every bucket, and the threshold of the scores."""
 
-    def __init__(self, raw: np.ndarray, sample: list[tuple[bool, np.ndarray]]):
-        target = np.zeros(BUCKETS)
-        for good, g in sample:
-            if good:
-                np.add.at(target, g[0], g[1])
+    def __init__(self, raw: np.ndarray, target: np.ndarray):
         self.ratio = np.zeros(BUCKETS)
+        self.threshold = -math.inf
         if target.sum() and raw.sum():
             p = (target + 0.5) / (target.sum() + 0.5 * BUCKETS)
             q = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
             self.ratio = np.log(p) - np.log(q)
-        self.threshold = self._split(sample) if target.sum() else -math.inf
-
-    def _split(self, sample) -> float:
-        """The threshold with fewest errors in the sample, an accepted bad document counting a quarter of a rejected good one."""
-        good = np.array([x for x, _ in sample], bool)
-        if good.all():
-            return -math.inf
-        score = np.array([self.score(int(g[1].sum()), float(self.ratio[g[0]] @ g[1])) for _, g in sample])
+
+    def split(self, good: np.ndarray, score: np.ndarray) -> None:
+        """Sets the threshold with fewest errors in the sample; an accepted bad document counts a quarter of a rejected good one."""
+        if not len(good) or good.all():
+            return
         order = np.argsort(score, kind="stable")
         s, y = score[order], good[order]
         lost = np.concatenate([[0], np.cumsum(y)])  # good ones under the cut
@@ -126,7 +121,7 @@ class Model:
         cost = lost + 0.25 * left
         best = np.flatnonzero(cost == cost.min())
         k = int(best[len(best) // 2])
-        return float(-math.inf if k == 0 else s[-1] + 1 if k == len(s) else (s[k - 1] + s[k]) / 2)
+        self.threshold = float(-math.inf if k == 0 else s[-1] + 1 if k == len(s) else (s[k - 1] + s[k]) / 2)
 
     @staticmethod
     def score(n: int, weight: float) -> float:
@@ -137,12 +132,25 @@ def fit(docs: DataFrame, labels: DataFrame, good, limit: int = SAMPLE) -> Model:
     sample = {r[0]: r[1] for r in labelled(labels, good, limit).collect()}  # at most `limit` rows
     small_batches(docs.sparkSession)
     found = persist(_counts(docs.selectExpr("cast(doc_id as long) doc_id", "text"), sample), "grams")
-    raw = np.zeros(BUCKETS)
-    for b, n in found.where("kind = 0").groupBy("bucket").agg(F.sum("n")).collect():  # at most BUCKETS rows
-        raw[b] = n
-    # a document of the sample may be repeated in the table; as many rows as the sample has enter
-    rows = found.where("kind > 0").orderBy(F.xxhash64("grams"), "kind").limit(limit).select("kind", "grams").collect()
-    return Model(raw, [(k == 2, np.frombuffer(g, "<u4").reshape(2, -1).astype(np.int64)) for k, g in rows])
+    tables = np.zeros((2, BUCKETS))
+    for kind, b, n in found.where("kind < 2").groupBy("kind", "bucket").agg(F.sum("n")).collect():  # at most 2 x BUCKETS rows
+        tables[kind, b] = n
+    model = Model(*tables)
+    ratio = model.ratio
+
+    def judge(batches):
+        for batch in batches:
+            out = []
+            for g in batch.column(1).to_pylist():
+                bucket, n = np.frombuffer(g, "<u4").reshape(2, -1).astype(np.int64)
+                out.append(Model.score(int(n.sum()), float(ratio[bucket] @ n)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["kind", "score"])
+
+    # a document of the sample may be repeated in the table: as many rows as the sample may have enter
+    rows = found.where("kind >= 2").select("kind", "grams").mapInArrow(judge, "kind int, score double").orderBy(F.xxhash64("score"), "score", "kind").limit(limit).collect()
+    if tables[1].sum():
+        model.split(np.array([r[0] == 3 for r in rows], bool), np.array([r[1] for r in rows], np.float64))
+    return model
 
 
 def gumbel(doc: int | None, text: bytes) -> float:

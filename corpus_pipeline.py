@@ -15,17 +15,24 @@ from cairn.llm.common import persist
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keep(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with these ids, and those without an id, which can't be told apart and pass unchanged."""
+    docs = docs.select(COLUMNS)
+    return docs.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS), docs.where("doc_id is null")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that importance resampling rejects."""
     judged = quality.classify(docs, queries.table(spark, sf_dir, "labels"), queries.good_label())
-    kept = judged.where("kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(kept, "doc_id", "left_semi").select(COLUMNS)
+    kept, rest = _keep(docs, judged.where("kept"))
+    return kept.unionByName(rest)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group that similarity links connect; those with the empty set all stay."""
+    """Keeps the smallest document of each group that similarity links connect; of rows that share an id one stays."""
     joined = ngram_join.similar(spark, docs)
-    return docs.select(COLUMNS).join(joined.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    kept, rest = _keep(docs, joined.where("doc_id = component_id"))
+    return kept.dropDuplicates(["doc_id"]).unionByName(rest)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
