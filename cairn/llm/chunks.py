@@ -26,29 +26,55 @@ NO_ID = 2**63 - 1
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-def written(docs: DataFrame | str, spark: SparkSession) -> str:
-    """The path of the table: a path as it is, a DataFrame after it has been written to the shared folder."""
+def written(docs: DataFrame | str, spark: SparkSession) -> list[str]:
+    """The paths of the table: a path as it is; those of a DataFrame that is nothing but a Parquet scan; any other DataFrame
+    is written to the shared folder first."""
     if isinstance(docs, str):
-        return docs
+        return [docs]
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        relation = plan.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat":
+            roots = relation.location().rootPaths()
+            return [roots.apply(i).toString() for i in range(roots.size())]
     path = shared_path(spark, "documents")
     docs.write.option("compression", "zstd").parquet(path)
-    return path
+    return [path]
 
 
-def rows_of(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, text, file, chunk of every row."""
+def rows_of(spark: SparkSession, paths: list[str], text: bool = True) -> DataFrame:
+    """doc_id, text, file, chunk, row of every row; without text if it isn't wanted."""
     small_batches(spark)
-    return spark.read.parquet(path).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.row_index") / F.lit(ROWS)).cast("long").alias("chunk"))
+    row = F.col("_metadata.row_index")
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), *([F.col("text")] if text else [])]
+    return spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(ROWS)).cast("long").alias("chunk"), row.alias("row"))
 
 
-def chunks_of(spark: SparkSession, path: str) -> DataFrame:
+def take(spark: SparkSession, paths: list[str], wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that `wanted` (file, chunk, row) names, some columns of them. Each chunk is read from its file: rows are
+    chosen without shuffling what they hold."""
+    from pyspark.sql.types import StructType
+
+    schema = spark.read.parquet(*paths).schema
+    schema = StructType([schema[c] for c in columns])
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = table.column("chunk")[0].as_py()
+        rows = read_chunk(table.column("file")[0].as_py(), chunk, columns)
+        keep = np.unique(table.column("row").to_numpy()) - chunk * ROWS
+        return rows.take(pa.array(keep)).select(columns)
+
+    return wanted.select("file", "chunk", "row").groupBy("file", "chunk").applyInArrow(run, schema)
+
+
+def chunks_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every chunk once, as an empty block; no column of the table is read."""
-    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.row_index") / F.lit(ROWS)).cast("long").alias("chunk"))
+    rows = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.row_index") / F.lit(ROWS)).cast("long").alias("chunk"))
     return rows.distinct().select(F.lit(-1).alias("slice"), "file", "chunk", F.lit(None).cast("binary").alias("block"))
 
 
-def read_chunk(file: str, chunk: int) -> pa.Table:
-    """The rows of a chunk, all columns."""
+def read_chunk(file: str, chunk: int, columns: list[str] | None = None) -> pa.Table:
+    """The rows of a chunk, all columns or some."""
     from urllib.parse import unquote
 
     fs, path = filesystem(unquote(file))
@@ -59,7 +85,7 @@ def read_chunk(file: str, chunk: int) -> pa.Table:
             n = table.metadata.row_group(g).num_rows
             if at < high and at + n > low:
                 seen = at
-                for batch in table.iter_batches(batch_size=ROWS, row_groups=[g]):
+                for batch in table.iter_batches(batch_size=ROWS, row_groups=[g], columns=columns):
                     a, b = max(low, seen) - seen, min(high, seen + len(batch)) - seen
                     if b > a:
                         parts.append(batch.slice(a, b - a))
@@ -68,6 +94,8 @@ def read_chunk(file: str, chunk: int) -> pa.Table:
                         break
             at += n
         schema = table.schema_arrow
+    if columns is not None:
+        schema = pa.schema([schema.field(c) for c in schema.names if c in columns])
     return pa.Table.from_batches(parts, schema)
 
 

@@ -143,7 +143,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 def _ordered(table: pa.Table) -> pa.Table:
     """Of one chunk with its answers: every row's class, and the ordered set of each class that may have a partner."""
-    rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py())
+    rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py(), ["doc_id", "text"])
     ids, sets, keys = _chunk_sets(*C.ids_and_texts(rows))
     freq_h, freq_n, owner = [], [], {}
     for b in table.column(3).to_pylist():
@@ -182,9 +182,9 @@ def _ordered(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in SETS.split(", ")])
 
 
-def ordered_sets(spark: SparkSession, path: str) -> DataFrame:
-    sent = C.rows_of(spark, path).mapInArrow(_blocks(C.slice_count(spark)), C.BLOCK)
-    every = C.chunks_of(spark, path).unionByName(sent.groupBy("slice").applyInArrow(_answer, C.BLOCK))
+def ordered_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    sent = C.rows_of(spark, paths).drop("row").mapInArrow(_blocks(C.slice_count(spark)), C.BLOCK)
+    every = C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_answer, C.BLOCK))
     return persist(every.groupBy("file", "chunk").applyInArrow(_ordered, SETS), "sets")
 
 

@@ -153,19 +153,19 @@ def removed_words(ids, texts: list[bytes], told: list[bytes], width: int) -> tup
     return w.words, out
 
 
-def _blocks(spark: SparkSession, path: str, width: int) -> DataFrame:
-    rows = C.rows_of(spark, path)
+def _blocks(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
+    rows = C.rows_of(spark, paths).drop("row")
     sent = rows.mapInArrow(_emit(width, C.slice_count(spark)), C.BLOCK)
-    return C.chunks_of(spark, path).unionByName(sent.groupBy("slice").applyInArrow(_answer, C.BLOCK))
+    return C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_answer, C.BLOCK))
 
 
 def _kept(words: list[bytes], gone: np.ndarray) -> bytes:
     return b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
 
 
-def _chunk(table: pa.Table, width: int):
+def _chunk(table: pa.Table, width: int, columns: list[str] | None = None):
     told = [b for b in table.column(3).to_pylist() if b]
-    rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py())
+    rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py(), columns)
     ids, texts = C.ids_and_texts(rows)
     return rows, *removed_words(ids, texts, told, width)
 
@@ -174,7 +174,7 @@ def digests(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> D
     """doc_id, n_words, n_removed, kept_sha256 of every row of a table (path) or DataFrame."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, words, gone = _chunk(table, width)
+        rows, words, gone = _chunk(table, width, ["doc_id", "text"])
         return pa.table(
             {
                 "doc_id": rows.column("doc_id").cast(pa.int64()),
@@ -189,8 +189,8 @@ def digests(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> D
 
 def remove(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> DataFrame:
     """The documents with the kept words as text, all other columns as they are, and `removed`: word intervals [from, to)."""
-    path = C.written(docs, spark)
-    schema = spark.read.parquet(path).schema
+    paths = C.written(docs, spark)
+    schema = spark.read.parquet(*paths).schema
     from pyspark.sql.types import ArrayType, LongType, StructType
 
     result = StructType([*schema.fields]).add("removed", ArrayType(ArrayType(LongType())))
@@ -206,4 +206,4 @@ def remove(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> Da
         rows = rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         return rows.append_column("removed", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
 
-    return _blocks(spark, path, width).groupBy("file", "chunk").applyInArrow(run, result)
+    return _blocks(spark, paths, width).groupBy("file", "chunk").applyInArrow(run, result)

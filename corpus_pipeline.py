@@ -9,30 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import ngram_join, packing, quality, queries, substring_dedup
+from cairn.llm import chunks, ngram_join, packing, quality, queries, substring_dedup
 from cairn.llm.common import persist
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with these ids, and those without an id, which can't be told apart and pass unchanged."""
-    docs = docs.select(COLUMNS)
-    return docs.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS), docs.where("doc_id is null")
+def _keep(spark: SparkSession, docs: DataFrame, ids: DataFrame, one: bool = False) -> DataFrame:
+    """The documents with these ids, of rows that share an id the first only if `one`; those without an id can't be told
+    apart and pass unchanged. The choice is made on row numbers; the documents aren't shuffled."""
+    paths = chunks.written(docs, spark)
+    rows = chunks.rows_of(spark, paths, text=False)
+    found = rows.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+    if one:
+        found = found.groupBy("doc_id").agg(F.min(F.struct("file", "row", "chunk")).alias("first")).select("doc_id", "first.*").select(rows.columns)
+    return chunks.take(spark, paths, found.unionByName(rows.where("doc_id is null")), COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that importance resampling rejects."""
     judged = quality.classify(docs, queries.table(spark, sf_dir, "labels"), queries.good_label())
-    kept, rest = _keep(docs, judged.where("kept"))
-    return kept.unionByName(rest)
+    return _keep(spark, docs, judged.where("kept"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group that similarity links connect; of rows that share an id one stays."""
+    """Keeps the smallest document of each group that similarity links connect."""
     joined = ngram_join.similar(spark, docs)
-    kept, rest = _keep(docs, joined.where("doc_id = component_id"))
-    return kept.dropDuplicates(["doc_id"]).unionByName(rest)
+    return _keep(spark, docs, joined.where("doc_id = component_id"), one=True)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
