@@ -78,9 +78,16 @@ def _counts(docs: DataFrame, sample: dict[int, bool]):
 
     def run(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        held = []
+        kinds = [("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())]
+
+        def emit(rows):
+            for i in range(0, len(rows), 2000):
+                part = rows[i : i + 2000]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], t) for j, (_, t) in enumerate(kinds)], [k for k, _ in kinds])
+
         for batch in batches:
             _hashes.turn()
+            held = []
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 g = grams((text or b"").decode("utf-8"))
                 counts = np.bincount(g, minlength=BUCKETS)
@@ -88,13 +95,9 @@ def _counts(docs: DataFrame, sample: dict[int, bool]):
                 if doc in sample:
                     target += counts if sample[doc] else 0
                     b = np.flatnonzero(counts)
-                    held.append((sample[doc], np.stack([b, counts[b]]).astype("<u4").tobytes()))
-        kinds = [("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())]
-        rows = [(kind, int(b), int(n[b]), None) for kind, n in enumerate((raw, target)) for b in np.flatnonzero(n)]
-        rows += [(3 if good else 2, 0, 1, g) for good, g in held]
-        for i in range(0, len(rows), 2000):
-            part = rows[i : i + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], t) for j, (_, t) in enumerate(kinds)], [k for k, _ in kinds])
+                    held.append((3 if sample[doc] else 2, 0, 1, np.stack([b, counts[b]]).astype("<u4").tobytes()))
+            yield from emit(held)
+        yield from emit([(kind, int(b), int(n[b]), None) for kind, n in enumerate((raw, target)) for b in np.flatnonzero(n)])
 
     return docs.mapInArrow(run, "kind int, bucket long, n long, grams binary")
 
