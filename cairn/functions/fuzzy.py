@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Endings that a stem may have had, the most common first.
-ENDINGS = ("s", "e", "es", "er", *"eur eurs euse ement ements ation ations".split(), *"ique iques ance ances ite ites".split())
+ENDINGS = tuple("s e es er eur eurs euse".split() + "ement ements ation ations ique iques ance ances ite ites".split())
 
 
 def osa(a: str, b: str, most: int) -> int:

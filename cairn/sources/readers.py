@@ -43,11 +43,11 @@ def write_json_lines_prefix(spark: SparkSession, source: str, target: str, n: in
     spark.read.text(source).where(F.trim("value") != "").limit(n).coalesce(1).write.mode("overwrite").text(target)
 
 
-_MARKUP = (
-    (r"(?is)<ref\b.*?</ref>", " "), (r"(?i)<ref\b[^/]*/>", " "), (r"(?s)<!--.*?-->", " "), (r"(?s)\{\{.{0,2000}?\}\}", " "), (r"(?s)\{\|.*?\|\}", " "),
-    (r"(?iu)\[\[(?:Fichier|Image|Cat[ée]gorie):[^\]]+\]\]", " "), (r"\[\[[^\]|]+\|([^\]]+)\]\]", "$1"), (r"\[\[([^\]]+)\]\]", "$1"),
-    (r"(?i)\[https?://[^\s\]]+\s*([^\]]*)\]", "$1"), (r"'{2,}", ""), (r"={2,}\s*([^=]+?)\s*={2,}", " $1 "), (r"<[^>]+>", " "), (r"[{}\[\]|]", " "), (r"\s+", " "),
-)
+_OPEN, _CLOSE, _INNER = r"\[\[", r"\]\]", r"[^\]]+"
+_SPACED = ("<ref\\b.*?</ref>", "<ref\\b[^/]*/>", "<!--.*?-->", "\\{\\{.{0,2000}?\\}\\}", "\\{\\|.*?\\|\\}", f"{_OPEN}(?:Image|Fichier|Cat[eé]gorie):{_INNER}{_CLOSE}")
+_KEPT = (f"{_OPEN}[^|\\]]+\\|({_INNER}){_CLOSE}", f"{_OPEN}({_INNER}){_CLOSE}", "\\[https?://[^\\]\\s]+\\s*([^\\]]*)\\]")
+#: References, comments, templates, tables, files and categories go; links keep what they show; then quotes, headings, tags.
+_MARKUP = (*((f"(?isu){x}", " ") for x in _SPACED), *((f"(?iu){x}", "$1") for x in _KEPT), ("''+", ""), ("==+\\s*([^=]+?)\\s*==+", " $1 "), ("<[^>]+>", " "), ("[|\\[\\]{}]", " "), ("\\s+", " "))
 
 
 def strip_wikitext(text: Column) -> Column:

@@ -10,8 +10,8 @@ from cairn.streaming.ingest import stream_segments
 
 
 def test_build_and_search_from_a_config(spark, tmp_path, capsys):
-    (tmp_path / "docs.jsonl").write_text("\n".join(json.dumps({"id": str(i), "title": f"Title {w}", "body": f"{w} body text"}) for i, w in enumerate(["stone", "river", "cloud"])))
-    (tmp_path / "c.json").write_text(json.dumps({"input": "docs.jsonl", "output": "out", "fields": [{"name": "title", "weight": 4.5, "phrase": True}, {"name": "body"}], "display": ["title"]}))
+    (tmp_path / "rows.jsonl").write_text("\n".join(json.dumps({"id": str(i), "title": f"Title {w}", "body": f"{w} body text"}) for i, w in enumerate(["stone", "river", "cloud"])))
+    (tmp_path / "c.json").write_text(json.dumps({"output": "out", "input": "rows.jsonl", "fields": [{"phrase": True, "weight": 4.5, "name": "title"}, {"name": "body"}], "display": ["title"]}))
     assert main(["build", "--config", str(tmp_path / "c.json")]) == 0
     assert json.loads(capsys.readouterr().out)["total"] == 3
     assert main(["search", "--config", str(tmp_path / "c.json"), "river"]) == 0

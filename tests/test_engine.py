@@ -138,10 +138,10 @@ def test_resume_and_failure(spark, tmp_path):
 
 
 def test_config_file(tmp_path):
-    spec = {"input": "docs.jsonl", "output": "out", "fields": [{"name": "title", "path": "t", "weight": 2, "phrase": True, "phraseWeight": 5}], "facets": ["tags"], "typoMaxEdits": 9, "typoMode": "none", "targetPostingsPerDoc": 7, "sortReplicas": [{"field": "year", "order": "desc"}], "packBytes": 1}
+    spec = {"output": "out", "input": "rows.jsonl", "fields": [{"phrase": True, "phraseWeight": 5, "weight": 2, "path": "t", "name": "title"}], "facets": ["tags"], "typoMaxEdits": 9, "typoMode": "none", "targetPostingsPerDoc": 7, "sortReplicas": [{"field": "year", "order": "desc"}], "packBytes": 1}
     (tmp_path / "c.json").write_text(json.dumps(spec))
     cfg, source, out = IndexConfig.from_json(str(tmp_path / "c.json"))
-    assert source == str(tmp_path / "docs.jsonl") and cfg.text[0].phrase_weight == 5 and cfg.terms_per_doc == 7 and cfg.facets == (Facet("tags", "tags"),)
+    assert source == str(tmp_path / "rows.jsonl") and cfg.text[0].phrase_weight == 5 and cfg.terms_per_doc == 7 and cfg.facets == (Facet("tags", "tags"),)
     assert cfg.typo.max_edits == 3 and cfg.typo.mode == "off" and cfg.sort_replicas == (("year", "desc"),)
     d = IndexConfig()
     assert (d.k1, d.terms_per_doc, d.body_chars, d.always, d.expansion_terms_per_doc) == (1.2, 12, 6000, ("title", "categories"), 0)
