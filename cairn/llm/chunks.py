@@ -96,7 +96,7 @@ def read_chunk(file: str, chunk: int, columns: list[str] | None = None) -> pa.Ta
         schema = table.schema_arrow
     if columns is not None:
         schema = pa.schema([schema.field(c) for c in schema.names if c in columns])
-    return pa.Table.from_batches(parts, schema)
+    return pa.Table.from_batches(parts, parts[0].schema if parts else schema)
 
 
 def ids_and_texts(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:

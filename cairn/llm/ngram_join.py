@@ -188,17 +188,150 @@ def ordered_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
     return persist(every.groupBy("file", "chunk").applyInArrow(_ordered, SETS), "sets")
 
 
-def _postings(batches):
-    """token, rep, place: the prefix of each ordered set, but for shingles that it alone holds. place: size and position in one."""
-    kinds = ["token", "rep", "place"]
-    for batch in batches:
-        cols: list[list] = [[], [], []]
-        for rep, n, rare, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            t = np.frombuffer(tokens, np.int64)[rare : prefix_length(n)]
-            for c, v in zip(cols, (t, np.full(len(t), rep), (n << 31) + np.arange(rare, rare + len(t))), strict=True):
-                c.append(v)
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], kinds)
+FAR = np.uint32(2**32 - 1)  # a size that no partner has
+NEVER = np.int64(-(2**62))
+
+
+def _postings(reps: list, sizes: list, rares: list, tokens: list) -> tuple[np.ndarray, ...]:
+    """key, rep, n, at of the prefixes of ordered sets, but for shingles that a set alone holds; ascending by key, which is
+    the shingle with its hash in front, so that keys spread evenly."""
+    t, who, n, at = [np.empty(0, np.uint64)], [], [], []
+    for rep, size, rare, data in zip(reps, sizes, rares, tokens, strict=True):
+        x = np.frombuffer(data, np.uint64)[rare : prefix_length(size)]
+        t.append(x)
+        who.append(np.full(len(x), rep, np.int64))
+        n.append(np.full(len(x), size, np.int64))
+        at.append(np.arange(rare, rare + len(x)))
+    x = np.concatenate(t)
+    x = x << np.uint64(16) | x >> np.uint64(48)
+    order = np.argsort(x, kind="stable")
+    join = lambda parts: np.concatenate(parts)[order] if parts else np.empty(0, np.int64)
+    return x[order], join(who), join(n), join(at)
+
+
+def _room(n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What is left of a set behind a shingle: a pair passes if each one's room reaches 375 times the other's size."""
+    return 625 * n - 1000 * at
+
+
+def _holders(key: np.ndarray, rep: np.ndarray, n: np.ndarray, room: np.ndarray):
+    """Of postings sorted by key: the start of each key, how many hold it, the smallest rep and size, the largest room."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    if not len(first):
+        return (first,) * 5
+    return first, np.diff(np.append(first, len(key))), np.minimum.reduceat(rep, first), np.minimum.reduceat(n, first), np.maximum.reduceat(room, first)
+
+
+def _pack_summary(key, rep, least, widest) -> bytes:
+    names, which = np.unique(rep, return_inverse=True)
+    head = C.pack([names.view(np.uint64)])
+    return len(head).to_bytes(4, "little") + head + C.pack([key, which.astype(np.uint32), least.astype(np.uint32), widest])
+
+
+def _unpack_summary(block: bytes):
+    n = int.from_bytes(block[:4], "little")
+    (names,) = C.unpack(block[4 : 4 + n], [np.uint64])
+    key, which, least, widest = C.unpack(block[4 + n :], [np.uint64, np.uint32, np.uint32, np.int64])
+    return key, names.view(np.int64)[which], least, widest
+
+
+def _holder_blocks(parts: int):
+    """Each chunk's holders of each shingle, summed up: a shingle is sent once a chunk, however many classes hold it."""
+
+    def flush(file, chunk, rows):
+        key, rep, n, at = _postings(*zip(*rows, strict=True))
+        first, _, low, least, widest = _holders(key, rep, n, _room(n, at))
+        key = key[first]
+        bounds = C.slices(key, parts)
+        out = [(p, file, chunk, _pack_summary(key[a:b], low[a:b], least[a:b], widest[a:b])) for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+        for i in range(0, len(out), 64):
+            yield C.block_batch(out[i : i + 64])
+
+    def run(batches):
+        at, rows = None, []
+        for batch in batches:
+            for *row, file, chunk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, chunk) != at:
+                    if rows:
+                        yield from flush(*at, rows)
+                    at, rows = (file, chunk), []
+                rows.append(row)
+        if rows:
+            yield from flush(*at, rows)
+
+    return run
+
+
+def _leaders(table: pa.Table) -> pa.Table:
+    """Of one slice, to each chunk, for shingles that other chunks hold too: the leader, and the others' smallest size and
+    largest room."""
+    files, chunk, blocks = (table.column(i).to_pylist() for i in (1, 2, 3))
+    keys = list(dict.fromkeys(zip(files, chunk, strict=True)))
+    number = {k: i for i, k in enumerate(keys)}
+    parts = [_unpack_summary(b) for b in blocks]
+    who = np.repeat([number[k] for k in zip(files, chunk, strict=True)], [len(p[0]) for p in parts])
+    key, low, least, widest = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = key[1:] == key[:-1]
+    shared = np.r_[False, same] | np.r_[same, False]
+    order, key = order[shared], key[shared]
+    low, least, widest, who = low[order], least[order], widest[order], who[order]
+    if len(key):
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        group = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+        leader = np.minimum.reduceat(low, first)[group]
+
+        def others(x: np.ndarray) -> np.ndarray:
+            """Of each the smallest among the rest of its group."""
+            by = np.lexsort((x, group))
+            one, two = x[by[first]], x[by[first + 1]]
+            mine = np.zeros(len(x), bool)
+            mine[by[first]] = True
+            return np.where(mine, two[group], one[group])
+
+        least, widest = others(least.astype(np.int64)), -others(-widest)
+    else:
+        leader = low
+    order = np.argsort(who, kind="stable")
+    key, leader, least, widest, who = key[order], leader[order], least[order], widest[order], who[order]
+    cut = np.searchsorted(who, np.arange(len(keys) + 1))
+    rows = [(0, *keys[k], _pack_summary(key[a:b], leader[a:b], least[a:b], widest[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+    return pa.Table.from_batches([C.block_batch(rows)])
+
+
+def _led(table: pa.Table) -> pa.Table:
+    """Of one chunk of ordered sets with its answers: leader, token, rep, n, at of postings that may have a partner."""
+    rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py(), ["rep", "n", "own", "rare", "tokens"])
+    rows = [r for r in zip(*(rows.column(c).to_pylist() for c in ("rep", "n", "rare", "tokens", "own")), strict=True) if r[4] and r[3] is not None]
+    key, rep, n, at = _postings(*(list(c) for c in zip(*(r[:4] for r in rows), strict=True))) if rows else _postings([], [], [], [])
+    room = _room(n, at)
+    first, count, low, least, widest = _holders(key, rep, n, room)
+    # one holder here: its partners are elsewhere; more: among themselves too
+    leader, least, widest = low, np.where(count > 1, least, np.int64(FAR)), np.where(count > 1, widest, NEVER)
+    told = [_unpack_summary(b) for b in table.column(3).to_pylist() if b]
+    if told and len(first):
+        tkey, tleader, tleast, twidest = (np.concatenate([t[i] for t in told]) for i in range(4))
+        order = np.argsort(tkey)
+        at_key = np.searchsorted(key[first], tkey[order])
+        leader[at_key] = tleader[order]
+        least[at_key] = np.minimum(least[at_key], tleast[order].astype(np.int64))
+        widest[at_key] = np.maximum(widest[at_key], twidest[order])
+    group = np.repeat(np.arange(len(first)), count)
+    may = (room >= 375 * least[group]) & (widest[group] >= 375 * n) if len(first) else np.empty(0, bool)
+    token = (key >> np.uint64(16) | key << np.uint64(48)).view(np.int64)
+    return pa.table({k: pa.array(v[may], pa.int64()) for k, v in (("leader", leader[group] if len(first) else rep), ("token", token), ("rep", rep), ("n", n), ("at", at))})
+
+
+def led_postings(sets: DataFrame) -> DataFrame:
+    """leader, token, rep, n, at: postings travel as summaries by chunk, not as rows."""
+    spark = sets.sparkSession
+    paths = C.written(sets, spark)
+    row = F.col("_metadata.row_index")
+    rows = spark.read.parquet(*paths).where("own and tokens is not null").select("rep", "n", "rare", "tokens", F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(C.ROWS)).cast("long").alias("chunk"))
+    sent = rows.mapInArrow(_holder_blocks(C.slice_count(spark)), C.BLOCK)
+    every = C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_leaders, C.BLOCK))
+    return persist(every.groupBy("file", "chunk").applyInArrow(_led, "leader long, token long, rep long, n long, at long"), "postings")
 
 
 def _survivors(table: pa.Table) -> pa.Table:
@@ -404,17 +537,7 @@ def components(edges: DataFrame, a: str, b: str, at_once: int = 1_000_000) -> Da
 def links(sets: DataFrame) -> DataFrame:
     """rep, partners, root over the ordered sets: partners counts documents of other classes."""
     with_tokens = sets.where("own and tokens is not null")
-    posts = with_tokens.select("rep", "n", "rare", "tokens").mapInArrow(_postings, "token long, rep long, place long")
-    # room: what is left of a set behind the shingle; a pair passes if each one's room reaches 375 times the other's size
-    size = lambda p: F.shiftright(p, 31)
-    room = lambda p: F.lit(625) * size(p) - F.lit(1000) * p.bitwiseAND(F.lit(2**31 - 1))
-    place = F.col("place")
-    lead = posts.groupBy("token").agg(F.min("rep").alias("leader"), F.count("*").alias("c"), F.min(size(place)).alias("least"), F.max(room(place)).alias("widest"), F.sum("place").alias("places")).where("c > 1")
-    other = F.col("places") - place  # of two holders, the other one's place
-    least = F.when(F.col("c") == 2, size(other)).otherwise(F.col("least"))
-    widest = F.when(F.col("c") == 2, room(other)).otherwise(F.col("widest"))
-    may = (room(place) >= F.lit(375) * least) & (widest >= F.lit(375) * size(place))
-    posts = persist(posts.join(lead, "token").where(may).select("leader", "token", "rep", size(place).alias("n"), place.bitwiseAND(F.lit(2**31 - 1)).alias("at")), "postings")
+    posts = led_postings(sets)
     sizes = posts.groupBy("leader").agg(F.approx_count_distinct("rep").alias("m"))  # decides on blocks only
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(GROUP))).cast("int")
     posts = posts.join(sizes.select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
