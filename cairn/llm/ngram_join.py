@@ -124,8 +124,7 @@ def _answer(table: pa.Table) -> pa.Table:
     first = np.flatnonzero(new)
     rep = low[first][group] if len(k1) else low
     mult = np.add.reduceat(many, first)[group] if len(k1) else many
-    own = np.zeros(len(k1), np.uint8)
-    own[first] = 1
+    own = (who == who[first][group]).astype(np.uint8) if len(k1) else np.empty(0, np.uint8)  # two tasks may have sent parts of one chunk
     order = np.argsort(who, kind="stable")
     k1, k2, size, rep, mult, own, who = (x[order] for x in (k1, k2, size, rep, mult, own, who))
     bound = np.searchsorted(who, np.arange(len(keys) + 1))

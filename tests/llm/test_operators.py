@@ -271,6 +271,28 @@ def test_ngram_join(spark, docs, empty, monkeypatch, group):
         assert ngram_join.similar(spark, empty).count() == 0
 
 
+def test_ngram_join_of_a_chunk_read_by_two_tasks(spark, tmp_path):
+    """Row groups of 1000 rows, each a split of its own: chunks of 2048 rows begin in one task and end in another."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    base = [f"s{k}" for k in range(12)]
+    texts = [" ".join(f"u{i}x{k}" for k in range(4)) for i in range(5000)]
+    texts[3] = texts[2040] = " ".join(base)
+    texts[4500] = " ".join([*base, "more"])
+    path = str(tmp_path / "groups.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array(range(5000), pa.int64()), "text": texts}), path, row_group_size=1000)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = {r["doc_id"]: (r["n_similar"], r["component_id"], r["class_id"]) for r in ngram_join.similar(spark, path).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert (got[3], got[2040], got[4500]) == ((2, 3, 3), (2, 3, 3), (2, 3, 4500))
+
+
 def test_trie_overlaps():
     r = np.random.default_rng(3)
     sets = []
