@@ -9,7 +9,7 @@ overlapping removed windows merge into maximal intervals and their words go.
 No hash gathers more rows than there are chunks, however often a passage repeats. No text is shuffled.
 
 Defined results: a null or empty text has no words; a text with fewer words than a window keeps all; a null id sorts last;
-rows that share an id are one after the other in table order; an empty table gives an empty result; extra columns are
+rows that share an id (or have none) are one after the other in table order, files by name; an empty table gives an empty result; extra columns are
 ignored by the digests and kept by remove().
 """
 
@@ -95,7 +95,7 @@ def _unpack_entries(block: bytes):
 def _answer(table: pa.Table) -> pa.Table:
     """Of one slice: for each chunk the hashes that occur earlier in another chunk."""
     files, chunk, blocks = (table.column(i).to_pylist() for i in (1, 2, 3))
-    keys = list(dict.fromkeys(zip(files, chunk, strict=True)))
+    keys = sorted(set(zip(files, chunk, strict=True)))  # table order, the same in every slice: it breaks ties between ids
     number = {k: i for i, k in enumerate(keys)}
     parts = [_unpack_entries(b) for b in blocks]
     h = np.concatenate([p[0] for p in parts])

@@ -233,6 +233,26 @@ def test_substring_dedup(spark, docs, empty):
         assert left[i]["text"] == BY_ID[i] if not n else sha(left[i]["text"]) == digest
 
 
+def test_substring_dedup_of_equal_ids_in_several_chunks(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    # whatever the order of arrival in a slice, the same chunk keeps what it shares with others
+    x = np.arange(1, 40, dtype=np.uint64)
+    block = substring_dedup._pack_entries(x, np.zeros(39, np.uint8), np.array([chunks.NO_ID]), np.zeros(39, np.int64))
+    for order in ("abc", "cba", "bca"):
+        told = substring_dedup._answer(pa.Table.from_batches([chunks.block_batch([(0, f, 0, block) for f in order])]))
+        assert sorted(told.column("file").to_pylist()) == ["b", "c"]
+    # of a passage in rows of one id or none, one copy stays whole
+    passage = [f"p{k}" for k in range(400)]
+    for f in range(6):
+        texts = [" ".join([*passage, f"end{f}"]), " ".join(f"q{k}" for k in range(300))]
+        pq.write_table(pa.table({"doc_id": pa.array([None, 7], pa.int64()), "text": texts}), tmp_path / f"part{f}.parquet")
+    left = [(r["doc_id"], r["text"].split()) for r in substring_dedup.remove(spark, str(tmp_path), 20).collect()]
+    assert sorted(sum(w in t for _, t in left) for w in passage) == [1] * 400
+    assert sorted(len(t) for i, t in left if i == 7) == [0] * 5 + [300]
+
+
 def test_rolling_hashes():
     x = np.arange(50, dtype=np.uint64) ** 5
     for width in (1, 2, 3, 7, 20, 50):
