@@ -50,6 +50,12 @@ def rows_of(spark: SparkSession, paths: list[str], text: bool = True) -> DataFra
     return spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(ROWS)).cast("long").alias("chunk"), row.alias("row"))
 
 
+def file_numbers(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """A number for each file, by name; no column of the table is read."""
+    files = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("file")).distinct().collect()
+    return {f: i for i, f in enumerate(sorted(r["file"] for r in files))}
+
+
 def take(spark: SparkSession, paths: list[str], wanted: DataFrame, columns: list[str]) -> DataFrame:
     """The rows that `wanted` (file, chunk, row) names, some columns of them. Each chunk is read from its file: rows are
     chosen without shuffling what they hold."""
@@ -180,19 +186,23 @@ def slice_count(spark: SparkSession) -> int:
 
 
 def by_chunk(batches, flush):
-    """Calls flush(file, chunk, ids, texts) for each run of rows of one chunk, and yields what it yields."""
-    key, ids, texts = None, [], []
+    """Calls flush(file, chunk, ids, texts), with the rows' numbers if batches have them, for each run of rows of one chunk,
+    and yields what it yields."""
+    key, ids, texts, more = None, [], [], []
     for batch in batches:
         files, chunk = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        extra = [c.to_pylist() for c in batch.columns[4:]]
         for i, (k, doc, text) in enumerate(zip(zip(files, chunk, strict=True), batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True)):
             if k != key:
                 if ids:
-                    yield from flush(*key, ids, texts)
-                key, ids, texts = k, [], []
+                    yield from flush(*key, ids, texts, *more)
+                key, ids, texts, more = k, [], [], [[] for _ in extra]
+            for c, values in zip(more, extra, strict=True):
+                c.append(values[i])
             ids.append(NO_ID if doc is None else doc)
             texts.append(text or b"")
     if ids:
-        yield from flush(*key, ids, texts)
+        yield from flush(*key, ids, texts, *more)
 
 
 def block_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,7 +1,8 @@
 """Operator 4, exact n-gram Jaccard join over prefix trees.
 
 A document's set holds the hashes of its distinct 2-word shingles. Equal sets form one class; a class is joined once, by
-the smallest document that holds it. Shingles have a global order, rarest first: document frequencies come from an
+the smallest document that holds it. Classes go by that row's place in the table (file and row), which is unique where ids
+aren't; ids only name the results. Shingles have a global order, rarest first: document frequencies come from an
 exchange of hashes between chunks (see chunks.py), ties go by hash. Two sets with Jaccard similarity t share a shingle in
 their prefixes of n - ceil(t n) + 1 shingles, so shingles that no other class holds need no posting.
 
@@ -30,7 +31,8 @@ from .common import persist
 #: Classes in one task of a group.
 GROUP = 512
 PERCENT = 60
-SETS = "doc_id long, n long, rep long, mult long, own boolean, rare int, tokens binary"
+#: name: the row's place, file number and row number; rep and low: name and id of the class's smallest row.
+SETS = "name long, doc_id long, n long, low long, rep long, mult long, own boolean, rare int, tokens binary"
 _ONE = np.uint64(0xA0761D6478BD642F)
 
 
@@ -52,21 +54,25 @@ def _chunk_sets(ids, texts: list[bytes]):
     return np.asarray(ids, np.int64), sets, keys
 
 
-def _classes(ids, sets, keys):
-    """Of the non-empty classes of a chunk: k1, k2, smallest id, members; ascending k1."""
+def _name(number: int, row: int) -> int:
+    return (number << 40) + row
+
+
+def _classes(ids, sets, keys, names: list[int]):
+    """Of the non-empty classes of a chunk: k1, k2, smallest id, members, set, name of the smallest; ascending k1."""
     table: dict[tuple, list] = {}
-    for doc, s, k in zip(ids.tolist(), sets, keys, strict=True):
+    for doc, s, k, name in zip(ids.tolist(), sets, keys, names, strict=True):
         if len(s):
-            got = table.setdefault((*k, len(s)), [doc, 0, s])
-            got[0] = min(got[0], doc)
+            got = table.setdefault((*k, len(s)), [doc, 0, s, name])
+            got[0], got[3] = min((got[0], got[3]), (doc, name))
             got[1] += 1
     order = sorted(table)
     return order, [table[k] for k in order]
 
 
-def _blocks(parts: int):
-    def flush(file, chunk, ids, texts):
-        order, classes = _classes(*_chunk_sets(ids, texts))
+def _blocks(parts: int, numbers: dict[str, int]):
+    def flush(file, chunk, ids, texts, rows):
+        order, classes = _classes(*_chunk_sets(ids, texts), [_name(numbers[file], r) for r in rows])
         if not order:
             return
         h, n = np.unique(np.concatenate([c[2] for c in classes]) >> np.uint64(24), return_counts=True)
@@ -76,13 +82,14 @@ def _blocks(parts: int):
         size = np.array([k[2] for k in order], np.uint32)
         low = np.array([c[0] for c in classes], np.int64)
         many = np.array([c[1] for c in classes], np.int64)
+        name = np.array([c[3] for c in classes], np.int64)
         a, b = C.slices(h, parts, 40), C.slices(k1, parts)
         rows = []
         for p in range(parts):
             i, j = slice(a[p], a[p + 1]), slice(b[p], b[p + 1])
             if i.stop > i.start or j.stop > j.start:
                 left = C.pack([h[i], n[i]])
-                rows.append((p, file, chunk, len(left).to_bytes(4, "little") + left + C.pack([k1[j], k2[j], size[j], low[j], many[j]])))
+                rows.append((p, file, chunk, len(left).to_bytes(4, "little") + left + C.pack([k1[j], k2[j], size[j], low[j], name[j], many[j]])))
         for i in range(0, len(rows), 64):
             yield C.block_batch(rows[i : i + 64])
 
@@ -90,7 +97,7 @@ def _blocks(parts: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one slice, to each chunk: frequencies of its shingles that two classes or more hold; owner and members of its classes."""
+    """Of one slice, to each chunk: frequencies of its shingles that two classes or more hold; smallest row and members of its classes."""
     files, chunk, blocks = (table.column(i).to_pylist() for i in (1, 2, 3))
     keys = list(dict.fromkeys(zip(files, chunk, strict=True)))
     number = {k: i for i, k in enumerate(keys)}
@@ -99,7 +106,7 @@ def _answer(table: pa.Table) -> pa.Table:
     for b in blocks:
         n = int.from_bytes(b[:4], "little")
         left.append(C.unpack(b[4 : 4 + n], [np.uint64, np.uint16]))
-        right.append(C.unpack(b[4 + n :], [np.uint64, np.uint64, np.uint32, np.int64, np.int64]))
+        right.append(C.unpack(b[4 + n :], [np.uint64, np.uint64, np.uint32, np.int64, np.int64, np.int64]))
     h = np.concatenate([x[0] for x in left])
     who = np.repeat(owner, [len(x[0]) for x in left])
     order = np.argsort(h, kind="stable")
@@ -114,25 +121,26 @@ def _answer(table: pa.Table) -> pa.Table:
     order = np.argsort(who, kind="stable")  # stays sorted by hash within a chunk
     h, df, who = h[order], df[order], who[order]
     cut = np.searchsorted(who, np.arange(len(keys) + 1))
-    k1, k2, size, low, many = (np.concatenate([x[i] for x in right]) for i in range(5))
+    k1, k2, size, low, name, many = (np.concatenate([x[i] for x in right]) for i in range(6))
     who = np.repeat(owner, [len(x[0]) for x in right])
-    order = np.lexsort((low, size, k2, k1))
-    k1, k2, size, low, many, who = (x[order] for x in (k1, k2, size, low, many, who))
+    order = np.lexsort((name, low, size, k2, k1))
+    k1, k2, size, low, name, many, who = (x[order] for x in (k1, k2, size, low, name, many, who))
     new = np.ones(len(k1), bool)
     new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (size[1:] != size[:-1])
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
-    rep = low[first][group] if len(k1) else low
-    mult = np.add.reduceat(many, first)[group] if len(k1) else many
-    own = (who == who[first][group]).astype(np.uint8) if len(k1) else np.empty(0, np.uint8)  # two tasks may have sent parts of one chunk
+    if len(k1):
+        low, name, mult = low[first][group], name[first][group], np.add.reduceat(many, first)[group]
+    else:
+        mult = many
     order = np.argsort(who, kind="stable")
-    k1, k2, size, rep, mult, own, who = (x[order] for x in (k1, k2, size, rep, mult, own, who))
+    k1, k2, size, low, name, mult, who = (x[order] for x in (k1, k2, size, low, name, mult, who))
     bound = np.searchsorted(who, np.arange(len(keys) + 1))
     rows = []
     for k, key in enumerate(keys):
         i, j = slice(cut[k], cut[k + 1]), slice(bound[k], bound[k + 1])
         part = C.pack([h[i], df[i]])
-        rows.append((0, *key, len(part).to_bytes(4, "little") + part + C.pack([k1[j], k2[j], size[j], rep[j], mult[j], own[j]])))
+        rows.append((0, *key, len(part).to_bytes(4, "little") + part + C.pack([k1[j], k2[j], size[j], low[j], name[j], mult[j]])))
     return pa.Table.from_batches([C.block_batch(rows)])
 
 
@@ -140,9 +148,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _ordered(table: pa.Table) -> pa.Table:
+def _ordered(table: pa.Table, numbers: dict[str, int]) -> pa.Table:
     """Of one chunk with its answers: every row's class, and the ordered set of each class that may have a partner."""
-    rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py(), ["doc_id", "text"])
+    file, chunk = table.column(1)[0].as_py(), table.column(2)[0].as_py()
+    rows = C.read_chunk(file, chunk, ["doc_id", "text"])
     ids, sets, keys = _chunk_sets(*C.ids_and_texts(rows))
     freq_h, freq_n, owner = [], [], {}
     for b in table.column(3).to_pylist():
@@ -151,40 +160,37 @@ def _ordered(table: pa.Table) -> pa.Table:
             h, df = C.unpack(b[4 : 4 + n], [np.uint64, np.uint16])
             freq_h.append(h)
             freq_n.append(df)
-            k1, k2, size, rep, mult, own = (x.tolist() for x in C.unpack(b[4 + n :], [np.uint64, np.uint64, np.uint32, np.int64, np.int64, np.uint8]))
-            owner.update({(a, b2, s): (r, m, o) for a, b2, s, r, m, o in zip(k1, k2, size, rep, mult, own, strict=True)})
+            k1, k2, size, *found = (x.tolist() for x in C.unpack(b[4 + n :], [np.uint64, np.uint64, np.uint32, np.int64, np.int64, np.int64]))
+            owner.update(zip(zip(k1, k2, size, strict=True), zip(*found, strict=True), strict=True))
     h = np.concatenate(freq_h) if freq_h else np.empty(0, np.uint64)
     df = np.concatenate(freq_n) if freq_n else np.empty(0, np.uint16)
     order = np.argsort(h, kind="stable")
     h, df = np.append(h[order], np.uint64(2**64 - 1)), np.append(df[order], np.uint16(1))
-    done = set()
     out: list[tuple] = []
-    for doc, s, k in zip(ids.tolist(), sets, keys, strict=True):
+    for name, (doc, s, k) in enumerate(zip(ids.tolist(), sets, keys, strict=True), _name(numbers[file], chunk * C.ROWS)):
         n = len(s)
         if not n:
-            out.append((doc, 0, doc, 1, False, 0, None))
+            out.append((name, doc, 0, doc, name, 1, False, 0, None))
             continue
-        key = (*k, n)
-        rep, mult, own = owner[key]
-        own = bool(own) and doc == rep and key not in done
+        low, rep, mult = owner[(*k, n)]
         rare, tokens = 0, None
-        if own:
-            done.add(key)
+        if rep == name:
             short = s >> np.uint64(24)
             at = np.searchsorted(h, short)
             f = np.where(h[at] == short, df[at], np.uint16(1)).astype(np.uint64)
             rare = int((f == 1).sum())
             if rare < prefix_length(n):
                 tokens = np.sort(f << np.uint64(48) | s >> np.uint64(16)).tobytes()
-        out.append((doc, n, rep, mult, own, rare, tokens))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+        out.append((name, doc, n, low, rep, mult, rep == name, rare, tokens))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
     return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in SETS.split(", ")])
 
 
 def ordered_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
-    sent = C.rows_of(spark, paths).drop("row").mapInArrow(_blocks(C.slice_count(spark)), C.BLOCK)
+    numbers = C.file_numbers(spark, paths)
+    sent = C.rows_of(spark, paths).mapInArrow(_blocks(C.slice_count(spark), numbers), C.BLOCK)
     every = C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_answer, C.BLOCK))
-    return persist(every.groupBy("file", "chunk").applyInArrow(_ordered, SETS), "sets")
+    return persist(every.groupBy("file", "chunk").applyInArrow(lambda t: _ordered(t, numbers), SETS), "sets")
 
 
 FAR = np.uint32(2**32 - 1)  # a size that no partner has
@@ -449,7 +455,7 @@ class Trie:
         return np.flatnonzero(ok), got[ok]
 
 
-LINKS = "rep long, partners long, root long"
+LINKS = "rep long, low long, partners long, root long"
 
 
 def _links(table: pa.Table) -> pa.Table:
@@ -496,7 +502,8 @@ def _links(table: pa.Table) -> pa.Table:
                 if k > place[a]:
                     pair(a, trie.order[k])
     at = np.flatnonzero(partners)
-    return pa.table({"rep": pa.array(rep[at], pa.int64()), "partners": pa.array(partners[at], pa.int64()), "root": pa.array([int(rep[find(k)]) for k in at.tolist()], pa.int64())})
+    low = table.column("low").to_numpy()
+    return pa.table({"rep": pa.array(rep[at], pa.int64()), "low": pa.array(low[at], pa.int64()), "partners": pa.array(partners[at], pa.int64()), "root": pa.array([int(rep[find(k)]) for k in at.tolist()], pa.int64())})
 
 
 def components(edges: DataFrame, a: str, b: str, at_once: int = 1_000_000) -> DataFrame:
@@ -534,7 +541,7 @@ def components(edges: DataFrame, a: str, b: str, at_once: int = 1_000_000) -> Da
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """rep, partners, root over the ordered sets: partners counts documents of other classes."""
+    """rep, low, partners, root over the ordered sets: partners counts documents of other classes."""
     with_tokens = sets.where("own and tokens is not null")
     posts = led_postings(sets)
     sizes = posts.groupBy("leader").agg(F.approx_count_distinct("rep").alias("m"))  # decides on blocks only
@@ -545,24 +552,31 @@ def links(sets: DataFrame) -> DataFrame:
     tasks = tasks.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "token", "rep", "n", "at", "block")
     alive = tasks.groupBy("leader", "i", "j").applyInArrow(_survivors, "leader long, i int, j int, rep long, block int, ats binary")
     # shingles that a class alone holds can't be shared: the shortest part of the set that counts is shipped
-    sets_of = with_tokens.select("rep", "mult", "n", "rare", F.substring("tokens", F.col("rare") * 8 + 1, F.octet_length("tokens")).alias("tokens"))
+    sets_of = with_tokens.select("rep", "low", "mult", "n", "rare", F.substring("tokens", F.col("rare") * 8 + 1, F.octet_length("tokens")).alias("tokens"))
     shipped = alive.join(sets_of, "rep")
     return shipped.groupBy("leader", "i", "j").applyInArrow(_links, LINKS)
 
 
-def similar(spark: SparkSession, docs: DataFrame | str) -> DataFrame:
-    """doc_id, n_shingles, n_similar, component_id, class_id of every row."""
+def grouped(spark: SparkSession, docs: DataFrame | str) -> DataFrame:
+    """Every row of the ordered sets without tokens, with partners, and id (least) and name (first) of the smallest row of
+    its component."""
     sets = ordered_sets(spark, C.written(docs, spark))
     found = persist(links(sets), "links")
-    partners = found.groupBy("rep").agg(F.sum("partners").alias("partners"))
-    parts = components(found.select("rep", "root"), "rep", "root")
-    classes = partners.join(parts.withColumnRenamed("node", "rep"), "rep", "full")
-    full = F.col("n") > 0
-    clean = lambda c: F.when(c != F.lit(C.NO_ID), c)
-    return sets.join(classes, "rep", "left").select(
-        clean(F.col("doc_id")).alias("doc_id"),
+    classes = found.groupBy("rep").agg(F.min("low").alias("low"), F.sum("partners").alias("partners"))
+    classes = classes.join(components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep"), "rep")
+    best = classes.groupBy("component").agg(F.min(F.struct("low", "rep")).alias("best"))
+    classes = classes.join(best, "component").select("rep", "partners", "best")
+    rows = sets.select("name", "doc_id", "n", "low", "rep", "mult").join(classes, "rep", "left")
+    return rows.withColumns({"partners": F.coalesce("partners", F.lit(0)), "least": F.coalesce("best.low", "low"), "first": F.coalesce("best.rep", "rep")}).drop("best")
+
+
+def similar(spark: SparkSession, docs: DataFrame | str) -> DataFrame:
+    """doc_id, n_shingles, n_similar, component_id, class_id of every row."""
+    clean = lambda c: F.when(F.col(c) != F.lit(C.NO_ID), F.col(c))
+    return grouped(spark, docs).select(
+        clean("doc_id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.when(full, F.coalesce("partners", F.lit(0)) + F.col("mult") - 1).otherwise(F.lit(0)).cast("long").alias("n_similar"),
-        clean(F.when(full, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))).alias("component_id"),
-        clean(F.col("rep")).alias("class_id"),
+        (F.col("partners") + F.col("mult") - 1).cast("long").alias("n_similar"),
+        clean("least").alias("component_id"),
+        clean("low").alias("class_id"),
     )

@@ -313,6 +313,16 @@ def test_ngram_join_of_a_chunk_read_by_two_tasks(spark, tmp_path):
     assert (got[3], got[2040], got[4500]) == ((2, 3, 3), (2, 3, 3), (2, 3, 4500))
 
 
+def test_ngram_join_of_equal_and_missing_ids(spark):
+    a, b = [f"a{k}" for k in range(12)], [f"b{k}" for k in range(12)]
+    for name in (9, None):  # two texts under one id, each like another row, and like each other in a second pair
+        rows = [(name, " ".join(a)), (name, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (name, " ".join([*a, "z"])), (name, " ".join(b)), (name, None)]
+        got = ngram_join.similar(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        found = sorted((r["doc_id"] or 0, r["n_shingles"], r["n_similar"], r["component_id"] or 0, r["class_id"] or 0) for r in got)
+        i = name or 0
+        assert found == sorted([(i, 11, 2, 2, i), (i, 12, 2, 2, i), (2, 12, 2, 2, 2), (i, 11, 2, 3, i), (i, 11, 2, 3, i), (3, 12, 2, 3, 3), (i, 0, 0, i, i)])
+
+
 def test_trie_overlaps():
     r = np.random.default_rng(3)
     sets = []
