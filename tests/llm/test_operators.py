@@ -154,6 +154,35 @@ def test_bin_completion_plans():
 # -- 3, 6 -------------------------------------------------------------------------
 
 
+def test_bin_completion_is_exact():
+    # greedy completion and best fit need one more
+    for h, most in (({18: 1, 26: 1, 42: 1, 55: 2, 39: 1, 30: 1, 35: 1, 50: 1, 38: 1}, 4), ({50: 2, 36: 2, 49: 1, 22: 1, 24: 1, 11: 1, 16: 1, 38: 1, 57: 1, 29: 1, 52: 1, 23: 1}, 5)):
+        assert sum(m for _, m in packing.plan(h, 100)) == most < sum(m for _, m in packing.complete(h, 100))
+
+    def fewest(pieces: list[int], rooms: tuple, most: int) -> int:
+        if len(rooms) >= most:
+            return most
+        if not pieces:
+            return len(rooms)
+        n, *rest = pieces
+        for room in sorted({r for r in rooms if r >= n}):
+            k = rooms.index(room)
+            most = fewest(rest, (*rooms[:k], room - n, *rooms[k + 1 :]), most)
+        return fewest(rest, (*rooms, 30 - n), most)
+
+    r = random.Random(10)
+    for _ in range(150):
+        pieces = sorted((r.randint(2, 20) for _ in range(r.randint(1, 11))), reverse=True)
+        best, bound = packing.plan_and_bound(Counter(pieces), 30)
+        used = Counter()
+        for pattern, many in best:
+            assert sum(n * k for n, k in pattern) <= 30
+            for n, k in pattern:
+                used[n] += k * many
+        assert used == Counter(pieces)
+        assert bound <= sum(m for _, m in best) == fewest(pieces, (), len(pieces) + 1)
+
+
 def test_sharding(spark, docs, empty, tmp_path):
     rows = sharding.assign(docs, 5, 64, f"file://{tmp_path}/map").collect()
     assert len(rows) == len(ROWS)
