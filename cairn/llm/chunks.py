@@ -56,6 +56,19 @@ def file_numbers(spark: SparkSession, paths: list[str]) -> dict[str, int]:
     return {f: i for i, f in enumerate(sorted(r["file"] for r in files))}
 
 
+def places(rows: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """file, chunk, row of the rows with these names (file number << 40, plus row number)."""
+    files = pa.array(sorted(numbers, key=numbers.__getitem__), pa.string())
+
+    def run(batches):
+        for batch in batches:
+            name = batch.column(0).to_numpy()
+            row = name & ((1 << 40) - 1)
+            yield pa.RecordBatch.from_arrays([files.take(pa.array(name >> 40)), pa.array(row // ROWS), pa.array(row)], ["file", "chunk", "row"])
+
+    return rows.select("name").mapInArrow(run, "file string, chunk long, row long")
+
+
 def take(spark: SparkSession, paths: list[str], wanted: DataFrame, columns: list[str]) -> DataFrame:
     """The rows that `wanted` (file, chunk, row) names, some columns of them. Each chunk is read from its file: rows are
     chosen without shuffling what they hold."""

@@ -557,10 +557,10 @@ def links(sets: DataFrame) -> DataFrame:
     return shipped.groupBy("leader", "i", "j").applyInArrow(_links, LINKS)
 
 
-def grouped(spark: SparkSession, docs: DataFrame | str) -> DataFrame:
+def grouped(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every row of the ordered sets without tokens, with partners, and id (least) and name (first) of the smallest row of
     its component."""
-    sets = ordered_sets(spark, C.written(docs, spark))
+    sets = ordered_sets(spark, paths)
     found = persist(links(sets), "links")
     classes = found.groupBy("rep").agg(F.min("low").alias("low"), F.sum("partners").alias("partners"))
     classes = classes.join(components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep"), "rep")
@@ -573,7 +573,7 @@ def grouped(spark: SparkSession, docs: DataFrame | str) -> DataFrame:
 def similar(spark: SparkSession, docs: DataFrame | str) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id, class_id of every row."""
     clean = lambda c: F.when(F.col(c) != F.lit(C.NO_ID), F.col(c))
-    return grouped(spark, docs).select(
+    return grouped(spark, C.written(docs, spark)).select(
         clean("doc_id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         (F.col("partners") + F.col("mult") - 1).cast("long").alias("n_similar"),

@@ -161,7 +161,10 @@ def gumbel(doc: int | None, text: bytes) -> float:
     return -math.log(-math.log(u))
 
 
-def score(docs: DataFrame, model: Model, temperature: float = TEMPERATURE) -> DataFrame:
+def score(docs: DataFrame, model: Model, temperature: float = TEMPERATURE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """carry: columns of docs that the result has too."""
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = ", ".join([SCORES, *(f"{c} {types[c]}" for c in carry)])
     ratio = model.ratio
 
     def run(batches):
@@ -174,9 +177,9 @@ def score(docs: DataFrame, model: Model, temperature: float = TEMPERATURE) -> Da
                 s = Model.score(len(g), w)
                 out.append((doc, len(g), w, s, s / temperature + gumbel(doc, text or b"")))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], ["doc_id", "n_grams", "log_weight", "score", "key"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), *batch.columns[2:]], ["doc_id", "n_grams", "log_weight", "score", "key", *carry])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCORES)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> float:
@@ -212,10 +215,10 @@ def _from_order_bits(value: int) -> float:
     return float(np.array([raw], np.uint64).view(np.float64)[0])
 
 
-def classify(docs: DataFrame, labels: DataFrame, good, limit: int = SAMPLE) -> DataFrame:
-    """Every document: doc_id, n_grams, log_weight, score, key, kept."""
+def classify(docs: DataFrame, labels: DataFrame, good, limit: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every document: doc_id, n_grams, log_weight, score, key, the columns to carry, kept."""
     model = fit(docs, labels, good, limit)
-    scored = persist(score(docs, model), "scores")
+    scored = persist(score(docs, model, carry=carry), "scores")
     k = scored.where(F.col("score") >= F.lit(model.threshold)).count()
     if k == 0:
         return scored.withColumn("kept", F.lit(False))

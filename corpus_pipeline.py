@@ -15,27 +15,18 @@ from cairn.llm.common import persist
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(spark: SparkSession, docs: DataFrame, ids: DataFrame, one: bool = False) -> DataFrame:
-    """The documents with these ids, of rows that share an id the first only if `one`; those without an id can't be told
-    apart and pass unchanged. The choice is made on row numbers; the documents aren't shuffled."""
-    paths = chunks.written(docs, spark)
-    rows = chunks.rows_of(spark, paths, text=False)
-    found = rows.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    if one:
-        found = found.groupBy("doc_id").agg(F.min(F.struct("file", "row", "chunk")).alias("first")).select("doc_id", "first.*").select(rows.columns)
-    return chunks.take(spark, paths, found.unionByName(rows.where("doc_id is null")), COLUMNS)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that importance resampling rejects."""
-    judged = quality.classify(docs, queries.table(spark, sf_dir, "labels"), queries.good_label())
-    return _keep(spark, docs, judged.where("kept"))
+    """Drops the documents that importance resampling rejects, row by row: ids may be shared or missing."""
+    paths, place = chunks.written(docs, spark), ("file", "chunk", "row")
+    judged = quality.classify(chunks.rows_of(spark, paths), queries.table(spark, sf_dir, "labels"), queries.good_label(), carry=place)
+    return chunks.take(spark, paths, judged.where("kept"), COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group that similarity links connect."""
-    joined = ngram_join.similar(spark, docs)
-    return _keep(spark, docs, joined.where("doc_id = component_id"), one=True)
+    """Keeps the smallest document of each group that similarity links connect, row by row; rows without an id stay."""
+    paths = chunks.written(docs, spark)
+    rows = ngram_join.grouped(spark, paths).where((F.col("name") == F.col("first")) | (F.col("doc_id") == F.lit(chunks.NO_ID)))
+    return chunks.take(spark, paths, chunks.places(rows, chunks.file_numbers(spark, paths)), COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

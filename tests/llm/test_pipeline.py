@@ -50,3 +50,18 @@ def test_rows_without_id_and_repeats(spark):
     docs = spark.createDataFrame([(None, "no id at all", "en", "s", 12), (None, "no id at all", "en", "s", 12), (1, "one two three", "en", "s", 13), (1, "one two three", "en", "s", 13), (2, "one two three", None, None, None), (3, None, None, None, None), (4, "", "", "", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == [(0, "no id at all")] * 2 + [(1, "one two three"), (3, ""), (4, "")]
+
+
+def test_stages_decide_by_row(spark, monkeypatch):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    row = lambda i, t: (i, t, "en", "s", len(t))
+    # two texts of one id, and an id whose copies differ
+    docs = spark.createDataFrame([row(1, "one two three"), row(1, "four five six"), row(2, "four five six"), row(2, "seven eight nine"), row(1, "one two three")], schema).repartition(3)
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in out) == [(1, "four five six"), (1, "one two three"), (2, "seven eight nine")]
+    # the classifier keeps one row of an id and rejects its namesake, and rejects rows without an id
+    classify = corpus_pipeline.quality.classify
+    monkeypatch.setattr(corpus_pipeline.quality, "classify", lambda docs, *a, **k: classify(docs, *a, **k).drop("kept").withColumn("kept", corpus_pipeline.F.col("n_grams") > 3))
+    docs = spark.createDataFrame([row(1, "a long enough text to keep"), row(1, "a"), row(None, "b"), row(None, "one more text that is kept")], schema).repartition(2)
+    out = corpus_pipeline.quality_stage(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == [(0, "one more text that is kept"), (1, "a long enough text to keep")]
