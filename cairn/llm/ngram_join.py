@@ -305,8 +305,27 @@ def _leaders(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([C.block_batch(rows)])
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """Parity bits of the shingles that fall on each of 1.5 to 3 times as many places (a power of two) as there are shingles.
+    Two sets differ in at least as many shingles as their signatures, folded to one width, differ in bits."""
+    bits = max(64, 1 << int(1.5 * len(tokens)).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(signatures: list[bytes], size: int) -> np.ndarray:
+    """Signatures of `size` bytes or more, as words of 64 bits, folded to `size` bytes."""
+    out = np.empty((len(signatures), size // 8), np.uint64)
+    for k, s in enumerate(signatures):
+        out[k] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), 0)
+    return out
+
+
+LED = "leader long, rep long, n long, shared long, tokens binary, ats binary, bits binary"
+
+
 def _led(table: pa.Table) -> pa.Table:
-    """Of one chunk of ordered sets with its answers: leader, token, rep, n, at of postings that may have a partner."""
+    """Of one chunk of ordered sets with its answers, a row a leader and class: which shingles that may have a partner the
+    leader leads, where they are in the class, and the class's signature over shingles that others hold."""
     rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py(), ["rep", "n", "own", "rare", "tokens"])
     rows = [r for r in zip(*(rows.column(c).to_pylist() for c in ("rep", "n", "rare", "tokens", "own")), strict=True) if r[4] and r[3] is not None]
     key, rep, n, at = _postings(*(list(c) for c in zip(*(r[:4] for r in rows), strict=True))) if rows else _postings([], [], [], [])
@@ -324,56 +343,74 @@ def _led(table: pa.Table) -> pa.Table:
         widest[at_key] = np.maximum(widest[at_key], twidest[order])
     group = np.repeat(np.arange(len(first)), count)
     may = (room >= 375 * least[group]) & (widest[group] >= 375 * n) if len(first) else np.empty(0, bool)
-    token = (key >> np.uint64(16) | key << np.uint64(48)).view(np.int64)
-    return pa.table({k: pa.array(v[may], pa.int64()) for k, v in (("leader", leader[group] if len(first) else rep), ("token", token), ("rep", rep), ("n", n), ("at", at))})
+    token = key >> np.uint64(16) | key << np.uint64(48)
+    leader = (leader[group] if len(first) else rep)[may]
+    token, rep, n, at = token[may], rep[may], n[may], at[may].astype(np.int32)
+    order = np.lexsort((at, rep, leader))
+    leader, token, rep, n, at = (x[order] for x in (leader, token, rep, n, at))
+    first = np.flatnonzero(np.r_[True, (leader[1:] != leader[:-1]) | (rep[1:] != rep[:-1])]) if len(rep) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(rep))[: len(first)]
+    held = {r[0]: (r[1] - r[2], signature(np.frombuffer(r[3], np.uint64)[r[2] :])) for r in rows}
+    mine = [held[r] for r in rep[first].tolist()]
+    spans = list(zip(first.tolist(), last.tolist(), strict=True))
+    longs = {"leader": leader[first], "rep": rep[first], "n": n[first], "shared": np.array([m[0] for m in mine], np.int64)}
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in longs.items()} | {"tokens": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), "ats": pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), "bits": pa.array([m[1] for m in mine], pa.binary())})
 
 
 def led_postings(sets: DataFrame) -> DataFrame:
-    """leader, token, rep, n, at: postings travel as summaries by chunk, not as rows."""
+    """Rows of LED: postings travel as summaries by chunk, not as rows."""
     spark = sets.sparkSession
     paths = C.written(sets, spark)
     row = F.col("_metadata.row_index")
     rows = spark.read.parquet(*paths).where("own and tokens is not null").select("rep", "n", "rare", "tokens", F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(C.ROWS)).cast("long").alias("chunk"))
     sent = rows.mapInArrow(_holder_blocks(C.slice_count(spark)), C.BLOCK)
     every = C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_leaders, C.BLOCK))
-    return persist(every.groupBy("file", "chunk").applyInArrow(_led, "leader long, token long, rep long, n long, at long"), "postings")
+    return persist(every.groupBy("file", "chunk").applyInArrow(_led, LED), "postings")
 
 
 def _survivors(table: pa.Table) -> pa.Table:
-    """Of one task of a group: the classes with a partner that their positions allow, and where the group's shingles are in them."""
+    """Of one task of a group: the classes with a partner that positions and signatures allow, and where the group's
+    shingles are in them."""
     leader, i, j = (table.column(c)[0].as_py() for c in ("leader", "i", "j"))
-    token, rep, n, at, block = (table.column(c).to_numpy() for c in ("token", "rep", "n", "at", "block"))
+    rep, n, shared, block = (table.column(c).to_numpy() for c in ("rep", "n", "shared", "block"))
+    tokens, ats, bits = (table.column(c).to_pylist() for c in ("tokens", "ats", "bits"))
+    m = len(rep)
+    token, at = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(ats), np.int32).astype(np.int64)
+    who = np.repeat(np.arange(m), [len(a) // 4 for a in ats])
     order = np.argsort(token, kind="stable")
-    token, rep, n, at, block = (x[order] for x in (token, rep, n, at, block))
+    token, at, who = token[order], at[order], who[order]
     cut = np.append(np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token))
-    alive = np.zeros(len(token), bool)
+    may = np.zeros((m, m), bool)  # m is at most about 2 GROUP
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        m = b - a
-        if m < 2:
-            continue
-        nn, left, blk, who = n[a:b], (n[a:b] - at[a:b]), block[a:b], rep[a:b]
-        for lo in range(0, m, 1024):  # rows of the pair matrix at a time
-            r = slice(lo, min(m, lo + 1024))
-            ok = 160 * np.minimum(left[r, None], left[None]) >= 60 * (nn[r, None] + nn[None])
-            ok &= who[r, None] != who[None]
-            if i != j:
-                ok &= blk[r, None] != blk[None]
-            alive[a + r.start : a + r.stop] |= ok.any(1)
-    keep = np.isin(rep, np.unique(rep[alive])) if alive.any() else alive
-    rep, at, block = rep[keep], at[keep], block[keep]
-    order = np.lexsort((at, rep))
-    rep, at, block = rep[order], at[order].astype(np.int32), block[order]
-    cut = np.append(np.flatnonzero(np.r_[True, rep[1:] != rep[:-1]]), len(rep)) if len(rep) else np.array([0])
-    first = cut[:-1]
-    m = len(first)
+        if b - a > 1:
+            w = who[a:b]
+            left = n[w] - at[a:b]
+            may[w[:, None], w[None]] |= 160 * np.minimum(left[:, None], left[None]) >= 60 * (n[w][:, None] + n[w][None])
+    if i != j:
+        may &= block[:, None] != block[None]
+    x, y = np.nonzero(np.triu(may, 1))
+    size = np.array([len(b) for b in bits])
+    narrow = np.minimum(size[x], size[y])
+    good = np.zeros(len(x), bool)
+    for width in np.unique(narrow).tolist():
+        rows = np.flatnonzero(size >= width)
+        place = np.zeros(m, np.int64)
+        place[rows] = np.arange(len(rows))
+        words = folded([bits[r] for r in rows.tolist()], width)
+        pairs = np.flatnonzero(narrow == width)
+        for p in np.array_split(pairs, max(1, len(pairs) * width // (8 << 20))):
+            apart = np.bitwise_count(words[place[x[p]]] ^ words[place[y[p]]]).sum(1, dtype=np.int64)
+            good[p] = 160 * (shared[x[p]] + shared[y[p]] - apart) >= 120 * (n[x[p]] + n[y[p]])
+    alive = np.unique(np.concatenate([x[good], y[good]]))
+    alive = alive[np.argsort(rep[alive], kind="stable")]
     return pa.table(
         {
-            "leader": pa.array([leader] * m, pa.int64()),
-            "i": pa.array([i] * m, pa.int32()),
-            "j": pa.array([j] * m, pa.int32()),
-            "rep": pa.array(rep[first], pa.int64()),
-            "block": pa.array(block[first], pa.int32()),
-            "ats": pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+            "leader": pa.array([leader] * len(alive), pa.int64()),
+            "i": pa.array([i] * len(alive), pa.int32()),
+            "j": pa.array([j] * len(alive), pa.int32()),
+            "rep": pa.array(rep[alive], pa.int64()),
+            "block": pa.array(block[alive], pa.int32()),
+            "ats": pa.array([ats[k] for k in alive.tolist()], pa.binary()),
         }
     )
 
@@ -544,12 +581,13 @@ def links(sets: DataFrame) -> DataFrame:
     """rep, low, partners, root over the ordered sets: partners counts documents of other classes."""
     with_tokens = sets.where("own and tokens is not null")
     posts = led_postings(sets)
-    sizes = posts.groupBy("leader").agg(F.approx_count_distinct("rep").alias("m"))  # decides on blocks only
+    sizes = posts.groupBy("leader").agg(F.count("*").alias("m"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(GROUP))).cast("int")
-    posts = posts.join(sizes.select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    posts = posts.join(sizes.where("m > 1").select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = posts.select("leader", "token", "rep", "n", "at", "block", other.alias("other"))
-    tasks = tasks.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "token", "rep", "n", "at", "block")
+    held = ["rep", "n", "shared", "tokens", "ats", "bits", "block"]
+    tasks = posts.select("leader", *held, other.alias("other"))
+    tasks = tasks.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *held)
     alive = tasks.groupBy("leader", "i", "j").applyInArrow(_survivors, "leader long, i int, j int, rep long, block int, ats binary")
     # shingles that a class alone holds can't be shared: the shortest part of the set that counts is shipped
     sets_of = with_tokens.select("rep", "low", "mult", "n", "rare", F.substring("tokens", F.col("rare") * 8 + 1, F.octet_length("tokens")).alias("tokens"))
