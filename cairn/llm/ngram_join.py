@@ -320,14 +320,17 @@ def folded(signatures: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-LED = "leader long, rep long, n long, shared long, tokens binary, ats binary, bits binary"
+LED = "leader long, rep long, n long, shared long, tokens binary, ats binary, bits binary, place long"
 
 
-def _led(table: pa.Table) -> pa.Table:
+def _led(table: pa.Table, numbers: dict[str, int]) -> pa.Table:
     """Of one chunk of ordered sets with its answers, a row a leader and class: which shingles that may have a partner the
-    leader leads, where they are in the class, and the class's signature over shingles that others hold."""
-    rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py(), ["rep", "n", "own", "rare", "tokens"])
-    rows = [r for r in zip(*(rows.column(c).to_pylist() for c in ("rep", "n", "rare", "tokens", "own")), strict=True) if r[4] and r[3] is not None]
+    leader leads, where they are in the class, the class's signature over shingles that others hold, and the place of its row
+    among the ordered sets."""
+    file, chunk = table.column(1)[0].as_py(), table.column(2)[0].as_py()
+    rows = C.read_chunk(file, chunk, ["rep", "n", "own", "rare", "tokens"])
+    rows = list(zip(*(rows.column(c).to_pylist() for c in ("rep", "n", "rare", "tokens", "own")), range(_name(numbers[file], chunk * C.ROWS), 2**63), strict=False))
+    rows = [r for r in rows if r[4] and r[3] is not None]
     key, rep, n, at = _postings(*(list(c) for c in zip(*(r[:4] for r in rows), strict=True))) if rows else _postings([], [], [], [])
     room = _room(n, at)
     first, count, low, least, widest = _holders(key, rep, n, room)
@@ -350,31 +353,29 @@ def _led(table: pa.Table) -> pa.Table:
     leader, token, rep, n, at = (x[order] for x in (leader, token, rep, n, at))
     first = np.flatnonzero(np.r_[True, (leader[1:] != leader[:-1]) | (rep[1:] != rep[:-1])]) if len(rep) else np.empty(0, np.int64)
     last = np.append(first[1:], len(rep))[: len(first)]
-    held = {r[0]: (r[1] - r[2], signature(np.frombuffer(r[3], np.uint64)[r[2] :])) for r in rows}
+    held = {r[0]: (r[1] - r[2], signature(np.frombuffer(r[3], np.uint64)[r[2] :]), r[5]) for r in rows}
     mine = [held[r] for r in rep[first].tolist()]
     spans = list(zip(first.tolist(), last.tolist(), strict=True))
     longs = {"leader": leader[first], "rep": rep[first], "n": n[first], "shared": np.array([m[0] for m in mine], np.int64)}
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in longs.items()} | {"tokens": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), "ats": pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), "bits": pa.array([m[1] for m in mine], pa.binary())})
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in longs.items()} | {"tokens": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), "ats": pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), "bits": pa.array([m[1] for m in mine], pa.binary()), "place": pa.array([m[2] for m in mine], pa.int64())})
 
 
-def led_postings(sets: DataFrame) -> DataFrame:
+def led_postings(spark: SparkSession, paths: list[str], numbers: dict[str, int]) -> DataFrame:
     """Rows of LED: postings travel as summaries by chunk, not as rows."""
-    spark = sets.sparkSession
-    paths = C.written(sets, spark)
     row = F.col("_metadata.row_index")
     rows = spark.read.parquet(*paths).where("own and tokens is not null").select("rep", "n", "rare", "tokens", F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(C.ROWS)).cast("long").alias("chunk"))
     sent = rows.mapInArrow(_holder_blocks(C.slice_count(spark)), C.BLOCK)
     every = C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_leaders, C.BLOCK))
-    return persist(every.groupBy("file", "chunk").applyInArrow(_led, LED), "postings")
+    return persist(every.groupBy("file", "chunk").applyInArrow(lambda t: _led(t, numbers), LED), "postings")
 
 
 def _survivors(table: pa.Table) -> pa.Table:
     """Of one task of a group: the classes with a partner that positions and signatures allow, and where the group's
     shingles are in them."""
     leader, i, j = (table.column(c)[0].as_py() for c in ("leader", "i", "j"))
-    rep, n, shared, block = (table.column(c).to_numpy() for c in ("rep", "n", "shared", "block"))
+    place, n, shared, block = (table.column(c).to_numpy() for c in ("place", "n", "shared", "block"))
     tokens, ats, bits = (table.column(c).to_pylist() for c in ("tokens", "ats", "bits"))
-    m = len(rep)
+    m = len(place)
     token, at = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(ats), np.int32).astype(np.int64)
     who = np.repeat(np.arange(m), [len(a) // 4 for a in ats])
     order = np.argsort(token, kind="stable")
@@ -394,27 +395,44 @@ def _survivors(table: pa.Table) -> pa.Table:
     good = np.zeros(len(x), bool)
     for width in np.unique(narrow).tolist():
         rows = np.flatnonzero(size >= width)
-        place = np.zeros(m, np.int64)
-        place[rows] = np.arange(len(rows))
+        index = np.zeros(m, np.int64)
+        index[rows] = np.arange(len(rows))
         words = folded([bits[r] for r in rows.tolist()], width)
         pairs = np.flatnonzero(narrow == width)
         for p in np.array_split(pairs, max(1, len(pairs) * width // (8 << 20))):
-            apart = np.bitwise_count(words[place[x[p]]] ^ words[place[y[p]]]).sum(1, dtype=np.int64)
+            apart = np.bitwise_count(words[index[x[p]]] ^ words[index[y[p]]]).sum(1, dtype=np.int64)
             good[p] = 160 * (shared[x[p]] + shared[y[p]] - apart) >= 120 * (n[x[p]] + n[y[p]])
     alive = np.unique(np.concatenate([x[good], y[good]]))
-    alive = alive[np.argsort(rep[alive], kind="stable")]
     return pa.table(
         {
             "leader": pa.array([leader] * len(alive), pa.int64()),
             "i": pa.array([i] * len(alive), pa.int32()),
             "j": pa.array([j] * len(alive), pa.int32()),
-            "rep": pa.array(rep[alive], pa.int64()),
+            "place": pa.array(place[alive], pa.int64()),
             "block": pa.array(block[alive], pa.int32()),
             "ats": pa.array([ats[k] for k in alive.tolist()], pa.binary()),
         }
     )
 
 
+SHIPPED = "leader long, i int, j int, block int, ats binary, rep long, low long, mult long, n long, rare int, tokens binary"
+
+
+def _ship(table: pa.Table, files: list[str]) -> pa.Table:
+    """The sets that the groups ask of one chunk, read from its file. Shingles that a class alone holds can't be shared: the
+    part of the set behind them is shipped, and a set once a group."""
+    place = table.column("place").to_numpy()
+    row = place & ((1 << 40) - 1)
+    chunk = int(row[0]) // C.ROWS
+    rows = C.read_chunk(files[int(place[0] >> 40)], chunk, ["rep", "low", "mult", "n", "rare", "tokens"])
+    asked, which = np.unique(row - chunk * C.ROWS, return_inverse=True)
+    rows = rows.take(pa.array(asked))
+    tokens = [t[8 * r :] for t, r in zip(rows.column("tokens").to_pylist(), rows.column("rare").to_pylist(), strict=True)]
+    which = pa.array(which)
+    out = {c: table.column(c) for c in ("leader", "i", "j", "block", "ats")} | {c: rows.column(c).take(which) for c in ("rep", "low", "mult", "n", "rare")}
+    return pa.table(out | {"tokens": pa.array(tokens, pa.binary()).take(which)})
+
+
 class Trie:
     """Ordered sets as a radix tree of flat edge arrays, level by level."""
 
@@ -579,19 +597,22 @@ def components(edges: DataFrame, a: str, b: str, at_once: int = 1_000_000) -> Da
 
 def links(sets: DataFrame) -> DataFrame:
     """rep, low, partners, root over the ordered sets: partners counts documents of other classes."""
-    with_tokens = sets.where("own and tokens is not null")
-    posts = led_postings(sets)
+    spark = sets.sparkSession
+    paths = C.written(sets, spark)
+    numbers = C.file_numbers(spark, paths)
+    files = sorted(numbers, key=numbers.__getitem__)
+    posts = led_postings(spark, paths, numbers)
     sizes = posts.groupBy("leader").agg(F.count("*").alias("m"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(GROUP))).cast("int")
     posts = posts.join(sizes.where("m > 1").select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held = ["rep", "n", "shared", "tokens", "ats", "bits", "block"]
+    held = ["place", "n", "shared", "tokens", "ats", "bits", "block"]
     tasks = posts.select("leader", *held, other.alias("other"))
     tasks = tasks.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *held)
-    alive = tasks.groupBy("leader", "i", "j").applyInArrow(_survivors, "leader long, i int, j int, rep long, block int, ats binary")
-    # shingles that a class alone holds can't be shared: the shortest part of the set that counts is shipped
-    sets_of = with_tokens.select("rep", "low", "mult", "n", "rare", F.substring("tokens", F.col("rare") * 8 + 1, F.octet_length("tokens")).alias("tokens"))
-    shipped = alive.join(sets_of, "rep")
+    alive = tasks.groupBy("leader", "i", "j").applyInArrow(_survivors, "leader long, i int, j int, place long, block int, ats binary")
+    chunk = F.floor(F.col("place").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(C.ROWS))
+    asked = alive.groupBy(F.shiftright("place", 40).alias("file"), chunk.alias("chunk"))
+    shipped = asked.applyInArrow(lambda t: _ship(t, files), SHIPPED)
     return shipped.groupBy("leader", "i", "j").applyInArrow(_links, LINKS)
 
 
