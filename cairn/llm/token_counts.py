@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,36 @@ _WHITE = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 CHUNK = 256
 
 
-def class_table() -> np.ndarray:
-    """Class of every code point."""
+def _continues(pieces, points: list[int], before: str, behind: str) -> np.ndarray:
+    """For each code point, whether it stands in one piece with `before`, by the library's own splitting."""
+    text, width = "".join(before + chr(c) + behind for c in points), len(before) + 1 + len(behind)
+    starts = {a for _, (a, _) in pieces.pre_tokenize_str(text)}
+    return np.array([k * width + len(before) not in starts for k in range(len(points))], bool)
+
+
+def class_table(path: str | None = None) -> np.ndarray:
+    """Class of every code point. Unicode grows, and the library at `path` follows tables of its own: where two other tables
+    (an older and a newer one) don't agree, it is asked itself."""
+    import regex
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    old = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in points], np.uint8)
+    new = np.full(len(points), OTHER, np.uint8)
+    every = "".join(map(chr, points))
+    for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER)):
+        new[[m.start() for m in regex.finditer(pattern, every)]] = kind
+    if path is not None:
+        from tokenizers import Tokenizer
+
+        pieces = Tokenizer.from_file(path).pre_tokenizer
+        open_ = np.flatnonzero(old != new)
+        for at in range(0, len(open_), 4096):
+            part = open_[at : at + 4096]
+            asked = [points[k] for k in part.tolist()]
+            letter, number = _continues(pieces, asked, "!a", "!"), _continues(pieces, asked, "!1", "!")
+            old[part] = np.where(letter, LETTER, np.where(number, NUMBER, OTHER))
     table = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            table[c] = LETTER
-        elif kind == "N":
-            table[c] = NUMBER
+    table[points] = old
     for c in _WHITE:
         table[c] = WHITE
     table[32], table[39] = SPACE, APOSTROPHE
@@ -278,9 +300,9 @@ class CountTransducer:
 
 
 class TokenCounter:
-    """Token counts of texts by a byte-level merge tokenizer's file."""
+    """Token counts of texts by a byte-level merge tokenizer's file. classes: of code points, if they are known already."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, classes: np.ndarray | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -288,7 +310,7 @@ class TokenCounter:
         merges = [tuple(map(read, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
         self.words = CountTransducer(merges)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.classes = class_table()
+        self.classes = class_table(path) if classes is None else classes
         self.go, self.out = pretoken_transducer()
         self.cache = Generations(lambda w: self.words.count(w.encode("utf-8")))
 
@@ -334,15 +356,19 @@ class TokenCounter:
 
 
 _counters: dict[str, TokenCounter] = {}
+_classes: dict[str, bytes] = {}
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every document; one pass, no shuffle."""
     small_batches(docs.sparkSession)
+    if path not in _classes:
+        _classes[path] = zlib.compress(class_table(path).tobytes())
+    classes = _classes[path]  # a few thousand bytes: the library is asked once, by the driver
 
     def run(batches):
         if path not in _counters:
-            _counters[path] = TokenCounter(path)
+            _counters[path] = TokenCounter(path, np.frombuffer(zlib.decompress(classes), np.uint8))
         counter = _counters[path]
         for batch in batches:
             raw = [x or b"" for x in as_bytes(batch.column(1))]

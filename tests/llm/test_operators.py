@@ -90,6 +90,18 @@ def test_pretoken_scan_is_the_pattern():
         assert [s for s in starts.tolist() if s < len(text)] == [m.start() for m in regex.finditer(P.PATTERN, text)]
 
 
+def test_token_counts_of_every_code_point():
+    """Before a contraction, every code point is split as the library splits it."""
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib, counter = Tokenizer.from_file(path), token_counts.TokenCounter(path)
+    texts = [chr(c) + "'s" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(texts), 50_000):
+        part = texts[at : at + 50_000]
+        assert counter.counts(part) == [len(e.ids) for e in lib.encode_batch_fast(part, add_special_tokens=False)]
+
+
 def test_sentencepiece(spark, docs, empty):
     import sentencepiece
 
