@@ -70,12 +70,17 @@ def _classes(ids, sets, keys, names: list[int]):
     return order, [table[k] for k in order]
 
 
+def _held(classes: list) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (40 bits) of a chunk's classes, ascending, and how many classes hold each."""
+    return np.unique(np.concatenate([c[2] for c in classes]) >> np.uint64(24), return_counts=True)
+
+
 def _blocks(parts: int, numbers: dict[str, int]):
     def flush(file, chunk, ids, texts, rows):
         order, classes = _classes(*_chunk_sets(ids, texts), [_name(numbers[file], r) for r in rows])
         if not order:
             return
-        h, n = np.unique(np.concatenate([c[2] for c in classes]) >> np.uint64(24), return_counts=True)
+        h, n = _held(classes)
         n = np.minimum(n, 65535).astype(np.uint16)
         k1 = np.array([k[0] for k in order], np.uint64)
         k2 = np.array([k[1] for k in order], np.uint64)
@@ -97,7 +102,9 @@ def _blocks(parts: int, numbers: dict[str, int]):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one slice, to each chunk: frequencies of its shingles that two classes or more hold; smallest row and members of its classes."""
+    """Of one slice, to each chunk: frequencies of its shingles in ascending order (the chunk knows them, so they aren't sent
+    back), smallest row and members of its classes. A chunk that two tasks read has two blocks and gets one answer."""
+    part = table.column("slice")[0].as_py()
     files, chunk, blocks = (table.column(i).to_pylist() for i in (1, 2, 3))
     keys = list(dict.fromkeys(zip(files, chunk, strict=True)))
     number = {k: i for i, k in enumerate(keys)}
@@ -115,11 +122,12 @@ def _answer(table: pa.Table) -> pa.Table:
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     total = np.add.reduceat(n, np.flatnonzero(new)) if len(h) else n
-    df = total[np.cumsum(new) - 1]
-    keep = df > 1
-    h, df, who = h[keep], np.minimum(df[keep], 65535).astype(np.uint16), who[keep]
+    df = np.minimum(total, 65535).astype(np.uint16)[np.cumsum(new) - 1]
     order = np.argsort(who, kind="stable")  # stays sorted by hash within a chunk
     h, df, who = h[order], df[order], who[order]
+    once = np.ones(len(h), bool)  # two blocks of a chunk may hold one shingle
+    once[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+    df, who = df[once], who[once]
     cut = np.searchsorted(who, np.arange(len(keys) + 1))
     k1, k2, size, low, name, many = (np.concatenate([x[i] for x in right]) for i in range(6))
     who = np.repeat(owner, [len(x[0]) for x in right])
@@ -139,8 +147,8 @@ def _answer(table: pa.Table) -> pa.Table:
     rows = []
     for k, key in enumerate(keys):
         i, j = slice(cut[k], cut[k + 1]), slice(bound[k], bound[k + 1])
-        part = C.pack([h[i], df[i]])
-        rows.append((0, *key, len(part).to_bytes(4, "little") + part + C.pack([k1[j], k2[j], size[j], low[j], name[j], mult[j]])))
+        told = C.squeeze(df[i])
+        rows.append((part, *key, len(told).to_bytes(4, "little") + told + C.pack([k1[j], k2[j], size[j], low[j], name[j], mult[j]])))
     return pa.Table.from_batches([C.block_batch(rows)])
 
 
@@ -153,21 +161,18 @@ def _ordered(table: pa.Table, numbers: dict[str, int]) -> pa.Table:
     file, chunk = table.column(1)[0].as_py(), table.column(2)[0].as_py()
     rows = C.read_chunk(file, chunk, ["doc_id", "text"])
     ids, sets, keys = _chunk_sets(*C.ids_and_texts(rows))
-    freq_h, freq_n, owner = [], [], {}
-    for b in table.column(3).to_pylist():
-        if b:
-            n = int.from_bytes(b[:4], "little")
-            h, df = C.unpack(b[4 : 4 + n], [np.uint64, np.uint16])
-            freq_h.append(h)
-            freq_n.append(df)
-            k1, k2, size, *found = (x.tolist() for x in C.unpack(b[4 + n :], [np.uint64, np.uint64, np.uint32, np.int64, np.int64, np.int64]))
-            owner.update(zip(zip(k1, k2, size, strict=True), zip(*found, strict=True), strict=True))
-    h = np.concatenate(freq_h) if freq_h else np.empty(0, np.uint64)
-    df = np.concatenate(freq_n) if freq_n else np.empty(0, np.uint16)
-    order = np.argsort(h, kind="stable")
-    h, df = np.append(h[order], np.uint64(2**64 - 1)), np.append(df[order], np.uint16(1))
+    first = _name(numbers[file], chunk * C.ROWS)
+    freq, owner = [], {}
+    for _, b in sorted((p, b) for p, b in zip(table.column("slice").to_pylist(), table.column(3).to_pylist(), strict=True) if b):
+        n = int.from_bytes(b[:4], "little")
+        freq.append(C.loosen(b[4 : 4 + n], np.uint16))
+        k1, k2, size, *found = (x.tolist() for x in C.unpack(b[4 + n :], [np.uint64, np.uint64, np.uint32, np.int64, np.int64, np.int64]))
+        owner.update(zip(zip(k1, k2, size, strict=True), zip(*found, strict=True), strict=True))
+    _, classes = _classes(ids, sets, keys, list(range(first, first + len(sets))))
+    h, df = (_held(classes)[0], np.concatenate(freq)) if classes else (np.empty(0, np.uint64), np.empty(0, np.uint16))
+    assert len(h) == len(df)
     out: list[tuple] = []
-    for name, (doc, s, k) in enumerate(zip(ids.tolist(), sets, keys, strict=True), _name(numbers[file], chunk * C.ROWS)):
+    for name, (doc, s, k) in enumerate(zip(ids.tolist(), sets, keys, strict=True), first):
         n = len(s)
         if not n:
             out.append((name, doc, 0, doc, name, 1, False, 0, None))
@@ -175,9 +180,7 @@ def _ordered(table: pa.Table, numbers: dict[str, int]) -> pa.Table:
         low, rep, mult = owner[(*k, n)]
         rare, tokens = 0, None
         if rep == name:
-            short = s >> np.uint64(24)
-            at = np.searchsorted(h, short)
-            f = np.where(h[at] == short, df[at], np.uint16(1)).astype(np.uint64)
+            f = df[np.searchsorted(h, s >> np.uint64(24))].astype(np.uint64)
             rare = int((f == 1).sum())
             if rare < prefix_length(n):
                 tokens = np.sort(f << np.uint64(48) | s >> np.uint64(16)).tobytes()
