@@ -29,7 +29,7 @@ def osa(a: str, b: str, most: int) -> int:
         if min(row) > most:
             return most + 1
         two, one = one, row
-    return one[-1]
+    return min(one[-1], most + 1)
 
 
 def lcs(a: str, b: str) -> int:

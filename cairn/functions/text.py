@@ -91,12 +91,26 @@ def stem_text(token: str) -> str:
     return token
 
 
-def stem(token: Column) -> Column:
-    """The same as one expression."""
-    out = token
+_WHOLE = "!"  # before a token that is too short to be stemmed
+
+
+def _step(endings: tuple[str, ...], left: str):
+    def run(x: Column) -> Column:
+        out = x
+        for n in sorted({len(e) for e in endings}):  # the longest is asked first
+            found = F.substring(x, -n, n).isin(*(e for e in endings if len(e) == n))
+            out = F.when(found, F.concat(F.substring(x, F.lit(1), F.length(x) - F.lit(n)), F.lit(left))).otherwise(out)
+        return F.when(F.startswith(x, F.lit(_WHOLE)), x).otherwise(out)
+
+    return run
+
+
+def stems(tokens: Column) -> Column:
+    """The stems of an array of tokens; a step a pass, so that no expression is written twice."""
+    out = F.transform(tokens, lambda x: F.when(F.length(x) < 5, F.concat(F.lit(_WHOLE), x)).otherwise(x))
     for endings, left in STEPS:
-        out = F.regexp_replace(out, "(?:" + "|".join(endings) + ")$", left)
-    return F.when((F.length(token) < 5) | token.rlike("^[0-9]+$"), token).otherwise(out)
+        out = F.transform(out, _step(endings, left))
+    return F.transform(out, lambda x: F.when(F.startswith(x, F.lit(_WHOLE)), F.substring(x, 2, 1 << 30)).otherwise(x))
 
 
 def _long_enough(token: Column, least: int) -> Column:
@@ -165,21 +179,20 @@ def proximity_term(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == "") | (a == b), F.lit("")).otherwise(F.concat(F.lit("n_"), F.least(a, b), F.lit("_"), F.greatest(a, b)))
 
 
-def explode_tokens(df: DataFrame, keys: list[str], text: str, mode: str = "latin", least: int = 2) -> DataFrame:
-    """keys, pos, term: a row a token, in order of pos. (The stem is taken inside the array: as a column of its own, the
-    optimizer would copy it into every filter that it pushes down.)"""
-    return df.select(*keys, F.posexplode(tokens(F.col(text), mode, least)).alias("pos", "term"))
-
-
 def tokens(text: Column, mode: str = "latin", least: int = 2, unique: bool = False) -> Column:
     """The terms of a text as an array, in order."""
     keep = lambda x: _long_enough(x, least) & ~x.isin(*STOPWORDS)
-    out = F.filter(F.transform(F.filter(F.split(fold(text, mode), "[^a-z0-9]+"), keep), stem), keep)
+    out = F.filter(stems(F.filter(F.split(fold(text, mode), "[^a-z0-9]+"), keep)), keep)
     return F.array_distinct(out) if unique else out
 
 
+def windows(terms: Column, n: int) -> Column:
+    """All sequences of n neighbours."""
+    return F.when(F.size(terms) >= n, F.transform(F.sequence(F.lit(1), F.size(terms) - F.lit(n - 1)), lambda i: F.slice(terms, i, n))).otherwise(F.array().cast("array<array<string>>"))
+
+
 def ngrams(terms: Column, n: int) -> Column:
-    return F.when(F.size(terms) >= n, F.transform(F.sequence(F.lit(1), F.size(terms) - F.lit(n - 1)), lambda i: F.array_join(F.slice(terms, i, n), "_"))).otherwise(F.array().cast("array<string>"))
+    return F.transform(windows(terms, n), lambda w: F.array_join(w, "_"))
 
 
 def expanded(terms: Column) -> Column:

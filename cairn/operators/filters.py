@@ -45,7 +45,8 @@ def condition(index, filters: Filters, drop_unknown_facets: bool = False) -> Col
                 parts += [] if drop_unknown_facets else [F.lit(False)]
                 continue
             wanted = sorted({*found})
-        parts.append(F.arrays_overlap(F.col(f"facet_{name}"), F.array(*map(F.lit, wanted))))
+        plain = f"value_{name}"  # one value a document: a comparison that parquet statistics can answer
+        parts.append(F.col(plain).isin(*wanted) if plain in index.docs.columns else F.arrays_overlap(F.col(f"facet_{name}"), F.array(*map(F.lit, wanted))))
     kinds = {n.name: n.type for n in cfg.numbers}
     for name, bounds in filters.numbers.items():
         low, high = (range_value(bounds.get(k), kinds.get(name, "double")) for k in ("min", "max"))

@@ -1,16 +1,18 @@
 """Building an index: documents become tables that searches read.
 
-docs(doc, id, url, title, display, facet arrays, numbers, booleans), doc_terms(doc, term, score), terms(term, df),
-postings(term, doc, impact), facets(field, value, label, n, n_docs), authority(key, doc, score, rnk, total),
-bundles(key, doc, score, rnk, total, next_score, next_doc), replicas(replica, doc, rnk).
+docs(doc, id, url, title, display, facet arrays, numbers, booleans), tokens(doc, f, terms), doc_terms(doc, term, score),
+terms(term, df), postings(term, doc, impact), blocks and tiers (bounds on impacts), facets(field, value, label, n, n_docs),
+authority(key, doc, score, rnk, total), bundles(key, doc, score, rnk, total, next_score, next_doc), replica_*(rnk, doc, ..).
 
 Shuffles of a build: occurrences by (document, term) and the budget by document, frequencies by term, postings by term.
-Texts are read once and never shuffled; what is shuffled is counted in the task first.
+Texts are tokenised once, into arrays of terms that phrases, pairs and bundles are made from; what is shuffled is counted in
+the task first.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.functions import values as V
 from cairn.plans.config import IndexConfig
-from cairn.sources.store import Store, fingerprint, fresh_path
+from cairn.sources.readers import spread
+from cairn.sources.store import Store, checksum, fingerprint, fresh_path, read_json, source_state
+from cairn.sources.store import verify as check
 
 
 @dataclass
@@ -64,6 +68,8 @@ def documents(df: DataFrame, cfg: IndexConfig) -> DataFrame:
     out["url"] = F.coalesce(out.get("url", address).cast("string"), address, F.lit(""))
     for f in cfg.facets:
         out[f"facet_{f.name}"] = V.values_of(F.col(f.column), _kind(df, f.column))
+        if not _kind(df, f.column).startswith("array"):  # a plain value too, by which scans prune
+            out[f"value_{f.name}"] = F.try_element_at(out[f"facet_{f.name}"], F.lit(1))
     for n in cfg.numbers:
         c = F.unix_millis(F.col(n.column).cast("timestamp")) if n.type == "date" and _kind(df, n.column).startswith("timestamp") else V.number(F.col(n.column), n.type)
         out[f"number_{n.name}"] = c
@@ -83,20 +89,20 @@ def field_texts(df: DataFrame, cfg: IndexConfig) -> DataFrame:
     return df.select(F.col("doc").cast("long").alias("doc"), F.inline(F.array(*parts)))
 
 
-def token_rows(df: DataFrame, cfg: IndexConfig) -> DataFrame:
-    """doc, f, pos, term."""
-    return T.explode_tokens(field_texts(df, cfg), ["doc", "f"], "text", cfg.fold)
+def token_arrays(df: DataFrame, cfg: IndexConfig) -> DataFrame:
+    """doc, f, terms: the terms of each field in order, as one array; fields without any are left out."""
+    return field_texts(df, cfg).select("doc", "f", T.tokens(F.col("text"), cfg.fold).alias("terms")).where(F.size("terms") > 0)
 
 
 def occurrences(tokens: DataFrame, cfg: IndexConfig) -> DataFrame:
-    """doc, term, tf0.. and ph0..: how often a term, or a phrase of two or three terms, is in each field."""
-    rows = tokens.select("doc", "f", "term", F.lit(False).alias("phrase"))
+    """doc, term, tf0.. and ph0..: how often a term, or a phrase of two or three terms, is in each field. Phrases are put
+    together inside a field's array; only counts are shuffled."""
+    rows = tokens.select("doc", "f", F.explode("terms").alias("term"), F.lit(False).alias("phrase"))
     phrased = [k for k, f in enumerate(cfg.text) if f.phrase]
     if phrased:
-        w = Window.partitionBy("doc", "f").orderBy("pos")
-        near = tokens.where(F.col("f").isin(phrased)).select("doc", "f", "term", F.lead("term", 1).over(w).alias("t1"), F.lead("term", 2).over(w).alias("t2"))
-        grams = F.filter(F.array(F.when(F.col("t1").isNotNull(), F.concat_ws("_", "term", "t1")), F.when(F.col("t2").isNotNull(), F.concat_ws("_", "term", "t1", "t2"))), lambda x: x.isNotNull())
-        rows = rows.unionByName(near.select("doc", "f", F.explode(grams).alias("term"), F.lit(True).alias("phrase")))
+        terms = F.col("terms")
+        near = tokens.where(F.col("f").isin(phrased)).select("doc", "f", F.explode(F.concat(T.ngrams(terms, 2), T.ngrams(terms, 3))).alias("term"), F.lit(True).alias("phrase"))
+        rows = rows.unionByName(near)
     sums = []
     for k in range(len(cfg.text)):
         here = F.col("f") == k
@@ -111,19 +117,19 @@ def averages(counts: DataFrame, cfg: IndexConfig, n: int) -> dict[str, float]:
 
 
 def proximity_rows(tokens: DataFrame, cfg: IndexConfig) -> DataFrame | None:
-    """doc, term, s: pairs of terms close to each other in a field, each pair at its first place only, weight by distance."""
+    """doc, term, s: pairs of terms close to each other in a field, each pair at its first place only, weight by distance.
+    A field's option may bound the tokens that make pairs; 0: all do."""
     out = None
     for k, f in enumerate(cfg.text):
         if not f.proximity or cfg.is_always(f):
             continue
-        w = Window.partitionBy("doc").orderBy("pos")
-        leads = [F.lead("term", d).over(w).alias(f"t{d}") for d in range(1, f.proximity_window + 1)]
-        rows = tokens.where(F.col("f") == k).select("doc", "term", F.row_number().over(w).alias("i"), *leads)
-        # a pair's right end must be among the first tokens too
-        pairs = F.array(*(F.when((F.col("i") + d <= f.max_proximity_tokens) & (F.col("i") <= f.max_proximity_tokens) & F.col(f"t{d}").isNotNull(), F.struct(T.proximity_term(F.col("term"), F.col(f"t{d}")).alias("p"), F.lit(d).alias("d"))) for d in range(1, f.proximity_window + 1)))
-        each = rows.select("doc", "i", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("x")).where("x.p <> ''")
-        first = each.groupBy("doc", F.col("x.p").alias("term")).agg(F.min(F.struct("i", F.col("x.d").alias("d"))).alias("at"))
-        one = first.select("doc", "term", (F.lit(float(f.proximity_weight)) / F.col("at.d")).alias("s"))
+        terms = F.slice("terms", 1, f.max_proximity_tokens) if f.max_proximity_tokens > 0 else F.col("terms")
+        held = tokens.where(F.col("f") == k).select("doc", terms.alias("terms"), F.size(terms).alias("n"))
+        each = held.select("doc", "terms", "n", F.posexplode("terms").alias("i", "a"))
+        near = F.slice("terms", F.col("i") + 2, F.lit(f.proximity_window))
+        rows = each.where(F.col("i") + 1 < F.col("n")).select("doc", "i", "a", F.posexplode(near).alias("d", "b")).where("a <> b")
+        first = rows.groupBy("doc", T.proximity_term(F.col("a"), F.col("b")).alias("term")).agg(F.min(F.struct("i", F.col("d"))).alias("at"))
+        one = first.select("doc", "term", (F.lit(float(f.proximity_weight)) / (F.col("at.d") + 1)).alias("s"))
         out = one if out is None else out.unionByName(one)
     return None if out is None else out.groupBy("doc", "term").agg(F.sum("s").alias("s"))
 
@@ -227,16 +233,14 @@ def bundle_seeds(tokens: DataFrame, terms: DataFrame, cfg: IndexConfig) -> DataF
     """key, base (array), docs: sequences of two or three terms that at least `bundle_seed_docs` documents select."""
     most = max(2, min(3, cfg.bundle_terms))
     phrase = terms.where(F.col("term").contains("_") & ~F.col("term").startswith("n_")).select("doc", F.split("term", "_").alias("base")).where((F.size("base") >= 2) & (F.size("base") <= most))
-    w = Window.partitionBy("doc", "f").orderBy("pos")
     fields = [k for k, f in enumerate(cfg.text) if f.bundles]
-    caps = {k: cfg.text[k].bundle_tokens if cfg.text[k].bundle_tokens is not None else cfg.bundle_field_tokens for k in fields}
     limit = F.lit(0)
-    for k, c in caps.items():
-        limit = F.when(F.col("f") == k, F.lit(int(c))).otherwise(limit)
-    rows = tokens.where(F.col("f").isin(fields)).select("doc", "f", "term", F.row_number().over(w).alias("i"), F.lead("term", 1).over(w).alias("t1"), F.lead("term", 2).over(w).alias("t2"))
-    two = F.when(F.col("t1").isNotNull() & (F.col("i") + 1 <= limit), F.array("term", "t1"))
-    three = F.when(F.col("t2").isNotNull() & (F.col("i") + 2 <= limit), F.array("term", "t1", "t2"))
-    windows = rows.select("doc", F.explode(F.filter(F.array(*([two, three] if most == 3 else [two])), lambda x: x.isNotNull())).alias("base"))
+    for k in fields:
+        cap = cfg.text[k].bundle_tokens if cfg.text[k].bundle_tokens is not None else cfg.bundle_field_tokens
+        limit = F.when(F.col("f") == k, F.lit(int(cap))).otherwise(limit)
+    kept = tokens.where(F.col("f").isin(fields)).select("doc", F.when(limit > 0, F.slice("terms", F.lit(1), F.greatest(limit, F.lit(1)))).otherwise(F.col("terms")).alias("terms"))
+    sequences = T.windows(F.col("terms"), 2) if most == 2 else F.concat(T.windows(F.col("terms"), 2), T.windows(F.col("terms"), 3))
+    windows = kept.select("doc", F.explode(sequences).alias("base"))
     both = phrase.unionByName(windows).where(F.size("base") == F.size(F.array_distinct("base"))).distinct()
     # all of the sequence's terms must be selected in the document
     each = both.select("doc", "base", F.explode("base").alias("term")).join(terms.select("doc", "term"), ["doc", "term"], "left_semi")
@@ -257,40 +261,52 @@ def bundles(seeds: DataFrame, terms: DataFrame, frequencies: DataFrame, cfg: Ind
     return best.where(F.col("rnk") <= cfg.bundle_rows).join(after, "key", "left").withColumn("next_score", F.coalesce("next_score", F.lit(0)))
 
 
-def rank_map(docs: DataFrame, name: str, column: str, order: str) -> DataFrame:
-    """replica, doc, rnk from 0: documents by a value, then by doc; null values have no rank. No single-partition window."""
+def replica(docs: DataFrame, column: str, order: str) -> DataFrame:
+    """rnk from 0, doc, _value (ascending in the replica's order) and the typed columns: documents by a value, then by doc;
+    those without a value are left out. No single-partition window."""
     from cairn.sources.readers import with_ordinals
 
-    sign = F.col(column) if order == "asc" else -F.col(column).cast("double")
-    rows = docs.where(F.col(column).isNotNull()).select("doc", sign.alias("v"))
-    return with_ordinals(rows, "rnk", ["v", "doc"]).select(F.lit(name).alias("replica"), "doc", "rnk")
+    value = F.col(column).cast("double")
+    typed = [c for c in docs.columns if c.startswith(("facet_", "value_", "number_", "boolean_"))]
+    rows = docs.where(F.col(column).isNotNull()).select("doc", (value if order == "asc" else -value).alias("_value"), *typed)
+    return with_ordinals(rows, "rnk", ["_value", "doc"])
 
 
-def build(df: DataFrame, cfg: IndexConfig, path: str | None = None, source: str = "") -> Index:
-    """Builds or resumes the index of `df` (with a unique `doc`) at `path`."""
+def rank_map(index: Index, name: str) -> DataFrame:
+    """replica, doc, rnk of a sort replica."""
+    return index.tables[f"replica_{name}"].select(F.lit(name).alias("replica"), "doc", "rnk")
+
+
+def build(df: DataFrame, cfg: IndexConfig, path: str | None = None, source: str = "", checksums: bool = False) -> Index:
+    """Builds or resumes the index of `df` (with a unique `doc`) at `path`. checksums: of every table, for open(verify=True)."""
     spark = df.sparkSession
     cfg.check(df.columns)
     path = path or fresh_path(spark, "index")
-    store = Store(spark, path, fingerprint(dataclasses.asdict(cfg), source or path, df.schema.jsonValue()))
+    store = Store(spark, path, fingerprint(dataclasses.asdict(cfg), source or path, df.schema.jsonValue(), source_state(df)))
     try:
-        return _build(df, cfg, store)
+        return _build(df, cfg, store, checksums)
     except Exception as error:
         store.failed(error)
         raise
 
 
-def _build(df: DataFrame, cfg: IndexConfig, store: Store) -> Index:
-    spark = df.sparkSession
-    docs = store.stage("docs", lambda: documents(df, cfg))
+def _build(df: DataFrame, cfg: IndexConfig, store: Store, checksums: bool) -> Index:
+    spark, began = df.sparkSession, time.time()
+    docs = store.stage("docs", lambda: documents(df, cfg), sort=["doc"])
     n = docs.count()
-    tokens = token_rows(df, cfg)
+    tokens = store.stage("tokens", lambda: token_arrays(spread(df), cfg))
     counts = store.stage("occurrences", lambda: occurrences(tokens, cfg))
     mean = averages(counts, cfg, n)
     pairs = proximity_rows(tokens, cfg) if cfg.expansion_terms_per_doc > 0 else None
     terms = store.stage("doc_terms", lambda: doc_terms(counts, pairs, cfg, mean))
-    tables = {"docs": docs, "occurrences": counts, "doc_terms": terms}
+    tables = {"docs": docs, "tokens": tokens, "occurrences": counts, "doc_terms": terms}
     tables["terms"] = store.stage("terms", lambda: document_frequencies(terms), sort=["term"])
-    tables["postings"] = store.stage("postings", lambda: postings(terms, tables["terms"], n), sort=["term", "doc"], bloom="term")
+    posts = tables["postings"] = store.stage("postings", lambda: postings(terms, tables["terms"], n), sort=["term", "doc"], bloom="term")
+    if cfg.bounds:
+        from cairn.operators import bounds, layout
+
+        tables["blocks"] = store.stage("blocks", lambda: layout.block_bounds(posts, bounds.BLOCK_DOCS), sort=["term", "block"])
+        tables["tiers"] = store.stage("tiers", lambda: layout.impact_tiers(posts), sort=["term"])
     tables["facets"] = store.stage("facets", lambda: facets(df, cfg))
     if cfg.authority:
         tables["authority"] = store.stage("authority", lambda: authority(df, cfg), sort=["key"], bloom="key")
@@ -299,7 +315,37 @@ def _build(df: DataFrame, cfg: IndexConfig, store: Store) -> Index:
         tables["bundles"] = store.stage("bundles", lambda: bundles(tables["seeds"], terms, tables["terms"], cfg, n), sort=["key"])
     for field_name, order in cfg.sort_replicas:
         kind = "number" if any(x.name == field_name for x in cfg.numbers) else "boolean"
-        name = f"{field_name}_{order}"
-        tables[f"replica_{name}"] = store.stage(f"replica_{name}", lambda c=f"{kind}_{field_name}", o=order, m=name: rank_map(docs.withColumn(c, F.col(c).cast("double")), m, c, o), sort=["rnk"])
-    store.manifest({"version": 1, "total": n, "averages": mean, "config": dataclasses.asdict(cfg), "tables": sorted(tables), "reused": store.reused})
-    return Index(spark, cfg, n, mean, tables, store.path, store.reused)
+        name = f"replica_{field_name}_{order}"
+        tables[name] = store.stage(name, lambda c=f"{kind}_{field_name}", o=order: replica(docs.withColumn(c, F.col(c).cast("double")), c, o), sort=["rnk"])
+    index = Index(spark, cfg, n, mean, tables, store.path, store.reused)
+    publish(index, store, round(time.time() - began, 3), checksums)
+    return index
+
+
+def publish(index: Index, store: Store, seconds: float, checksums: bool) -> None:
+    """The manifests, telemetry and report of a finished build; the small manifest, by which an index is opened, comes last."""
+    from cairn.operators.report import build_report, optimizer_report
+
+    held = {p["name"]: p for p in store.phases}
+    tables = {name: {"bytes": held[name]["bytes"], "files": held[name]["files"]} | ({"checksum": checksum(df)} if checksums else {}) for name, df in index.tables.items()}
+    small = {"version": 2, "total": index.n, "averages": index.averages, "config": dataclasses.asdict(index.config), "tables": sorted(tables), "full": "manifest.json", "telemetry": "telemetry.json", "optimizer": "optimizer.json"}
+    store.write("telemetry.json", {"seconds": seconds, "phases": store.phases, "report": build_report(store.phases, index.n, seconds)})
+    store.write("optimizer.json", optimizer_report(index, tables))
+    store.write("manifest.json", small | {"tables": tables, "reused": store.reused, "mark": store.mark})
+    store.write("manifest.min.json", small)
+
+
+def open_index(spark: SparkSession, path: str, verify: bool = False) -> Index:
+    """A built index, by its small manifest. verify: every table is compared with the checksum that its build recorded."""
+    path = path.rstrip("/")
+    small = read_json(spark, f"{path}/manifest.min.json")
+    if small is None:
+        raise FileNotFoundError(f"no finished index at {path}")
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in small["tables"]}
+    if verify:
+        full = read_json(spark, f"{path}/manifest.json")["tables"]
+        for name, df in tables.items():
+            if "checksum" not in full[name]:
+                raise ValueError(f"{name} was built without a checksum")
+            check(df, full[name]["checksum"])
+    return Index(spark, IndexConfig.from_dict(small["config"]), small["total"], small["averages"], tables, path)

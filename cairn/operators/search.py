@@ -85,9 +85,11 @@ def ranked_page(rows: DataFrame, order: list, size: int, offset: int) -> DataFra
 
 
 def hydrate(index: Index, page: DataFrame) -> DataFrame:
-    """The page's documents, in full."""
+    """The page's documents, in full. The page's ids become literals, by which the scan of docs, sorted by doc, prunes."""
     keep = [c for c in page.columns if c in ("doc", "score", "rank")]
-    return page.select(*keep).join(index.docs, "doc").orderBy("rank")
+    rows = page.select(*keep).collect()  # one page
+    held = index.spark.createDataFrame(rows, page.select(*keep).schema)
+    return held.join(index.docs.where(F.col("doc").isin([r["doc"] for r in rows])), "doc").orderBy("rank")
 
 
 def dependency_terms(base: list[str], window: int = DEPENDENCY_WINDOW) -> dict[str, float]:
@@ -116,45 +118,118 @@ def rerank_dependencies(index: Index, rows: DataFrame, order: list, base: list[s
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first", "doc"))).drop("first")
 
 
-def run_text(index: Index, base: list[str], filters: Filters, page: int, size: int, offset: int, sort=None, rerank: bool = True, fan_out: bool = False, **options) -> tuple[DataFrame, int]:
+def run_text(index: Index, base: list[str], filters: Filters, page: int, size: int, offset: int, sort=None, rerank: bool = True, fan_out: bool = False, totals: bool = True, stats: dict | None = None, **options) -> tuple[DataFrame, int]:
+    """(page, number of hits). Lanes that read less come first where they give the same page: bundles, sorted replicas and,
+    if nobody asks for the total (it is then what the page proves), bounds on impacts."""
+    stats = {} if stats is None else stats
+    spec, ranked = sort_spec(index, sort), rerank and not sort_spec(index, sort) and bool(dependency_terms(base))
+    if not spec and not ranked and not fan_out:
+        if (found := bundle_lane(index, base, size, offset, filters, totals, **options)) is not None:
+            stats["lane"] = "bundles"
+            return found
+        if not totals and "blocks" in index.tables:
+            from cairn.operators.bounds import by_blocks
+
+            rows, told = by_blocks(index, base, offset + size, filters)
+            stats |= told
+            rows = ranked_page(rows, order_columns(None), size, offset)
+            return rows, offset + rows.count()
     rows, order = hits_of(index, base, filters, sort, fan_out, **options)
-    total = rows.count()
-    if rerank and not sort_spec(index, sort) and dependency_terms(base):
-        return rerank_dependencies(index, rows, order, base, offset + size).where((F.col("rank") > offset) & (F.col("rank") <= offset + size)), total
-    return ranked_page(rows, order, size, offset), total
-
-
-def browse(index: Index, filters: Filters, page: int, size: int, offset: int, sort=None, **options) -> tuple[DataFrame, int]:
+    if spec and not fan_out:
+        from cairn.operators.replicas import front
+
+        if (found := front(index, spec, condition(index, filters, **options), offset + size, scores(index.postings, base))) is not None:
+            stats |= found[1]
+            return found[0].where(F.col("rank") > offset), rows.count() if totals else offset + size
+    rows = rows.persist()  # counted and ranked: hits add up once
+    try:
+        total = rows.count()
+        if ranked:
+            paged = rerank_dependencies(index, rows, order, base, offset + size).where((F.col("rank") > offset) & (F.col("rank") <= offset + size))
+        else:
+            paged = ranked_page(rows, order, size, offset)
+        return index.spark.createDataFrame(paged.collect(), paged.schema), total  # one page
+    finally:
+        rows.unpersist()
+
+
+def browse(index: Index, filters: Filters, page: int, size: int, offset: int, sort=None, stats: dict | None = None, **options) -> tuple[DataFrame, int]:
     """Documents without a query: in doc order, or sorted; nothing is missing from later pages."""
     passes = condition(index, filters, **options)
     docs = index.docs if passes is None else index.docs.where(passes)
     spec = sort_spec(index, sort)
+    from cairn.operators.replicas import front
+
+    if spec and (found := front(index, spec, passes, offset + size)) is not None:
+        (stats if stats is not None else {}).update(found[1])
+        return found[0].where(F.col("rank") > offset), docs.count() if passes is not None else index.n
     rows = docs.select("doc", F.lit(0).cast("long").alias("score"), *([spec[0]] if spec else []))
     return ranked_page(rows, order_columns(spec, scored=False), size, offset), rows.count() if passes is not None else index.n
 
 
 def bundle_page(index: Index, base: list[str], size: int, offset: int) -> DataFrame | None:
-    """The page from the materialised best documents of exactly these terms; None where it can't be proven from them."""
+    """The page alone, without filters."""
+    found = bundle_lane(index, base, size, offset)
+    return None if found is None else found[0]
+
+
+def bundle_lane(index: Index, base: list[str], size: int, offset: int, filters: Filters | None = None, totals: bool = True, **options) -> tuple[DataFrame, int] | None:
+    """(page, number of hits) from the materialised best documents of exactly these terms; None where that doesn't prove them.
+    With filters the documents that pass keep their order: the page is right if enough of the best pass or all are known."""
     key = T.bundle_key(base)
     if not key or "bundles" not in index.tables:
         return None
     rows = index.bundles.where(F.col("key") == key)
-    have = rows.agg(F.max("total").alias("total"), F.count("*").alias("n")).first()
-    if not have["n"] or have["n"] < min(have["total"], offset + size):
+    passes = condition(index, filters, **options) if filters else None
+    have = rows.select("doc", "score", "rnk", "total").orderBy("rnk").collect()  # at most `bundle_rows`
+    if not have:
+        return None
+    total, known = have[0]["total"], len(have) == have[0]["total"]
+    if passes is not None:
+        kept = {r[0] for r in index.docs.where(F.col("doc").isin([r["doc"] for r in have])).where(passes).select("doc").collect()}
+        have = [r for r in have if r["doc"] in kept]
+        if known:
+            total = len(have)
+        elif totals:
+            return None
+        else:
+            total = len(have)
+    if not known and len(have) < offset + size:
         return None
-    return rows.where((F.col("rnk") > offset) & (F.col("rnk") <= offset + size)).select("doc", "score", F.col("rnk").alias("rank"))
+    page = [(r["doc"], r["score"], k + 1) for k, r in enumerate(have)][offset : offset + size]
+    return index.spark.createDataFrame(page, "doc long, score long, rank int"), total
 
 
-def batch(index: Index, queries: DataFrame, key: str, text: str, size: int = 10) -> DataFrame:
-    """key, doc, score, rank of every row of a table of queries: one join of all their terms with the postings. Queries are
-    analysed in the same Columns as documents; the shuffle carries one partial sum per query and document."""
+def analysed(index: Index, queries: DataFrame, key: str, text: str) -> DataFrame:
+    """key as q, base: the distinct terms of each row of a table of queries, analysed in the same Columns as documents."""
     base = T.tokens(F.col(text), index.config.fold, unique=True)
-    q = queries.select(F.col(key).alias("q"), base.alias("base")).where(F.size("base") > 0)
-    q = q.withColumn("need", F.when(F.size("base") <= 4, F.size("base")).otherwise(F.size("base") - 1))
-    each = q.select("q", "need", F.explode(T.expanded(F.col("base"))).alias("term"), "base").withColumn("is_base", F.array_contains("base", F.col("term")).cast("int")).drop("base")
-    hits = each.join(index.postings, "term").groupBy("q", "doc").agg(F.sum("impact").alias("score"), F.sum("is_base").alias("hits"), F.first("need").alias("need"))
-    hits = hits.where("hits >= need").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc")))
-    return hits.where(F.col("rank") <= size).select(F.col("q").alias(key), "doc", "score", "rank")
+    return queries.select(F.col(key).alias("q"), base.alias("base")).where(F.size("base") > 0)
+
+
+def distinct_queries(asked: DataFrame) -> DataFrame:
+    """terms (the base terms joined: a query's name), base, need."""
+    need = F.when(F.size("base") <= 4, F.size("base")).otherwise(F.size("base") - 1)
+    return asked.select(F.array_join("base", " ").alias("terms"), "base").dropDuplicates(["terms"]).withColumn("need", need)
+
+
+def pivots(index: Index, each: DataFrame) -> DataFrame:
+    """terms, term: of every query the rarest term and, where one may be missing, the next: a hit holds one of them."""
+    base = each.select("terms", F.size("base").alias("n"), "need", F.explode("base").alias("term"))
+    ranked = base.join(index.terms, "term", "left").withColumn("r", F.row_number().over(Window.partitionBy("terms").orderBy(F.coalesce("df", F.lit(0)), "term")))
+    return ranked.where(F.col("r") <= F.col("n") - F.col("need") + 1).select("terms", "term")
+
+
+def batch(index: Index, queries: DataFrame, key: str, text: str, size: int = 10) -> DataFrame:
+    """key, doc, score, rank of every row of a table of queries. Queries of the same terms are answered once; candidates are
+    the documents of a query's rarest term (or two), and only their postings add up."""
+    asked = analysed(index, queries, key, text)
+    each = distinct_queries(asked)
+    candidates = pivots(index, each).join(index.postings, "term").select("terms", "doc").distinct()
+    wanted = candidates.join(each.select("terms", "need", "base", T.expanded(F.col("base")).alias("all")), "terms")
+    found = wanted.join(index.postings, "doc").where(F.array_contains("all", F.col("term")))
+    hits = found.groupBy("terms", "doc").agg(F.sum("impact").alias("score"), F.sum(F.array_contains("base", F.col("term")).cast("int")).alias("hits"), F.first("need").alias("need"))
+    best = hits.where("hits >= need").withColumn("rank", F.row_number().over(Window.partitionBy("terms").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= size)
+    return asked.select("q", F.array_join("base", " ").alias("terms")).join(best, "terms").select(F.col("q").alias(key), "doc", "score", "rank")
 
 
 # -- labels ------------------------------------------------------------------
@@ -193,27 +268,45 @@ def rerank_authority(index: Index, result: Result, query: str, size: int) -> Res
     return result
 
 
-def search(index: Index, q: str = "", filters=None, sort=None, page: int = 1, size: int = 10, rerank: bool = True, authority: bool = True, fan_out: bool = False, drop_unknown_facets: bool = False) -> Result:
-    """One page of results, with every fallback: surfaces, typos, labels."""
+def search(index: Index, q: str = "", filters=None, sort=None, page: int = 1, size: int = 10, rerank: bool = True, authority: bool = True, fan_out: bool = False, drop_unknown_facets: bool = False, totals: bool = True, trace: bool = False) -> Result:
+    """One page of results, with every fallback: surfaces, typos, labels. totals=False: the page is exact, Result.total is what
+    it proves, and Result.approximate is set. trace: milliseconds by span in Result.stats["trace"]."""
+    from cairn.operators.report import Trace
     from cairn.operators.typo import fall_back
 
+    spans = Trace(trace)
     q, filters = (q or "").strip(), Filters.of(filters)
     page, size, offset = page_bounds(page, size)
     options = {"drop_unknown_facets": drop_unknown_facets}
+    stats: dict = {}
     if not q:
-        rows, total = browse(index, filters, page, size, offset, sort, **options)
-        return Result(total, page, size, hydrate(index, rows))
-    analyzed = T.analyze_query(q)
+        with spans.span("browse"):
+            rows, total = browse(index, filters, page, size, offset, sort, stats, **options)
+        with spans.span("docs"):
+            result = Result(total, page, size, hydrate(index, rows), stats=stats)
+        return _traced(result, spans)
+    with spans.span("analyse"):
+        analyzed = T.analyze_query(q)
     base = [t for _, t in analyzed]
-    run = lambda terms: run_text(index, terms, filters, page, size, offset, sort, rerank, fan_out, **options)
+    run = lambda terms: run_text(index, terms, filters, page, size, offset, sort, rerank, fan_out, totals, stats, **options)
     if base:
-        rows, total = run(base)
+        with spans.span("hits"):
+            rows, total = run(base)
     else:
         rows, total = index.docs.limit(0).select("doc", F.lit(0).cast("long").alias("score"), F.lit(0).alias("rank")), 0
-    result = Result(total, page, size, rows, q)
+    result = Result(total, page, size, rows, q, stats=stats, approximate=not totals)
     if page == 1 and not sort and base:
-        result = fall_back(index, result, analyzed, run)
-    result.rows = hydrate(index, result.rows)
+        with spans.span("fallbacks"):
+            result = fall_back(index, result, analyzed, run)
+    with spans.span("docs"):
+        result.rows = hydrate(index, result.rows)
     if authority and page == 1 and not sort_spec(index, sort) and not sort and not filters:
-        result = rerank_authority(index, result, (result.corrected_query or result.surface_query or q).strip(), size)
+        with spans.span("labels"):
+            result = rerank_authority(index, result, (result.corrected_query or result.surface_query or q).strip(), size)
+    return _traced(result, spans)
+
+
+def _traced(result: Result, spans) -> Result:
+    if spans.on:
+        result.stats["trace"] = spans.result()
     return result

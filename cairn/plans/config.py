@@ -153,6 +153,7 @@ class IndexConfig:
     bundle_terms: int = 3
     bundle_field_tokens: int = 160
     sort_replicas: tuple[tuple[str, str], ...] = ()
+    bounds: bool = True  # tables of bounds on impacts, for searches that don't count their hits
     typo: TypoOptions = field(default_factory=TypoOptions)
     fold: str = "latin"  # or "nfkd": full normalisation by an Arrow UDF
 
@@ -174,6 +175,13 @@ class IndexConfig:
             if n.type not in ("int", "long", "float", "double", "date"):
                 raise ValueError(f"number {n.name}: unknown type {n.type}")
 
+    @classmethod
+    def from_dict(cls, given: dict) -> IndexConfig:
+        """The config that dataclasses.asdict gave, also after a way through JSON."""
+        kinds = {"text": TextField, "facets": Facet, "numbers": Number, "booleans": Boolean, "authority": Authority, "display": Display}
+        held = {k: tuple(kinds[k](**x) for x in v) if k in kinds else v for k, v in given.items()}
+        return cls(**held | {"typo": TypoOptions(**given["typo"]), "always": tuple(given["always"]), "sort_replicas": tuple(map(tuple, given["sort_replicas"]))})
+
     @classmethod
     def from_json(cls, path: str) -> tuple[IndexConfig, str, str]:
         """(config, input, output) of a JSON file; its paths are relative to the file. Layout keys are accepted and ignored."""

@@ -1,4 +1,5 @@
-"""The corpora that the registered queries run over, and their indexes, each built once a session and folder."""
+"""The corpora that the registered queries run over, and their indexes, each built once a session and folder. All of them are
+indexed from whole texts."""
 
 from __future__ import annotations
 
@@ -11,15 +12,15 @@ from cairn.sources.readers import html_title, strip_html, with_ordinals
 
 DOCUMENTS = IndexConfig(
     text=(TextField("body", "text"),), facets=(Facet("lang"), Facet("source")), numbers=(Number("n_chars", type="long"),), booleans=(Boolean("quality"), Boolean("toxic")),
-    display=(Display("lang"), Display("source"), Display("snippet", "text", 40)), id_path="doc_id",
+    display=(Display("lang"), Display("source"), Display("snippet", "text", 40)), id_path="doc_id", body_chars=0,
 )
 PARTS = IndexConfig(
     text=(TextField("title", "p_name", weight=4.5, b=0.55, phrase=True), TextField("kind", "p_type", weight=1.4, b=0.0)), facets=(Facet("p_brand"), Facet("p_type")),
     numbers=(Number("p_size", type="int"), Number("p_retailprice", type="double")), authority=(Authority("name", "p_name"),), display=(Display("title", "p_name"), Display("p_brand")),
-    id_path="p_partkey", bundles=True, sort_replicas=(("p_retailprice", "desc"),),
+    id_path="p_partkey", bundles=True, bundle_field_tokens=0, sort_replicas=(("p_retailprice", "desc"),),
 )
-TURNS = IndexConfig(text=(TextField("body", "text", proximity=True),), facets=(Facet("role"),), expansion_terms_per_doc=8, id_path="doc")
-PAGES = IndexConfig(text=(TextField("title", weight=4.5, b=0.55, phrase=True), TextField("body")), authority=(Authority("title"),), display=(Display("title"), Display("url")), id_path="doc")
+TURNS = IndexConfig(text=(TextField("body", "text", proximity=True, max_proximity_tokens=0),), facets=(Facet("role"),), expansion_terms_per_doc=8, id_path="doc", body_chars=0)
+PAGES = IndexConfig(text=(TextField("title", weight=4.5, b=0.55, phrase=True), TextField("body")), authority=(Authority("title"),), display=(Display("title"), Display("url")), id_path="doc", body_chars=0)
 ORDERS = IndexConfig(text=(TextField("priority", "o_orderpriority"),), facets=(Facet("o_orderstatus"), Facet("o_orderpriority")), numbers=(Number("o_orderdate", type="date"), Number("o_totalprice", type="double")), id_path="o_orderkey")
 
 _built: dict[tuple, Index] = {}

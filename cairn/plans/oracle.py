@@ -62,7 +62,7 @@ def index(cfg: IndexConfig, docs: str, doc: str, columns: dict[str, str]) -> str
         for k, f in enumerate(cfg.text):
             if f.proximity and not cfg.is_always(f):
                 pairs = " UNION ALL ".join(
-                    f"SELECT a.doc, a.pos AS i, {d} AS d, 'n_' || least(a.term, b.term) || '_' || greatest(a.term, b.term) AS term FROM tok a JOIN tok b ON a.doc = b.doc AND b.f = {k} AND b.pos = a.pos + {d} WHERE a.f = {k} AND a.term <> b.term AND a.pos <= {f.max_proximity_tokens} AND b.pos <= {f.max_proximity_tokens}"
+                    f"SELECT a.doc, a.pos AS i, {d} AS d, 'n_' || least(a.term, b.term) || '_' || greatest(a.term, b.term) AS term FROM tok a JOIN tok b ON a.doc = b.doc AND b.f = {k} AND b.pos = a.pos + {d} WHERE a.f = {k} AND a.term <> b.term" + (f" AND b.pos <= {f.max_proximity_tokens}" if f.max_proximity_tokens > 0 else "")
                     for d in range(1, f.proximity_window + 1)
                 )
                 parts.append(f"SELECT doc, term, {float(f.proximity_weight)!r}e0 / arg_min(d, i * 100 + d) AS s FROM ({pairs}) GROUP BY doc, term")

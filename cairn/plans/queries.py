@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from cairn.functions import fuzzy as Z
 from cairn.functions import text as T
 from cairn.functions import values as V
-from cairn.operators import layout, quality, search as S, typo
-from cairn.operators.filters import Filters
-from cairn.operators.index import merge_segments
+from cairn.operators import bounds, layout, quality, search as S, typo
+from cairn.operators.index import merge_segments, rank_map
 from cairn.plans import oracle as O
 from cairn.plans.corpora import DOCUMENTS, PARTS, TURNS, corpus, table
 
@@ -192,7 +191,7 @@ register(
 )(lambda s, d: _page(s, d, "parts", "widget red", authority=True).withColumn("score", F.col("score").cast("double")))
 
 _SEEDS = f"""seq AS (SELECT doc, f, term, pos, lead(term, 1) OVER w AS t1, lead(term, 2) OVER w AS t2 FROM tok WINDOW w AS (PARTITION BY doc, f ORDER BY pos)),
-windows AS (SELECT doc, [term, t1] AS base FROM seq WHERE t1 IS NOT NULL AND pos + 1 <= 160 UNION SELECT doc, [term, t1, t2] FROM seq WHERE t2 IS NOT NULL AND pos + 2 <= 160
+windows AS (SELECT doc, [term, t1] AS base FROM seq WHERE t1 IS NOT NULL UNION SELECT doc, [term, t1, t2] FROM seq WHERE t2 IS NOT NULL
  UNION SELECT doc, string_split(term, '_') FROM doc_terms WHERE contains(term, '_') AND len(string_split(term, '_')) BETWEEN 2 AND 3),
 picked AS (SELECT doc, list(term) AS has FROM doc_terms GROUP BY doc),
 seeds AS (SELECT base, count(*) AS docs FROM windows JOIN picked USING (doc) WHERE len(list_distinct(base)) = len(base) AND list_has_all(has, base) GROUP BY base HAVING count(*) >= 2)"""
@@ -208,15 +207,31 @@ register(
 
 @register("search_bundle", f"{P}, {_hits(PHRASE)}) {O.page('score DESC, doc', 10)}")
 def search_bundle(spark, sf_dir):
-    ix = corpus(spark, sf_dir, "parts")
-    base = T.tokenize_text(PHRASE)
-    rows = S.bundle_page(ix, base, 10, 0)
-    if rows is None:
-        rows = S.ranked_page(*S.hits_of(ix, base, Filters()), 10, 0)
-    return rows.select("doc", "score", F.col("rank").cast("int").alias("rank"))
+    """Two terms whose best documents are at hand."""
+    return _page(spark, sf_dir, "parts", PHRASE)
 
 
-register("rank_map", "SELECT 'p_retailprice_desc' AS replica, p_partkey AS doc, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rnk FROM part WHERE p_retailprice IS NOT NULL")(lambda s, d: corpus(s, d, "parts").replica_p_retailprice_desc)
+register("search_bundle_filtered", f"{P}, {_hits(PHRASE)}) {O.page('score DESC, doc', 10, 0, '(SELECT * FROM hits JOIN part ON doc = p_partkey WHERE p_size <= 40)')}")(
+    lambda s, d: _page(s, d, "parts", PHRASE, filters={"numbers": {"p_size": {"max": 40}}}, totals=False)
+)
+register("rank_map", "SELECT 'p_retailprice_desc' AS replica, p_partkey AS doc, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rnk FROM part WHERE p_retailprice IS NOT NULL")(lambda s, d: rank_map(corpus(s, d, "parts"), "p_retailprice_desc"))
+_PRICED = "(SELECT p_partkey AS doc, CAST(0 AS BIGINT) AS score, * FROM part WHERE p_size >= 30)"
+register("browse_replica", O.page("p_retailprice DESC NULLS LAST, doc", 30, 30, _PRICED))(lambda s, d: _page(s, d, "parts", filters={"numbers": {"p_size": {"min": 30}}}, sort="-p_retailprice", size=30, page=2))
+register("search_replica", f"{P}, {_hits('widget')}) {O.page('p_retailprice DESC NULLS LAST, score DESC, doc', 20, 0, '(SELECT * FROM hits JOIN part ON doc = p_partkey WHERE p_size >= 10)')}")(
+    lambda s, d: _page(s, d, "parts", "widget", filters={"numbers": {"p_size": {"min": 10}}}, sort="-p_retailprice", size=20)
+)
+
+# -- top-k by bounds --------------------------------------------------------------
+
+_search("search_block_bounds", "documents", D, TWO, totals=False)
+_search("search_block_bounds_filtered", "documents", D, FIVE, "JOIN documents ON doc = doc_id WHERE lang = 'en'", filters={"facets": {"lang": ["en"]}}, totals=False)
+
+
+@register("search_impact_tiers", f"{D}, {_hits(FIVE)}) {O.page('score DESC, doc', 10)}")
+def search_impact_tiers(spark, sf_dir):
+    rows, _ = bounds.by_tiers(corpus(spark, sf_dir, "documents"), _terms(FIVE)[0], 10)
+    return S.ranked_page(rows, [F.desc("score"), F.asc("doc")], 10, 0).withColumn("rank", F.col("rank").cast("int"))
+
 
 # -- dependencies ---------------------------------------------------------------
 
@@ -297,14 +312,17 @@ def search_corrected(spark, sf_dir):
 # -- quality -------------------------------------------------------------------------
 
 
-@register("known_items", "SELECT n, n = n AS ok FROM (SELECT count(*) AS n FROM part)")
+_RANKS = f"""{SQL['batch_top'].replace(' SELECT q AS p_partkey, doc, CAST(score', ', best AS (SELECT q AS p_partkey, doc, CAST(score', 1)}),
+ranks AS (SELECT p.p_partkey, coalesce(min(CASE WHEN d.p_name = p.p_name THEN rank END), 0) AS rank FROM part p LEFT JOIN best USING (p_partkey) LEFT JOIN part d ON d.p_partkey = best.doc GROUP BY p.p_partkey)"""
+
+
+@register("known_items", _RANKS + " SELECT count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN rank BETWEEN 1 AND {k} THEN 1e0 ELSE 0e0 END), 9) AS hit{k}" for k in (1, 3, 10)) + ", round(avg(CASE WHEN rank BETWEEN 1 AND 10 THEN 1e0 / rank ELSE 0e0 END), 9) AS mrr10 FROM ranks")
 def known_items(spark, sf_dir):
-    """Each part's name finds parts of that name first."""
-    found = QUERIES["batch_top"](spark, sf_dir).withColumnRenamed("p_partkey", "q")
-    names = table(spark, sf_dir, "part")
-    wanted = names.select(F.col("p_partkey").alias("q"), "p_name").join(names.select(F.col("p_partkey").alias("doc"), "p_name"), "p_name").select("q", "doc")
-    m = quality.retrieval_metrics(quality.ranks_of(found, wanted, "q"))
-    return m.select("n", (F.col("hit10") >= 0.99).alias("ok"))
+    """How high each part's name ranks a part of that name."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    found = QUERIES["batch_top"](spark, sf_dir)
+    ranks = quality.label_ranks(found, part, part.select(F.col("p_partkey").alias("doc"), "p_name"), "p_partkey", "p_name")
+    return quality.retrieval_metrics(ranks).select("n", *(F.round(c, 9).alias(c) for c in ("hit1", "hit3", "hit10", "mrr10")))
 
 
 register("latency_quantiles", "SELECT count(value) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")(

@@ -4,38 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 
 def with_ordinals(df: DataFrame, name: str = "doc", order: list[str] | None = None) -> DataFrame:
-    """Adds dense numbers from 0 in the order of the given columns (the order of the rows if there are none).
+    """Adds dense numbers from 0 in the order of the given columns (the order of the rows as they come if there are none).
 
     Two passes and no single-partition window: rows are range-partitioned and sorted, the sizes of the partitions are
     counted, and each row gets its partition's offset plus its place in it."""
+    from .store import fresh_path
+
     spark = df.sparkSession
-    if order:
-        from .store import fresh_path
+    path = fresh_path(spark, "ordered")  # partition numbers must not change between the two passes
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    placed.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    held = spark.read.parquet(path)
+    sizes = held.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("low")).withColumn("base", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))
+    out = held.join(F.broadcast(sizes.select("_part", "low", "base")), "_part")  # a row a partition
+    return out.withColumn(name, F.col("base") + F.col("_row") - F.col("low")).drop("_part", "_row", "low", "base")
+
 
-        path = fresh_path(spark, "ordered")  # partition numbers must not change between the two passes
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-        held = spark.read.parquet(path)
-        sizes = held.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("low")).withColumn("base", F.sum("n").over(Window.orderBy("_part")) - F.col("n"))
-        out = held.join(F.broadcast(sizes.select("_part", "low", "base")), "_part")  # a row a partition
-        return out.withColumn(name, F.col("base") + F.col("_row") - F.col("low")).drop("_part", "_row", "low", "base")
-    schema = StructType([*df.schema.fields, StructField(name, LongType(), False)])
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])), schema)
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores if they come in fewer partitions that hold any (one row group is one task), else as they are.
+    The count reads no column."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | StructType | None = None, limit: int | None = None, fail_fast: bool = True) -> DataFrame:
-    """Documents of a JSON-lines file, one a non-blank line, numbered from 0 in file order. limit: only the first lines."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    if limit is not None:
-        lines = lines.limit(limit)
-    numbered = lines.rdd.map(lambda r: r[0]).zipWithIndex().toDF("value string, doc long")
+    """Documents of JSON-lines files, one a non-blank line, numbered from 0 in the order of files and lines. limit: only the
+    first lines. Lines are parsed and numbered in the JVM."""
+    mode = {"mode": "FAILFAST" if fail_fast else "PERMISSIVE"}
     if schema is None:
-        schema = spark.read.option("mode", "FAILFAST" if fail_fast else "PERMISSIVE").json(lines.rdd.map(lambda r: r[0])).schema
-    parsed = numbered.select("doc", F.from_json("value", schema, {"mode": "FAILFAST" if fail_fast else "PERMISSIVE"}).alias("d"))
-    return parsed.select("doc", "d.*")
+        schema = spark.read.options(**mode).json(path).schema
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
+    lines = lines.withColumn("_line", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    order = ["_file", "_at", "_line"]
+    if limit is not None:
+        lines = lines.orderBy(*order).limit(limit)
+    numbered = with_ordinals(lines, "doc", order)
+    return numbered.select("doc", F.from_json("value", schema, mode).alias("d")).select("doc", "d.*")
 
 
 def write_json_lines_prefix(spark: SparkSession, source: str, target: str, n: int) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -67,19 +68,37 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def source_state(df: DataFrame) -> str:
+    """Digest of names, sizes and times of change of the files that a DataFrame reads: rewritten data makes a new index."""
+    spark, seen = df.sparkSession, {}
+    for folder in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
+        fs, where = _file(spark, folder)
+        for s in fs.listStatus(where):
+            if s.isFile():
+                seen[s.getPath().toString()] = (s.getLen(), s.getModificationTime())
+    return fingerprint(seen)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _file(spark, path)
+    fs.delete(where, True)
+
+
 class Store:
     """The folder of one index. A stage is a table with a marker that holds the fingerprint of what it was made from."""
 
     def __init__(self, spark: SparkSession, path: str, mark: str):
         self.spark, self.path, self.mark, self.reused = spark, path.rstrip("/"), mark, []
+        self.phases: list[dict] = []
 
     def stage(self, name: str, make: Callable[[], DataFrame], sort: list[str] | None = None, bloom: str | None = None) -> DataFrame:
         """The table `name`, made and written unless a finished one of the same fingerprint is there.
 
         sort: rows are range-partitioned and sorted by these columns, so that row-group statistics prune lookups;
         bloom: a column with a Bloom filter."""
-        table, marker = f"{self.path}/{name}", f"{self.path}/_{name}.done"
-        if read_text(self.spark, marker) == self.mark:
+        table, marker, began = f"{self.path}/{name}", f"{self.path}/_{name}.done", time.time()
+        reused = read_text(self.spark, marker) == self.mark
+        if reused:
             self.reused.append(name)
         else:
             df = make()
@@ -90,14 +109,22 @@ class Store:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
             writer.parquet(table)
             write_text(self.spark, marker, self.mark)
+        fs, where = _file(self.spark, table)
+        held = fs.getContentSummary(where)
+        self.phases.append({"name": name, "seconds": round(time.time() - began, 3), "bytes": held.getLength(), "files": held.getFileCount(), "reused": reused})
         return self.spark.read.parquet(table)
 
-    def manifest(self, content: dict) -> None:
-        write_text(self.spark, f"{self.path}/manifest.json", json.dumps(content, sort_keys=True, indent=1, default=str))
+    def write(self, name: str, content: dict) -> None:
+        write_text(self.spark, f"{self.path}/{name}", json.dumps(content, sort_keys=True, indent=1, default=str))
 
     def failed(self, error: BaseException) -> None:
-        """Leaves what went wrong beside the stages that are done; the manifest of an earlier build stays."""
-        write_text(self.spark, f"{self.path}/_failure.json", json.dumps({"error": type(error).__name__, "message": str(error)[:2000]}))
+        """Leaves what went wrong, and the phases before it, beside the stages that are done; the manifest of an earlier build stays."""
+        self.write("_failure.json", {"error": type(error).__name__, "message": str(error)[:2000], "phases": self.phases})
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    text = read_text(spark, path)
+    return None if text is None else json.loads(text)
 
 
 def verify(table: DataFrame, expected: str) -> None:
