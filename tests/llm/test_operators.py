@@ -147,6 +147,19 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_word_ids_are_the_librarys():
+    """Pieces that are cut out of a text and looked up: composition, capitals, contractions and special strings across cuts."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    lib, words, r = Tokenizer.from_file(path), packing.WordIds(path, most=500), random.Random(3)
+    assert words.fine and words.lower and words.quick
+    parts = ["a", "B", "H", "e", "'", "s", "'s", "'re", "'VE", "1", "23", ".", ",", "&&", "é", "É", "ß", "ÿ", "÷", "\u0301", "\u0331", "\u0308", "日", "😀", " ", "  ", "\n", "\t", "\x1c", "\0", "\x7f", "\xa0", "\u2003", "<|endoftext|>", "<|", "|>", "ſ", "K", "İ", "Σ", "ﬁ", "𝐀", "²", "Ⅷ", "_", "’", "the", "Ing"]
+    for _ in range(40):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(200)]
+        assert words.ids([t.encode() for t in texts]) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 def test_bin_completion_plans():
     r = random.Random(1)
     for _ in range(20):
