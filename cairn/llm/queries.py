@@ -24,7 +24,7 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .ann import neighbours
 
-    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, query_rows=True)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

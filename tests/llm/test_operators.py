@@ -435,6 +435,42 @@ def test_neighbours(spark):
     assert ann.neighbours(df.where("vec_id = 5000"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def brute_neighbours(rows, k):
+    """(query id, rank, id, score), sorted: every distinct (id, vector) of an id divisible by 20 is asked once."""
+    out, asked = [], set()
+    for at, (i, x) in enumerate(rows):
+        if i % 20 == 0 and (i, x) not in asked:
+            asked.add((i, x))
+            best = sorted((-float(np.dot(x, y)), j) for b, (j, y) in enumerate(rows) if b != at)[:k]
+            out += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_neighbours_of_repeated_ids_and_ties(spark):
+    rows = [(20, (1.0, 0.0)), (20, (5.0, 0.0)), (1, (2.0, 0.0))]
+    # a vector that most rows hold, ties at the last rank, one id for many rows
+    many = [(i, (1.0, 1.0)) for i in range(300)] + [(40, (1.0, 1.0)), (7, (3.0, 0.0)), (7, (0.0, 3.0)), (600, (-1.0, 2.0)), (600, (-1.0, 2.0)), *[(9, (float(k), -1.0)) for k in range(30)]]
+    for held, k in ((rows, 5), (many, 4)):
+        df = spark.createDataFrame([(i, list(x)) for i, x in held], "vec_id long, embedding array<double>").repartition(3)
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.neighbours(df, F.col("vec_id") % 20 == 0, k).collect())
+        assert got == brute_neighbours(held, k)
+    wide = spark.createDataFrame([(i, [float((i * 7 + j) % 11) for j in range(3000)]) for i in range(25)] + [(60, [float("inf")] * 3000)], "vec_id long, embedding array<double>")
+    assert ann.neighbours(wide, F.col("vec_id") % 20 == 0, 3, query_rows=True).columns == ["query_id", "rank", "vec_id", "score", "query_row"]
+    assert ann.neighbours(wide, F.col("vec_id") % 20 == 0, 30).count() == 2 * 24
+
+
+def test_graph_recall_over_a_larger_shard():
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(40, 24))
+    v = centres[r.integers(0, 40, 20_000)] + 0.5 * r.normal(size=(20_000, 24))
+    graph = ann.Graph(np.arange(len(v)), v).build()
+    asked = v[::200]
+    q, ids, _, score = ann._best(*graph.search(asked, 20), 20)
+    truth = np.argsort(-(asked @ v.T), axis=1)[:, :20]
+    assert sum(len(set(ids[q == k]) & set(truth[k])) for k in range(len(asked))) >= 0.9 * truth.size
+    assert np.allclose(score, np.einsum("ij,ij->i", asked[q], v[ids]))
+
+
 def test_quality(spark, empty):
     r = random.Random(4)
     clean = lambda: " ".join(r.choice(["river", "stone", "walks", "under", "light", "and", "the"]) + r.choice(["", ",", "."]) for _ in range(r.randrange(20, 80)))
