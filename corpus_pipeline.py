@@ -23,9 +23,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group that similarity links connect, row by row; rows without an id stay."""
+    """Keeps the smallest document of each group that similarity links connect, row by row: of rows that share an id, or have
+    none, the first in the table; an id sorts before none."""
     paths = chunks.written(docs, spark)
-    rows = ngram_join.grouped(spark, paths).where((F.col("name") == F.col("first")) | (F.col("doc_id") == F.lit(chunks.NO_ID)))
+    rows = ngram_join.grouped(spark, paths).where(F.col("name") == F.col("first"))
     return chunks.take(spark, paths, chunks.places(rows, chunks.file_numbers(spark, paths)), COLUMNS)
 
 
