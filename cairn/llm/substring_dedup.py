@@ -188,15 +188,17 @@ def digests(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> D
 
 
 def remove(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> DataFrame:
-    """The documents with the kept words as text, all other columns as they are, and `removed`: word intervals [from, to)."""
+    """The documents with the kept words as text, all other columns as they are, and `removed`: word intervals [from, to); a
+    column of that name gives way."""
     paths = C.written(docs, spark)
     schema = spark.read.parquet(*paths).schema
     from pyspark.sql.types import ArrayType, LongType, StructType
 
-    result = StructType([*schema.fields]).add("removed", ArrayType(ArrayType(LongType())))
+    result = StructType([f for f in schema.fields if f.name != "removed"]).add("removed", ArrayType(ArrayType(LongType())))
 
     def run(table: pa.Table) -> pa.Table:
         rows, words, gone = _chunk(table, width)
+        rows = rows.drop_columns(["removed"]) if "removed" in rows.column_names else rows
         spans = []
         for g in gone:
             edge = np.flatnonzero(np.diff(np.concatenate([[0], g.astype(np.int8), [0]])))

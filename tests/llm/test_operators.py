@@ -147,6 +147,21 @@ def test_packing(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_of_repeats_and_missing_ids(spark, monkeypatch):
+    """Equal rows and rows without id are packed each, whatever buckets their length has; at full capacity."""
+    monkeypatch.setattr(packing, "BUCKET", 7)
+    texts = ["one two three"] * 60 + [None, ""] * 5 + [" ".join(["word"] * 5000)] * 3
+    df = spark.createDataFrame([(None if i % 2 else 5, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, length string")
+    rows = packing.pack(df, P.path("word_bpe_49k.json"), 2048).collect()
+    assert Counter(r["length"] for r in rows) == {4: 60, 1: 10, 2048: 6, 5001 - 4096: 3}
+    taken = Counter()
+    for r in rows:
+        taken.update((r["sequence_id"], r["offset"] + k) for k in range(r["length"]))
+    assert max(taken.values()) == 1 and len({s for s, _ in taken}) == 8  # 6 full ones, and 2965 tokens in two
+    full = Counter(s for s, _ in taken)
+    assert all(sorted(o for s2, o in taken if s2 == s) == list(range(n)) for s, n in full.items())
+
+
 def test_word_ids_are_the_librarys():
     """Pieces that are cut out of a text and looked up: composition, capitals, contractions and special strings across cuts."""
     from tokenizers import Tokenizer
@@ -307,6 +322,12 @@ def test_substring_dedup_of_equal_ids_in_several_chunks(spark, tmp_path):
     assert sorted(len(t) for i, t in left if i == 7) == [0] * 5 + [300]
 
 
+def test_substring_dedup_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, " ".join(map(str, range(30))), 5, "f", 1), (2, " ".join(map(str, range(25))), 6, "g", 2)], "doc_id long, text string, removed int, file string, slice int").coalesce(1)
+    left = {r["doc_id"]: r for r in substring_dedup.remove(spark, df).collect()}
+    assert (left[1]["removed"], left[2]["removed"], left[2]["text"], left[2]["file"], left[2]["slice"]) == ([], [[0, 25]], "", "g", 2)
+
+
 def test_rolling_hashes():
     x = np.arange(50, dtype=np.uint64) ** 5
     for width in (1, 2, 3, 7, 20, 50):

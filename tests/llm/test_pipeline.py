@@ -49,7 +49,7 @@ def test_stages(spark):
 def test_rows_without_id_and_repeats(spark):
     docs = spark.createDataFrame([(None, "no id at all", "en", "s", 12), (None, "no id at all", "en", "s", 12), (1, "one two three", "en", "s", 13), (1, "one two three", "en", "s", 13), (2, "one two three", None, None, None), (3, None, None, None, None), (4, "", "", "", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()
-    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == [(0, "no id at all")] * 2 + [(1, "one two three"), (3, ""), (4, "")]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == [(0, "no id at all"), (1, "one two three"), (3, ""), (4, "")]
 
 
 def test_stages_decide_by_row(spark, monkeypatch):
@@ -65,3 +65,14 @@ def test_stages_decide_by_row(spark, monkeypatch):
     docs = spark.createDataFrame([row(1, "a long enough text to keep"), row(1, "a"), row(None, "b"), row(None, "one more text that is kept")], schema).repartition(2)
     out = corpus_pipeline.quality_stage(spark, docs, SF).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == [(0, "one more text that is kept"), (1, "a long enough text to keep")]
+
+
+def test_stages_of_an_empty_table_and_extra_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, chunk string, file int, kept boolean, name string, slice int, first int, removed int"
+    for rows in ([], [(1, "some words that are kept here", "en", "s", 29, 7, "c", 1, False, "n", 2, 3, 4)] * 2 + [(None, None, None, None, None, None, None, None, None, None, None, None, None)]):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = persist(stage(spark, docs, SF), f"test-extra{k}")
+            if k < 3:
+                assert docs.columns == corpus_pipeline.COLUMNS
+        assert docs.count() == (2 if rows else 0)
