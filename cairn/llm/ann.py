@@ -328,10 +328,10 @@ def neighbours(table: DataFrame, is_query: Column, k: int = 20, id_column: str =
     vectors = persist(vectors.where(F.size("v") == dimension).withColumn("row", F.monotonically_increasing_id()), "vectors")
     shards = max(MIN_SHARDS, -(-n * (12 * dimension + 16 * M) // SHARD_BYTES))
     folder = shared_path(spark, "graphs")
-    paths = [r["path"] for r in build(vectors, folder, shards).orderBy("shard").collect()]  # a row a shard
+    paths = sorted(r["path"] for r in build(vectors, folder, shards).collect())  # a row a shard
     queries = vectors.where(is_query).groupBy("vec_id", "v").agg(F.min("row").alias("row"))
     asked = save_queries(queries, folder, max(1, -(-queries.count() // QUERY_BLOCK)))
-    blocks = [r["path"] for r in asked.orderBy("block").collect()]  # a row a block
+    blocks = sorted(r["path"] for r in asked.collect())  # a row a block
     if not blocks:
         return spark.createDataFrame([], result)
     # few blocks go through the shards in several tasks each, many in one

@@ -42,12 +42,12 @@ def written(docs: DataFrame | str, spark: SparkSession) -> list[str]:
     return [path]
 
 
-def rows_of(spark: SparkSession, paths: list[str], text: bool = True) -> DataFrame:
-    """doc_id, text, file, chunk, row of every row; without text if it isn't wanted."""
+def rows_of(spark: SparkSession, paths: list[str], text: bool = True, more: tuple = ()) -> DataFrame:
+    """doc_id, text, file, chunk, more Columns, row of every row; without text if it isn't wanted."""
     small_batches(spark)
     row = F.col("_metadata.row_index")
     columns = [F.col("doc_id").cast("long").alias("doc_id"), *([F.col("text")] if text else [])]
-    return spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(ROWS)).cast("long").alias("chunk"), row.alias("row"))
+    return spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(ROWS)).cast("long").alias("chunk"), *more, row.alias("row"))
 
 
 def file_numbers(spark: SparkSession, paths: list[str]) -> dict[str, int]:

@@ -510,6 +510,62 @@ def test_quality(spark, empty):
     assert [quality.kth_largest(x, "x", k) for k in range(1, 9)] == values
 
 
+def lm_dictionary(counts, size):
+    """The words that save most, the best last."""
+    out, held = [], 0
+    for w, n in sorted(counts.items(), key=lambda p: (-(len(p[0].encode()) - 3) * p[1], p[0].encode())):
+        if len(w.encode()) > 3 and held + len(w.encode()) + 1 <= size:
+            out.append(w.encode())
+            held += len(out[-1]) + 1
+    return b" ".join(reversed(out))
+
+
+def brute_lm(rows, inside, general, got):
+    """Sizes under the common words and the runs of words in phrases that another row holds, by counting tuples of words."""
+    phrases = lambda w: [tuple(w[k : k + 8]) for k in range(len(w) - 7)] if len(w) >= 8 else [tuple(w)] if w else []
+    all_, in_ = Counter(), Counter()
+    for _, t, flag in rows:
+        held = set(phrases(words(t)))
+        all_.update(held)
+        in_.update(held if flag else ())
+
+    def runs(w, known):
+        marks = [False] * len(w)
+        for k, p in enumerate(phrases(w)):
+            if known(p):
+                marks[k : k + len(p)] = [True] * len(p)
+        return [" ".join(w[a:b]).encode() for a, b in re_spans(marks)], sum(marks)
+
+    for i, t, flag in rows:
+        w, raw, r = words(t), (t or "").encode(), got[i]
+        (near, n_in), (far, n_all) = runs(w, lambda p: in_[p] - flag > 0), runs(w, lambda p: all_[p] > 1)  # noqa: B023
+        assert (r["n_words"], r["n_in_seen"], r["n_seen"]) == (len(w), n_in, n_all)
+        if raw:
+            a, b = (lm_score.Compressor(b" ".join([c, *found]) if found else c).size(raw) for c, found in ((inside, near), (general, far)))
+            assert (r["n_bytes"], r["in_bytes"], r["general_bytes"], r["score"], r["in_bits"]) == (len(raw), a, b, (b - a) / len(raw), 8 * a / len(raw))
+        else:
+            assert (r["in_bytes"], r["general_bytes"], r["score"]) == (0, 0, None)
+
+
+def re_spans(marks):
+    return [m.span() for m in re.finditer("1+", "".join("1" if m else "0" for m in marks))]
+
+
+def test_lm_score_of_copies(spark, docs):
+    rows = [(r[0], r[1], r[2] == "en") for r in ROWS]
+    got = {r["doc_id"]: r for r in lm_score.lm_score(docs, F.col("lang") == "en").collect()}
+    brute_lm(rows, *lm_score.dictionaries(docs, F.col("lang") == "en"), got)
+    # a text that two rows hold is known to the corpus, whatever its length; one row's own text isn't
+    once = " ".join(f"only{k}" for k in range(40))
+    twice, brief, long = " ".join(f"both{k}" for k in range(40)), "three words here", "z" * 5000
+    held = [(1, once, True), (2, twice, True), (3, twice, False), (4, brief, True), (5, brief, True), (None, long, True), (None, long, True), (6, None, None), (6, "", None)]
+    df = spark.createDataFrame([(i, t, f, "x") for i, t, f in held], "doc_id long, text string, inside boolean, slice string").repartition(4)
+    out = sorted((tuple(r) for r in lm_score.lm_score(df, F.col("inside")).select("n_words", "n_in_seen", "n_seen").collect()))
+    assert out == sorted([(40, 0, 0), (40, 0, 40), (40, 40, 40), (3, 3, 3), (3, 3, 3), (1, 1, 1), (1, 1, 1), (0, 0, 0), (0, 0, 0)])
+    inside, _ = lm_score.dictionaries(df, F.col("inside"))
+    assert b"z" * lm_score.PIECE in inside and b"z" * (lm_score.PIECE + 1) not in inside
+
+
 def test_lm_score(spark, docs, empty):
     rows = [(i, " ".join(random.Random(i).choice(["alpha", "river", "stone", "cloud", "meadow"] if i % 2 else ["gamma", "engine", "socket", "packet", "router"]) for _ in range(60)), i % 2 == 1) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, inside boolean")
@@ -517,10 +573,9 @@ def test_lm_score(spark, docs, empty):
     want = Counter(w for _, t, _ in rows for w in t.split())
     assert {w: n for w, (n, _) in counts.items()} == want and counts["river"][1] == want["river"] and counts["router"][1] == 0
     inside, general = lm_score.dictionaries(df, F.col("inside"))
-    a, b = lm_score.Compressor(inside), lm_score.Compressor(general)
-    for r in lm_score.lm_score(df, F.col("inside")).collect():
-        t = rows[r["doc_id"]][1].encode()
-        assert (r["in_bytes"], r["general_bytes"]) == (a.size(t), b.size(t)) and r["score"] == (b.size(t) - a.size(t)) / len(t)
+    assert lm_dictionary(want, lm_score.DICTIONARY_BYTES) == general
+    got = {r["doc_id"]: r for r in lm_score.lm_score(df, F.col("inside")).collect()}
+    brute_lm([(i, t, inside_) for i, t, inside_ in rows], inside, general, got)
     scores = {r["doc_id"]: r["score"] for r in lm_score.lm_score(df, F.col("inside")).collect()}
     assert np.mean([s for i, s in scores.items() if i % 2]) > np.mean([s for i, s in scores.items() if not i % 2])
     hard = {r["doc_id"]: r for r in lm_score.lm_score(docs, F.col("lang") == "en").collect()}
