@@ -77,6 +77,42 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(F.least(F.length(a), F.length(b)) <= 5, of(2)).otherwise(of(3))
 
 
+def shortened(s: Column, most: int) -> Column:
+    """The string and all that is left of it when up to `most` characters are taken out."""
+    less = lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))).otherwise(F.array().cast("array<string>"))
+    out = step = F.array(s)
+    for _ in range(most):
+        step = F.array_distinct(F.flatten(F.transform(step, less)))
+        out = F.array_distinct(F.concat(out, step))
+    return out
+
+
+def osa_udf(most: int):
+    @F.pandas_udf("long")
+    def run(a, b):
+        return a._constructor([osa(x, y, most) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+    return run
+
+
+def close_pairs(strings, column: str, most: int):
+    """a, b, distance of all pairs of distinct strings, a < b, whose optimal string alignment distance is at most `most`. Such
+    strings are equal after up to `most` deletions in each, so only those that share a shortened form meet."""
+    each = strings.select(F.col(column).alias("s")).where("s is not null").distinct().select("s", F.explode(shortened(F.col("s"), most)).alias("form"))
+    met = each.withColumnRenamed("s", "a").join(each.withColumnRenamed("s", "b"), "form").where("a < b").select("a", "b").distinct()
+    return met.withColumn("distance", osa_udf(most)("a", "b")).where(F.col("distance") <= most)
+
+
+def overlapping(queries, strings, column: str):
+    """a, b, share of all pairs of a query's string and another with a share above none: they meet by their 2-grams, of which
+    pairs that share a 3-gram share two."""
+    gram = lambda s: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(s, i, F.lit(2)))))
+    held = lambda df, name: df.select(F.col(column).alias(name)).where(F.length(name) > 1).distinct()
+    a, b = held(queries, "a"), held(strings, "b")
+    met = a.select("a", gram(F.col("a")).alias("g")).join(b.select("b", gram(F.col("b")).alias("g")), "g").where("a <> b").select("a", "b").distinct()
+    return met.withColumn("share", overlap(F.col("a"), F.col("b"))).where("share > 0")
+
+
 def correction_score_text(token: str, surface: str, df: int, distance: int) -> float:
     prefix = next((i for i, (x, y) in enumerate(zip(token, surface, strict=False)) if x != y), min(len(token), len(surface)))
     same_first, same_last = token[:1] == surface[:1] != "", token[-1:] == surface[-1:]

@@ -92,3 +92,40 @@ def hits(base: list[str], expanded: list[str], need: int, postings: str = "posti
 
 def page(order: str, size: int, offset: int = 0, source: str = "hits", columns: str = "doc, score") -> str:
     return f"SELECT {columns}, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank FROM {source}) WHERE rank > {offset} AND rank <= {offset + size}"
+
+
+def distances(pairs: str, name: str = "dist") -> str:
+    """CTE `name`(a, b, d, lcs) of the table `pairs`(a, b): optimal string alignment distance and longest common subsequence, a row of
+    the usual table at a time. WITH RECURSIVE must come first."""
+    change = "one[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END"
+    swap = "CASE WHEN i > 0 AND j > 1 AND a[i + 1] = b[j - 1] AND a[i] = b[j] THEN two[j - 1] + 1 ELSE 1000000 END"
+    ends = "FOR j IN range(0, length(b) + 1)"
+    return f"""
+{name}_rows AS (SELECT DISTINCT a, b, 0::BIGINT AS i, range(0, length(b) + 1) AS one, NULL::BIGINT[] AS two, [0::BIGINT FOR k IN range(0, length(b) + 1)] AS l FROM {pairs}
+ UNION ALL SELECT a, b, i + 1, [list_min([c[k + 1] - k FOR k IN range(0, j + 1)]) + j {ends}], one, [list_max(m[1:j + 1]) {ends}] FROM (
+  SELECT *, list_concat([i + 1], [least(one[j + 1] + 1, {change}, {swap}) FOR j IN range(1, length(b) + 1)]) AS c,
+   list_concat([0::BIGINT], [CASE WHEN a[i + 1] = b[j] THEN l[j] + 1 ELSE l[j + 1] END FOR j IN range(1, length(b) + 1)]) AS m FROM {name}_rows WHERE i < length(a))),
+{name} AS (SELECT a, b, one[-1] AS d, l[-1] AS lcs FROM {name}_rows WHERE i = length(a))"""
+
+
+def overlap(a: str, b: str) -> str:
+    """Shared n-grams of two strings against the larger number of distinct ones."""
+    n = f"(CASE WHEN least(length({a}), length({b})) <= 5 THEN 2 ELSE 3 END)"
+    grams = lambda x: f"list_distinct([substr({x}, i, {n}) FOR i IN range(1, length({x}) - {n} + 2)])"
+    return f"(len(list_intersect({grams(a)}, {grams(b)})) / greatest(len({grams(a)}), len({grams(b)}))::DOUBLE)"
+
+
+def typo(token: str, most: int, vocabulary: str = "df") -> str:
+    """CTE candidates(term, surface, df, distance, score) for a token that is its own stem. WITH RECURSIVE must come first."""
+    from cairn.functions.fuzzy import ENDINGS
+
+    endings = " UNION ALL ".join([f"SELECT term, df, term AS b, 0 AS k, '{token}' AS a FROM near", *(f"SELECT term, df, term || '{e}', {k + 1}, '{token}' FROM near WHERE abs(length(term) + {len(e)} - {len(token)}) <= {most}" for k, e in enumerate(ENDINGS))])
+    share = 0.2 if len(token) <= 5 else 0.25
+    near = f"regexp_full_match(term, '[a-z][a-z0-9]{{2,31}}') AND term <> '{token}' AND abs(length(term) - {len(token)}) <= {most + 4}"
+    prefix = f"len(list_filter(range(1, 5), lambda i: substr(surface, 1, i) = substr('{token}', 1, i) AND length(surface) >= i))"
+    score = f"ln(1 + df) * 0.35e0 + {prefix} * 0.25e0 + lcs / {len(token)}e0 * 5 + CASE WHEN surface[1] = '{token[0]}' THEN 1.2e0 ELSE -1.2e0 END + CASE WHEN surface[-1] = '{token[-1]}' THEN 0.8e0 ELSE 0e0 END - d * 2.6e0 - abs(length(surface) - {len(token)}) * 0.35e0"
+    return f"""
+near AS (SELECT term, df FROM {vocabulary} WHERE {near} AND (term[1] = '{token[0]}' OR {overlap(f"'{token}'", 'term')} >= {share})),
+surfaces AS ({endings}),{distances('surfaces')},
+nearest AS (SELECT term, df, arg_min(s.b, d * 1000 + k) AS surface, min(d) AS d, arg_min(lcs, d * 1000 + k) AS lcs FROM surfaces s JOIN dist USING (a, b) GROUP BY term, df),
+candidates AS (SELECT term, surface, df, d::INTEGER AS distance, {score} AS score FROM nearest WHERE d BETWEEN 1 AND {most})"""

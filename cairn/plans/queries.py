@@ -11,9 +11,11 @@ from cairn.functions import fuzzy as Z
 from cairn.functions import text as T
 from cairn.functions import values as V
 from cairn.operators import bounds, layout, quality, search as S, typo
-from cairn.operators.index import merge_segments, rank_map
+from cairn.operators.index import rank_map
 from cairn.plans import oracle as O
-from cairn.plans.corpora import DOCUMENTS, PARTS, TURNS, corpus, table
+from cairn.plans.corpora import CORPORA, DOCUMENTS, PARTS, TURNS, corpus, table
+from cairn.sources.store import fresh_path
+from cairn.streaming.ingest import read_segments, write_segment
 
 Query = Callable[[SparkSession, str], DataFrame]
 TWO, FIVE = "anea erin", "anea attion erin thanea thanedble"
@@ -78,10 +80,13 @@ register("part_postings", P + " SELECT term, doc, impact FROM postings")(lambda
 register("proximity_postings", C + " SELECT term, doc, impact FROM postings")(lambda s, d: corpus(s, d, "turns").postings)
 
 
-@register("merge_segments", D + " SELECT term, doc, CAST(sum(score) AS BIGINT) AS score FROM (SELECT * FROM doc_terms UNION ALL SELECT * FROM doc_terms WHERE doc % 2 = 0) GROUP BY term, doc")
+@register("merge_segments", D + " SELECT term, doc, score FROM doc_terms")
 def merged(spark, sf_dir):
-    terms = corpus(spark, sf_dir, "documents").doc_terms
-    return merge_segments(terms, terms.where("doc % 2 = 0")).select("term", "doc", "score")
+    """Three segments, written apart as a stream writes them and read as one index: the terms of a build of all documents."""
+    docs, path = CORPORA["documents"][0](spark, sf_dir), fresh_path(spark, "segments")
+    for k in range(3):
+        write_segment(docs.where(F.pmod("doc", F.lit(3)) == k), k, DOCUMENTS, path)
+    return read_segments(spark, path, DOCUMENTS).doc_terms.select("term", "doc", "score")
 
 
 @register("facet_values", " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value, {f} AS label, count(*) AS n, count(*) AS n_docs FROM documents WHERE {f} <> '' GROUP BY {f}" for f in ("lang", "source")))
@@ -265,9 +270,11 @@ register("column_summaries", "SELECT CAST(floor(doc_id / 128) AS BIGINT) AS chun
 register("fold_and_stem", f"WITH src AS (SELECT doc_id AS doc, 0 AS f, text FROM documents),{O.tokens('tok', 'src')} SELECT doc, string_agg(term, ' ' ORDER BY pos) AS terms FROM tok GROUP BY doc")(
     lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.array_join(T.tokens(F.col("text")), " ").alias("terms")).where("terms <> ''")
 )
-register("query_expansion", f"WITH src AS (SELECT p_partkey AS doc, 0 AS f, p_name || ' ' || p_type AS text FROM part),{O.tokens('tok', 'src')}, b AS (SELECT doc, list(term ORDER BY pos) AS a FROM (SELECT doc, term, min(pos) AS pos FROM tok GROUP BY doc, term) GROUP BY doc) SELECT doc, array_to_string(list_distinct(a), ' ') IS NOT NULL AS ok, len(a) AS n_base, len(a) + greatest(len(a) - 1, 0) + greatest(len(a) - 2, 0) AS n_terms FROM b")(
-    lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("doc"), T.tokens(F.concat_ws(" ", "p_name", "p_type"), unique=True).alias("a")).where(F.size("a") > 0).select("doc", F.lit(True).alias("ok"), F.size("a").cast("long").alias("n_base"), F.size(T.expanded(F.col("a"))).cast("long").alias("n_terms"))
-)
+register(
+    "query_expansion",
+    f"WITH src AS (SELECT p_partkey AS doc, 0 AS f, p_name || ' ' || p_type AS text FROM part),{O.tokens('tok', 'src')}, b AS (SELECT doc, list(term ORDER BY pos) AS a FROM (SELECT doc, term, min(pos) AS pos FROM tok GROUP BY doc, term) GROUP BY doc)"
+    " SELECT doc, array_to_string(a || [a[i] || '_' || a[i + 1] FOR i IN range(1, len(a))] || [a[i] || '_' || a[i + 1] || '_' || a[i + 2] FOR i IN range(1, len(a) - 1)], ' ') AS terms FROM b",
+)(lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("doc"), T.tokens(F.concat_ws(" ", "p_name", "p_type"), unique=True).alias("a")).where(F.size("a") > 0).select("doc", F.array_join(T.expanded(F.col("a")), " ").alias("terms")))
 register("number_values", "SELECT event_id, CAST(floor(value + 0.5e0) AS BIGINT) AS whole, value AS real, epoch_us(ts) // 1000 AS at FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", V.number(F.col("value"), "long").alias("whole"), V.number(F.col("value"), "double").alias("real"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
 )
@@ -277,36 +284,34 @@ register("boolean_values", "SELECT doc_id, CASE WHEN quality = 1 THEN 2 WHEN qua
 register("label_keys", f"WITH {_KEYS} SELECT key, doc, CAST(score AS BIGINT) AS score FROM label_rows")(lambda s, d: __import__("cairn.operators.index", fromlist=["x"]).authority_rows(table(s, d, "part").withColumn("doc", F.col("p_partkey")), PARTS).select("key", "doc", "score"))
 
 
-def _pairs_sql(expression: str) -> str:
-    return f"WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, {expression} FROM n a JOIN n b ON a.p_name < b.p_name AND left(a.p_name, 1) = left(b.p_name, 1)"
-
-
-@register("edit_distance_bound", _pairs_sql("CASE WHEN levenshtein(a.p_name, b.p_name) <= 4 THEN levenshtein(a.p_name, b.p_name) ELSE -1 END AS distance"))
-def edit_distance(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = names.withColumnRenamed("p_name", "a"), names.withColumnRenamed("p_name", "b")
-    return a.join(b, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b"))).select("a", "b", F.levenshtein("a", "b", 4).cast("long").alias("distance"))
-
+register("edit_distance_bound", f"WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part), pairs AS (SELECT x.p_name AS a, y.p_name AS b FROM n x JOIN n y ON x.p_name < y.p_name),{O.distances('pairs')} SELECT a, b, d AS distance FROM dist WHERE d <= 3")(
+    lambda s, d: Z.close_pairs(table(s, d, "part"), "p_name", 3)
+)
+register("gram_overlap", f"WITH n AS (SELECT DISTINCT p_name FROM part), q AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 50 = 0) SELECT * FROM (SELECT q.p_name AS a, n.p_name AS b, round({O.overlap('q.p_name', 'n.p_name')}, 9) AS share FROM q JOIN n ON q.p_name <> n.p_name) WHERE share > 0")(
+    lambda s, d: Z.overlapping(table(s, d, "part").where("p_partkey % 50 = 0"), table(s, d, "part"), "p_name").withColumn("share", F.round("share", 9))
+)
 
-@register("gram_overlap", _pairs_sql("(SELECT round(count(*) FILTER (x AND y) / greatest(count(*) FILTER (x), count(*) FILTER (y))::DOUBLE, 9) FROM (SELECT g, bool_or(w = 0) AS x, bool_or(w = 1) AS y FROM (SELECT unnest([substr(a.p_name, i, 3) FOR i IN range(1, length(a.p_name) - 1)]) AS g, 0 AS w UNION ALL SELECT unnest([substr(b.p_name, i, 3) FOR i IN range(1, length(b.p_name) - 1)]), 1) GROUP BY g)) AS share"))
-def gram_overlap(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = names.withColumnRenamed("p_name", "a"), names.withColumnRenamed("p_name", "b")
-    return a.join(b, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b"))).select("a", "b", F.round(Z.overlap(F.col("a"), F.col("b")), 9).alias("share"))
 
+# -- typos ------------------------------------------------------------------------------
 
-# -- typos: the exact distance and the score have no SQL ------------------------------
+_RECURSIVE = lambda clause: clause.replace("WITH src", "WITH RECURSIVE src", 1)
 
 
-@register("typo_candidates")
+@register("typo_candidates", f"{_RECURSIVE(D)},{O.typo('thanedbel', 2)} SELECT term, surface, df, distance, round(score, 6) AS score FROM candidates ORDER BY candidates.score DESC, distance, df DESC, {O.tie('term')} LIMIT 8")
 def typo_candidates(spark, sf_dir):
-    return typo.candidates(corpus(spark, sf_dir, "documents"), "thanedbel", "thanedbel")
+    found = typo.candidates(corpus(spark, sf_dir, "documents"), "thanedbel", "thanedbel")
+    return found.withColumn("score", F.round("score", 6))
 
 
-@register("search_corrected")
+@register(
+    "search_corrected",
+    f"{_RECURSIVE(P)},{O.typo('widgte', 1)}, best AS (SELECT term FROM candidates ORDER BY score DESC, distance, df DESC, term LIMIT 1),"
+    " hits AS (SELECT doc, CAST(sum(impact) AS BIGINT) AS score FROM postings, best WHERE postings.term IN (best.term, 'red', best.term || '_red') GROUP BY doc HAVING count(*) FILTER (postings.term IN (best.term, 'red')) >= 2) "
+    f"SELECT page.*, best.term || ' red' AS corrected_query FROM ({O.page('score DESC, doc', 10)}) page, best",
+)
 def search_corrected(spark, sf_dir):
     result = S.search(corpus(spark, sf_dir, "parts"), "widgte red", authority=False)
-    return result.rows.select("doc", "score", "rank", F.lit(result.corrected_query).alias("corrected_query"))
+    return result.rows.select("doc", "score", F.col("rank").cast("int").alias("rank"), F.lit(result.corrected_query).alias("corrected_query"))
 
 
 # -- quality -------------------------------------------------------------------------
