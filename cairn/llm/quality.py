@@ -8,12 +8,16 @@ Gumbel top-k: the k largest of log weight + Gumbel noise. The noise comes from a
 repeated. k is the number of documents whose weight reaches a threshold, and the threshold is the best split of the
 labelled sample. The k-th largest key is found by radix selection, sixteen bits a round, over counts.
 
+Texts are tokenised once: the pass that counts also writes each document's table of buckets, from which it is scored.
+
 Tokens are runs of word characters or of other visible characters, lower-cased; a repeat of the token before, and a word
 in capitals, count as tokens of their own kind, so that repetition and shouting have n-grams however rare the word.
 
 Defined results: null and empty texts have no n-grams and the weight 0; rows without usable label don't enter the sample;
-repeated rows draw each its own key (equal rows have equal keys, and stay or go together); with no target sample at all
-every weight is 0 and all documents are kept; an empty table gives an empty result; other columns are ignored.
+repeated rows draw each its own key (equal rows have equal keys, and stay or go together; equal keys at the cut all stay);
+with no target sample at all every weight is 0 and all documents are kept; an empty table gives an empty result; other
+columns are ignored, whatever their names, unless they are to be carried; a very long text's table has no more rows than
+there are buckets.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ def _token_hash(token: str) -> int:
     return (zlib.crc32(data) << 32 | zlib.adler32(data)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
 
 
-_hashes = Generations(_token_hash)
+_hashes = Generations(_token_hash, 100_000)
 
 
 def grams(text: str) -> np.ndarray:
@@ -72,34 +76,52 @@ def labelled(labels: DataFrame, good, limit: int = SAMPLE) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def _counts(docs: DataFrame, sample: dict[int, bool]):
-    """kind 0: raw counts, 1: target counts, by bucket; 2 and 3: the table of a bad or good document of the sample. One
-    pass; each task adds up its own tables of buckets before anything is shuffled."""
+def pack_table(found: np.ndarray) -> bytes:
+    """A document's n-grams as a table of buckets, byte plane by byte plane."""
+    b, times = np.unique(found, return_counts=True)
+    planes = [np.diff(b, prepend=0).astype("<u2"), times.astype("<u4")]
+    return b"".join(np.ascontiguousarray(p).view(np.uint8).reshape(len(b), -1).T.tobytes() for p in planes if len(b))
 
-    def run(batches):
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        kinds = [("kind", pa.int32()), ("bucket", pa.int64()), ("n", pa.int64()), ("grams", pa.binary())]
 
-        def emit(rows):
-            for i in range(0, len(rows), 2000):
-                part = rows[i : i + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], t) for j, (_, t) in enumerate(kinds)], [k for k, _ in kinds])
+def unpack_table(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 6
+    raw = np.frombuffer(data, np.uint8)
+    step = np.ascontiguousarray(raw[: 2 * n].reshape(2, n).T).view("<u2").ravel()
+    times = np.ascontiguousarray(raw[2 * n :].reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(step.astype(np.int64)), times.astype(np.int64)
+
+
+TOTAL_RAW, TOTAL_TARGET, BAD, GOOD, OTHER = range(5)
+
 
+def tables(docs: DataFrame, sample: dict[int, bool], carry: tuple[str, ...] = ()) -> DataFrame:
+    """kind 0: raw counts, 1: target counts, by bucket (n, bucket); 2, 3: a bad or good document of the sample, 4: any other,
+    with its table (grams), number of n-grams (n), noise and the columns to carry. One pass; each task adds up its own totals
+    before anything is shuffled."""
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    schema = "kind int, bucket long, n long, grams binary, doc_id long, noise double" + "".join(f", {c} {types[c]}" for c in carry)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64()]
+    names = ["kind", "bucket", "n", "grams", "doc_id", "noise", *carry]
+
+    def run(batches):
+        raw, target, carried = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), None
         for batch in batches:
             _hashes.turn()
-            held = []
+            carried, rows, every = batch.columns[2:], [], []
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                g = grams((text or b"").decode("utf-8"))
-                counts = np.bincount(g, minlength=BUCKETS)
-                raw += counts
-                if doc in sample:
-                    target += counts if sample[doc] else 0
-                    b = np.flatnonzero(counts)
-                    held.append((3 if sample[doc] else 2, 0, 1, np.stack([b, counts[b]]).astype("<u4").tobytes()))
-            yield from emit(held)
-        yield from emit([(kind, int(b), int(n[b]), None) for kind, n in enumerate((raw, target)) for b in np.flatnonzero(n)])
+                found = grams((text or b"").decode("utf-8"))
+                every.append(found)
+                good = sample.get(doc) if doc is not None else None
+                if good:
+                    target += np.bincount(found, minlength=BUCKETS)
+                rows.append((OTHER if good is None else GOOD if good else BAD, None, len(found), pack_table(found), doc, gumbel(doc, text or b"")))
+            raw += np.bincount(np.concatenate(every), minlength=BUCKETS) if every else 0
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), *carried], names)
+        if carried is not None:
+            rows = [(kind, int(b), int(n[b]), None, None, None) for kind, n in ((TOTAL_RAW, raw), (TOTAL_TARGET, target)) for b in np.flatnonzero(n)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), *(pa.nulls(len(rows), c.type) for c in carried)], names)
 
-    return docs.mapInArrow(run, "kind int, bucket long, n long, grams binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 class Model:
@@ -131,29 +153,21 @@ class Model:
         return weight / (n + STEADY)
 
 
-def fit(docs: DataFrame, labels: DataFrame, good, limit: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, good, limit: int = SAMPLE, carry: tuple[str, ...] = ()) -> tuple[Model, DataFrame]:
+    """The model, and the documents' tables that were made on the way."""
     sample = {r[0]: r[1] for r in labelled(labels, good, limit).collect()}  # at most `limit` rows
     small_batches(docs.sparkSession)
-    found = persist(_counts(docs.selectExpr("cast(doc_id as long) doc_id", "text"), sample), "grams")
-    tables = np.zeros((2, BUCKETS))
+    found = persist(tables(docs, sample, carry), "grams")
+    totals = np.zeros((2, BUCKETS))
     for kind, b, n in found.where("kind < 2").groupBy("kind", "bucket").agg(F.sum("n")).collect():  # at most 2 x BUCKETS rows
-        tables[kind, b] = n
-    model = Model(*tables)
-    ratio = model.ratio
-
-    def judge(batches):
-        for batch in batches:
-            out = []
-            for g in batch.column(1).to_pylist():
-                bucket, n = np.frombuffer(g, "<u4").reshape(2, -1).astype(np.int64)
-                out.append(Model.score(int(n.sum()), float(ratio[bucket] @ n)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["kind", "score"])
-
+        totals[kind, b] = n
+    model = Model(*totals)
     # a document of the sample may be repeated in the table: as many rows as the sample may have enter
-    rows = found.where("kind >= 2").select("kind", "grams").mapInArrow(judge, "kind int, score double").orderBy(F.xxhash64("score"), "score", "kind").limit(limit).collect()
-    if tables[1].sum():
-        model.split(np.array([r[0] == 3 for r in rows], bool), np.array([r[1] for r in rows], np.float64))
-    return model
+    seen = score(found.where(F.col("kind").isin(BAD, GOOD)), model, carry=("kind",))
+    rows = seen.select("kind", "score").orderBy(F.xxhash64("score"), "score", "kind").limit(limit).collect()
+    if totals[1].sum():
+        model.split(np.array([r[0] == GOOD for r in rows], bool), np.array([r[1] for r in rows], np.float64))
+    return model, found
 
 
 def gumbel(doc: int | None, text: bytes) -> float:
@@ -161,25 +175,24 @@ def gumbel(doc: int | None, text: bytes) -> float:
     return -math.log(-math.log(u))
 
 
-def score(docs: DataFrame, model: Model, temperature: float = TEMPERATURE, carry: tuple[str, ...] = ()) -> DataFrame:
-    """carry: columns of docs that the result has too."""
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+def score(found: DataFrame, model: Model, temperature: float = TEMPERATURE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The documents of tables(), scored. carry: columns that the result has too."""
+    types = {f.name: f.dataType.simpleString() for f in found.schema.fields}
     schema = ", ".join([SCORES, *(f"{c} {types[c]}" for c in carry)])
     ratio = model.ratio
 
     def run(batches):
         for batch in batches:
-            _hashes.turn()
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                g = grams((text or b"").decode("utf-8"))
-                w = float(ratio[g].sum())
-                s = Model.score(len(g), w)
-                out.append((doc, len(g), w, s, s / temperature + gumbel(doc, text or b"")))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), *batch.columns[2:]], ["doc_id", "n_grams", "log_weight", "score", "key", *carry])
+            for n, data, noise in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                bucket, times = unpack_table(data)
+                w = float(ratio[bucket] @ times)
+                s = Model.score(n, w)
+                out.append((n, w, s, s / temperature + noise))
+            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), *batch.columns[4:]], ["doc_id", "n_grams", "log_weight", "score", "key", *carry])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text", *carry).mapInArrow(run, schema)
+    return found.where(F.col("kind") > TOTAL_TARGET).select("doc_id", "n", "grams", "noise", *carry).mapInArrow(run, schema)
 
 
 def kth_largest(rows: DataFrame, column: str, k: int) -> float:
@@ -217,8 +230,8 @@ def _from_order_bits(value: int) -> float:
 
 def classify(docs: DataFrame, labels: DataFrame, good, limit: int = SAMPLE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document: doc_id, n_grams, log_weight, score, key, the columns to carry, kept."""
-    model = fit(docs, labels, good, limit)
-    scored = persist(score(docs, model, carry=carry), "scores")
+    model, found = fit(docs, labels, good, limit, carry)
+    scored = persist(score(found, model, carry=carry), "scores")
     k = scored.where(F.col("score") >= F.lit(model.threshold)).count()
     if k == 0:
         return scored.withColumn("kept", F.lit(False))
