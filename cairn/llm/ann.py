@@ -284,7 +284,7 @@ def build(vectors: DataFrame, folder: str, shards: int) -> DataFrame:
         return pa.table({"shard": pa.array([shard], pa.int32()), "path": [name], "n": pa.array([len(table)], pa.int64())})
 
     sharded = vectors.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInArrow(run, "shard int, path string, n long")
+    return sharded.repartition(shards, "shard").groupBy("shard").applyInArrow(run, "shard int, path string, n long")  # a shard is work, whatever its bytes
 
 
 def save_queries(queries: DataFrame, folder: str, blocks: int) -> DataFrame:

@@ -17,37 +17,54 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, filesystem, shared_path, small_batches
+from .common import ROW_GROUP, as_bytes, filesystem, shared_path, small_batches
 
-#: Rows a chunk.
+#: Rows a chunk at most; fewer, a power of two, if they hold more than CHUNK_BYTES as stored.
 ROWS = 2048
+CHUNK_BYTES = 8 << 20
+#: Bytes as stored for each slice of an exchange: what its one task holds grows with a slice, not with the table.
+SLICE_BYTES = 6 << 20
 BLOCK = "slice int, file string, chunk long, block binary"
 NO_ID = 2**63 - 1
 BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
-def written(docs: DataFrame | str, spark: SparkSession) -> list[str]:
+class Chunked(list):
+    """Paths of a table, how many rows a chunk has, and how many slices an exchange between its chunks."""
+
+    def __init__(self, spark: SparkSession, paths: list[str]):
+        super().__init__(paths)
+        n, size = spark.read.parquet(*paths).count(), 0  # from the footers
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            size += where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+        fit = CHUNK_BYTES * n // max(1, size)
+        self.rows = min(ROWS, 1 << max(3, fit.bit_length() - 1))
+        self.slices = max(2 * spark.sparkContext.defaultParallelism, -(-size // SLICE_BYTES))
+
+
+def written(docs: DataFrame | str, spark: SparkSession) -> Chunked:
     """The paths of the table: a path as it is; those of a DataFrame that is nothing but a Parquet scan; any other DataFrame
     is written to the shared folder first."""
     if isinstance(docs, str):
-        return [docs]
+        return Chunked(spark, [docs])
     plan = docs._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() == "LogicalRelation":
         relation = plan.relation()
         if relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat":
             roots = relation.location().rootPaths()
-            return [roots.apply(i).toString() for i in range(roots.size())]
+            return Chunked(spark, [roots.apply(i).toString() for i in range(roots.size())])
     path = shared_path(spark, "documents")
-    docs.write.option("compression", "zstd").parquet(path)
-    return [path]
+    docs.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    return Chunked(spark, [path])
 
 
-def rows_of(spark: SparkSession, paths: list[str], text: bool = True, more: tuple = ()) -> DataFrame:
+def rows_of(spark: SparkSession, paths: Chunked, text: bool = True, more: tuple = ()) -> DataFrame:
     """doc_id, text, file, chunk, more Columns, row of every row; without text if it isn't wanted."""
     small_batches(spark)
     row = F.col("_metadata.row_index")
     columns = [F.col("doc_id").cast("long").alias("doc_id"), *([F.col("text")] if text else [])]
-    return spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(ROWS)).cast("long").alias("chunk"), *more, row.alias("row"))
+    return spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(paths.rows)).cast("long").alias("chunk"), *more, row.alias("row"))
 
 
 def file_numbers(spark: SparkSession, paths: list[str]) -> dict[str, int]:
@@ -57,54 +74,60 @@ def file_numbers(spark: SparkSession, paths: list[str]) -> dict[str, int]:
 
 
 def places(rows: DataFrame, numbers: dict[str, int]) -> DataFrame:
-    """file, chunk, row of the rows with these names (file number << 40, plus row number)."""
+    """file, row of the rows with these names (file number << 40, plus row number)."""
     files = pa.array(sorted(numbers, key=numbers.__getitem__), pa.string())
 
     def run(batches):
         for batch in batches:
             name = batch.column(0).to_numpy()
             row = name & ((1 << 40) - 1)
-            yield pa.RecordBatch.from_arrays([files.take(pa.array(name >> 40)), pa.array(row // ROWS), pa.array(row)], ["file", "chunk", "row"])
+            yield pa.RecordBatch.from_arrays([files.take(pa.array(name >> 40)), pa.array(row)], ["file", "row"])
 
-    return rows.select("name").mapInArrow(run, "file string, chunk long, row long")
+    return rows.select("name").mapInArrow(run, "file string, row long")
 
 
-def take(spark: SparkSession, paths: list[str], wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows that `wanted` (file, chunk, row) names, some columns of them. Each chunk is read from its file: rows are
-    chosen without shuffling what they hold."""
+def take(spark: SparkSession, paths: Chunked, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that `wanted` (file, row) names, some columns of them. Each chunk is read from its file: rows are chosen
+    without shuffling what they hold."""
     from pyspark.sql.types import StructType
 
     schema = spark.read.parquet(*paths).schema
-    schema = StructType([schema[c] for c in columns])
+    schema, rows_of_chunk = StructType([schema[c] for c in columns]), paths.rows
 
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        rows = read_chunk(table.column("file")[0].as_py(), chunk, columns)
-        keep = np.unique(table.column("row").to_numpy()) - chunk * ROWS
+        rows = read_chunk(table.column("file")[0].as_py(), chunk, rows_of_chunk, columns)
+        keep = np.unique(table.column("row").to_numpy()) - chunk * rows_of_chunk
         return rows.take(pa.array(keep)).select(columns)
 
-    return wanted.select("file", "chunk", "row").groupBy("file", "chunk").applyInArrow(run, schema)
+    return by_place(wanted.select("file", F.floor(F.col("row") / F.lit(paths.rows)).cast("long").alias("chunk"), "row"), paths).applyInArrow(run, schema)
 
 
-def chunks_of(spark: SparkSession, paths: list[str]) -> DataFrame:
+def chunks_of(spark: SparkSession, paths: Chunked) -> DataFrame:
     """Every chunk once, as an empty block; no column of the table is read."""
-    rows = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.row_index") / F.lit(ROWS)).cast("long").alias("chunk"))
+    rows = spark.read.parquet(*paths).select(F.col("_metadata.file_path").alias("file"), F.floor(F.col("_metadata.row_index") / F.lit(paths.rows)).cast("long").alias("chunk"))
     return rows.distinct().select(F.lit(-1).alias("slice"), "file", "chunk", F.lit(None).cast("binary").alias("block"))
 
 
-def read_chunk(file: str, chunk: int, columns: list[str] | None = None) -> pa.Table:
-    """The rows of a chunk, all columns or some."""
+def by_place(blocks: DataFrame, paths: Chunked):
+    """Blocks grouped by chunk, over as many tasks as there are slices: a small block means a whole chunk's work, so partitions
+    mustn't be put together by size."""
+    return blocks.repartition(paths.slices, "file", "chunk").groupBy("file", "chunk")
+
+
+def read_chunk(file: str, chunk: int, count: int, columns: list[str] | None = None) -> pa.Table:
+    """The rows of a chunk (of `count` rows), all columns or some."""
     from urllib.parse import unquote
 
     fs, path = filesystem(unquote(file))
-    low, high, at, parts = chunk * ROWS, (chunk + 1) * ROWS, 0, []
+    low, high, at, parts = chunk * count, (chunk + 1) * count, 0, []
     with fs.open_input_file(path) as f:
-        table = pq.ParquetFile(f)
+        table = pq.ParquetFile(f, buffer_size=1 << 20, pre_buffer=False)  # pages as they come, not a row group's columns at once
         for g in range(table.metadata.num_row_groups):
             n = table.metadata.row_group(g).num_rows
             if at < high and at + n > low:
                 seen = at
-                for batch in table.iter_batches(batch_size=ROWS, row_groups=[g], columns=columns):
+                for batch in table.iter_batches(batch_size=min(count, 256), row_groups=[g], columns=columns):
                     a, b = max(low, seen) - seen, min(high, seen + len(batch)) - seen
                     if b > a:
                         parts.append(batch.slice(a, b - a))
@@ -210,10 +233,6 @@ def slice_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def slice_count(spark: SparkSession) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def by_chunk(batches, flush):
     """Calls flush(file, chunk, ids, texts), with the rows' numbers if batches have them, for each run of rows of one chunk,
     and yields what it yields."""

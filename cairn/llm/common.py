@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 
 #: Rows per Arrow batch. Documents may be long, so a batch stays small in bytes.
 BATCH_ROWS = 256
+#: Bytes of a row group of the tables written between passes: what a writer holds, and what a reader of one chunk passes over.
+ROW_GROUP = 32 << 20
 _local: dict[str, str] = {}
 
 
@@ -39,7 +41,7 @@ def persist(df, name: str):
     """Write df as a table in the shared folder and read it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

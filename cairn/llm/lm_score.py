@@ -5,8 +5,9 @@ the corpus and covers all of it. Every word of every document is counted; the wo
 of fixed size, DICTIONARY_BYTES, the best last. The other part has no bound: it is every phrase of PHRASE words that
 documents of the domain hold. A document can only use the phrases that it holds itself, so it is compressed under just
 these: windows are hashed and exchanged between chunks (see chunks.py), each chunk learns which of its windows another
-document (in the domain) holds too, and a document's windows of that kind merge into the runs of words that follow the
-common words in its dictionary. A document's own text counts only if another row has it as well.
+document (in the domain) holds too, and a document's windows of that kind merge into runs of words. The size of a document
+is what it adds to a stream that its runs begin, under the dictionary of the common words. A document's own text counts only
+if another row has it as well.
 
 The score is the difference of the zstandard sizes under the general and the in-domain dictionary, divided by the length:
 bytes a byte that in-domain knowledge saves. Cross-entropies in bits a byte come with it, and how many of the words other
@@ -97,24 +98,37 @@ def dictionaries(docs: DataFrame, in_domain: Column, size: int = DICTIONARY_BYTE
 class Compressor:
     """Sizes of texts under one dictionary, without frame overhead that all texts share."""
 
-    def __init__(self, content: bytes, longest: int = 0):
+    WINDOW = 21  # of the level: far enough back for texts of a megabyte
+
+    def __init__(self, content: bytes):
+        self.content, self.by_window = content, {}
+
+    def _with(self, window: int):
+        """A compressor that looks back so far; the dictionary is digested once for each."""
         import zstandard as z
 
-        self.options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
-        window = (len(content) + longest).bit_length()
-        if window > 21:  # else the level's own window reaches all of the dictionary
-            self.options["compression_params"] = z.ZstdCompressionParameters.from_level(LEVEL, window_log=min(window, 31), write_checksum=False, write_content_size=False, write_dict_id=False)
-            self.options = {"compression_params": self.options["compression_params"]}
-        else:
-            self.options["level"] = LEVEL
-        if len(content) >= 8:
-            words = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=LEVEL)
-            self.options["dict_data"] = words
-        self.compressor = z.ZstdCompressor(**self.options)
+        if window not in self.by_window:
+            plain = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+            options = {"compression_params": z.ZstdCompressionParameters.from_level(LEVEL, window_log=window, enable_ldm=True, **plain)} if window > self.WINDOW else {"level": LEVEL, **plain}
+            if len(self.content) >= 8:
+                options["dict_data"] = z.ZstdCompressionDict(self.content, dict_type=z.DICT_TYPE_RAWCONTENT)
+                if window == self.WINDOW:
+                    options["dict_data"].precompute_compress(level=LEVEL)
+            self.by_window[window] = z.ZstdCompressor(**options)
+        return self.by_window[window]
+
+    def size(self, text: bytes, known: bytes = b"") -> int:
+        """Bytes of the text; behind what is known beside the dictionary, the bytes that it adds."""
+        import zstandard as z
 
-    def size(self, text: bytes) -> int:
-        return len(self.compressor.compress(text))
+        window = (2 * (len(known) + len(text))).bit_length()
+        compressor = self._with(min(max(window, self.WINDOW), 31))
+        if not known:
+            return len(compressor.compress(text))
+        stream = compressor.compressobj()
+        stream.compress(known + b" ")
+        stream.flush(z.COMPRESSOBJ_FLUSH_BLOCK)
+        return len(stream.compress(text)) + len(stream.flush())
 
 
 class Phrases:
@@ -165,7 +179,7 @@ class Phrases:
         return out, seen
 
 
-def _emit(parts: int):
+def _emit(parts: int, count: int):
     """Of each chunk, by slice: its phrases with their holders, all and inside, two at most; and, in slices of their own, which
     of its rows are inside."""
 
@@ -178,8 +192,8 @@ def _emit(parts: int):
             a, b = bounds[p], bounds[p + 1]
             if b > a:
                 rows.append((p, file, chunk, C.pack([h[a:b], held[a:b]])))
-        marks = np.zeros(C.ROWS, np.uint8)
-        marks[np.array(numbers, np.int64)[flags] - chunk * C.ROWS] = 1
+        marks = np.zeros(count, np.uint8)
+        marks[np.array(numbers, np.int64)[flags] - chunk * count] = 1
         rows.append((parts + chunk % parts, file, chunk, np.packbits(marks).tobytes()))
         for i in range(0, len(rows), 64):
             yield C.block_batch(rows[i : i + 64])
@@ -216,39 +230,30 @@ def _answer(table: pa.Table, parts: int) -> pa.Table:
 _compressors: dict[bytes, Compressor] = {}
 
 
-def _sizes(text: bytes, contents: tuple[bytes, bytes], runs: tuple[list[bytes], list[bytes]]) -> list[int]:
-    out: list[int] = []
-    for content, found in zip(contents, runs, strict=True):
-        if found:
-            if out and contents[0] == contents[1] and runs[0] == runs[1]:
-                out.append(out[0])
-                continue
-            whole = b" ".join([content, *found])
-            out.append(Compressor(whole, len(text)).size(text))
-        else:
-            if content not in _compressors:
-                if len(_compressors) > 4:
-                    _compressors.clear()
-                _compressors[content] = Compressor(content)
-            out.append(_compressors[content].size(text))
-    return out
+def _compressor(content: bytes) -> Compressor:
+    if content not in _compressors:
+        if len(_compressors) > 4:
+            _compressors.clear()
+        _compressors[content] = Compressor(content)
+    return _compressors[content]
 
 
 def lm_score(docs: DataFrame, in_domain: Column, size: int = DICTIONARY_BYTES) -> DataFrame:
     """Rows of RESULT for every document. in_domain: a condition on columns of docs by name."""
     spark = docs.sparkSession
-    paths, parts = C.written(docs, spark), C.slice_count(spark)
+    paths = C.written(docs, spark)
+    parts, count = paths.slices, paths.rows
     shared = spark.sparkContext.broadcast(dictionaries(docs, in_domain, size))  # twice `size` at most
     rows = C.rows_of(spark, paths, more=(F.coalesce(in_domain, F.lit(False)).alias("inside"),))
-    sent = rows.mapInArrow(_emit(parts), C.BLOCK)
+    sent = rows.mapInArrow(_emit(parts, count), C.BLOCK)
     every = C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(lambda t: _answer(t, parts), C.BLOCK))
 
     def run(table: pa.Table) -> pa.Table:
-        contents = shared.value
-        held = C.read_chunk(table.column("file")[0].as_py(), table.column("chunk")[0].as_py(), ["doc_id", "text"])
+        inner, general = map(_compressor, shared.value)
+        held = C.read_chunk(table.column("file")[0].as_py(), table.column("chunk")[0].as_py(), count, ["doc_id", "text"])
         _, texts = C.ids_and_texts(held)
         blocks = sorted((p, b) for p, b in zip(table.column("slice").to_pylist(), table.column("block").to_pylist(), strict=True) if b)
-        inside = np.zeros(C.ROWS, bool)
+        inside = np.zeros(count, bool)
         for p, b in blocks:
             if p >= parts:
                 inside |= np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool)
@@ -266,7 +271,7 @@ def lm_score(docs: DataFrame, in_domain: Column, size: int = DICTIONARY_BYTES) -
             n = len(text)
             counts = (len(phrases.words[k]), int(in_seen[k]), int(seen[k]))
             if n:
-                a, b = _sizes(text, contents, (in_runs[k], runs[k]))
+                a, b = inner.size(text, b" ".join(in_runs[k])), general.size(text, b" ".join(runs[k]))
                 out.append((n, a, b, 8 * a / n, 8 * b / n, (b - a) / n, *counts))
             else:
                 out.append((0, 0, 0, None, None, None, *counts))
@@ -274,4 +279,4 @@ def lm_score(docs: DataFrame, in_domain: Column, size: int = DICTIONARY_BYTES) -
         names = [c.split()[0] for c in RESULT.split(", ")]
         return pa.table({"doc_id": held.column("doc_id").cast(pa.int64())} | {c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names[1:], kinds, strict=True))})
 
-    return every.groupBy("file", "chunk").applyInArrow(run, RESULT)
+    return C.by_place(every, paths).applyInArrow(run, RESULT)

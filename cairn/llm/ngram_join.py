@@ -156,12 +156,12 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _ordered(table: pa.Table, numbers: dict[str, int]) -> pa.Table:
+def _ordered(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
     """Of one chunk with its answers: every row's class, and the ordered set of each class that may have a partner."""
     file, chunk = table.column(1)[0].as_py(), table.column(2)[0].as_py()
-    rows = C.read_chunk(file, chunk, ["doc_id", "text"])
+    rows = C.read_chunk(file, chunk, count, ["doc_id", "text"])
     ids, sets, keys = _chunk_sets(*C.ids_and_texts(rows))
-    first = _name(numbers[file], chunk * C.ROWS)
+    first = _name(numbers[file], chunk * count)
     freq, owner = [], {}
     for _, b in sorted((p, b) for p, b in zip(table.column("slice").to_pylist(), table.column(3).to_pylist(), strict=True) if b):
         n = int.from_bytes(b[:4], "little")
@@ -189,11 +189,11 @@ def _ordered(table: pa.Table, numbers: dict[str, int]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in SETS.split(", ")])
 
 
-def ordered_sets(spark: SparkSession, paths: list[str]) -> DataFrame:
-    numbers = C.file_numbers(spark, paths)
-    sent = C.rows_of(spark, paths).mapInArrow(_blocks(C.slice_count(spark), numbers), C.BLOCK)
+def ordered_sets(spark: SparkSession, paths: C.Chunked) -> DataFrame:
+    numbers, count = C.file_numbers(spark, paths), paths.rows
+    sent = C.rows_of(spark, paths).mapInArrow(_blocks(paths.slices, numbers), C.BLOCK)
     every = C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_answer, C.BLOCK))
-    return persist(every.groupBy("file", "chunk").applyInArrow(lambda t: _ordered(t, numbers), SETS), "sets")
+    return persist(C.by_place(every, paths).applyInArrow(lambda t: _ordered(t, numbers, count), SETS), "sets")
 
 
 FAR = np.uint32(2**32 - 1)  # a size that no partner has
@@ -326,13 +326,13 @@ def folded(signatures: list[bytes], size: int) -> np.ndarray:
 LED = "leader long, rep long, n long, shared long, tokens binary, ats binary, bits binary, place long"
 
 
-def _led(table: pa.Table, numbers: dict[str, int]) -> pa.Table:
+def _led(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
     """Of one chunk of ordered sets with its answers, a row a leader and class: which shingles that may have a partner the
     leader leads, where they are in the class, the class's signature over shingles that others hold, and the place of its row
     among the ordered sets."""
     file, chunk = table.column(1)[0].as_py(), table.column(2)[0].as_py()
-    rows = C.read_chunk(file, chunk, ["rep", "n", "own", "rare", "tokens"])
-    rows = list(zip(*(rows.column(c).to_pylist() for c in ("rep", "n", "rare", "tokens", "own")), range(_name(numbers[file], chunk * C.ROWS), 2**63), strict=False))
+    rows = C.read_chunk(file, chunk, count, ["rep", "n", "own", "rare", "tokens"])
+    rows = list(zip(*(rows.column(c).to_pylist() for c in ("rep", "n", "rare", "tokens", "own")), range(_name(numbers[file], chunk * count), 2**63), strict=False))
     rows = [r for r in rows if r[4] and r[3] is not None]
     key, rep, n, at = _postings(*(list(c) for c in zip(*(r[:4] for r in rows), strict=True))) if rows else _postings([], [], [], [])
     room = _room(n, at)
@@ -363,13 +363,13 @@ def _led(table: pa.Table, numbers: dict[str, int]) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in longs.items()} | {"tokens": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), "ats": pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), "bits": pa.array([m[1] for m in mine], pa.binary()), "place": pa.array([m[2] for m in mine], pa.int64())})
 
 
-def led_postings(spark: SparkSession, paths: list[str], numbers: dict[str, int]) -> DataFrame:
+def led_postings(spark: SparkSession, paths: C.Chunked, numbers: dict[str, int]) -> DataFrame:
     """Rows of LED: postings travel as summaries by chunk, not as rows."""
-    row = F.col("_metadata.row_index")
-    rows = spark.read.parquet(*paths).where("own and tokens is not null").select("rep", "n", "rare", "tokens", F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(C.ROWS)).cast("long").alias("chunk"))
-    sent = rows.mapInArrow(_holder_blocks(C.slice_count(spark)), C.BLOCK)
+    row, count = F.col("_metadata.row_index"), paths.rows
+    rows = spark.read.parquet(*paths).where("own and tokens is not null").select("rep", "n", "rare", "tokens", F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(count)).cast("long").alias("chunk"))
+    sent = rows.mapInArrow(_holder_blocks(paths.slices), C.BLOCK)
     every = C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_leaders, C.BLOCK))
-    return persist(every.groupBy("file", "chunk").applyInArrow(lambda t: _led(t, numbers), LED), "postings")
+    return persist(C.by_place(every, paths).applyInArrow(lambda t: _led(t, numbers, count), LED), "postings")
 
 
 def _survivors(table: pa.Table) -> pa.Table:
@@ -421,14 +421,14 @@ def _survivors(table: pa.Table) -> pa.Table:
 SHIPPED = "leader long, i int, j int, block int, ats binary, rep long, low long, mult long, n long, rare int, tokens binary"
 
 
-def _ship(table: pa.Table, files: list[str]) -> pa.Table:
+def _ship(table: pa.Table, files: list[str], count: int) -> pa.Table:
     """The sets that the groups ask of one chunk, read from its file. Shingles that a class alone holds can't be shared: the
     part of the set behind them is shipped, and a set once a group."""
     place = table.column("place").to_numpy()
     row = place & ((1 << 40) - 1)
-    chunk = int(row[0]) // C.ROWS
-    rows = C.read_chunk(files[int(place[0] >> 40)], chunk, ["rep", "low", "mult", "n", "rare", "tokens"])
-    asked, which = np.unique(row - chunk * C.ROWS, return_inverse=True)
+    chunk = int(row[0]) // count
+    rows = C.read_chunk(files[int(place[0] >> 40)], chunk, count, ["rep", "low", "mult", "n", "rare", "tokens"])
+    asked, which = np.unique(row - chunk * count, return_inverse=True)
     rows = rows.take(pa.array(asked))
     tokens = [t[8 * r :] for t, r in zip(rows.column("tokens").to_pylist(), rows.column("rare").to_pylist(), strict=True)]
     which = pa.array(which)
@@ -547,11 +547,7 @@ def _links(table: pa.Table) -> pa.Table:
             if x != y:
                 root[max(x, y)] = min(x, y)
 
-    if m == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if 160 * both >= 60 * (size[0] + size[1]):
-            pair(0, 1)
-    elif m:
+    if m:
         trie = Trie(sets, size)
         place = np.empty(m, np.int64)
         place[trie.order] = np.arange(m)
@@ -564,13 +560,14 @@ def _links(table: pa.Table) -> pa.Table:
     return pa.table({"rep": pa.array(rep[at], pa.int64()), "low": pa.array(low[at], pa.int64()), "partners": pa.array(partners[at], pa.int64()), "root": pa.array([int(rep[find(k)]) for k in at.tolist()], pa.int64())})
 
 
-def components(edges: DataFrame, a: str, b: str, at_once: int = 1_000_000) -> DataFrame:
-    """node, component: the smallest node reachable. Few edges are joined on the driver, after a count; more in rounds of
-    large-star and small-star, each written to the shared folder."""
+def components(edges: DataFrame, a: str, b: str, at_once: int = 0) -> DataFrame:
+    """node, component: the smallest node reachable, in rounds of large-star and small-star, each written to the shared folder,
+    until a round changes nothing. at_once: a caller who knows that there are at most so many edges may have them joined on
+    the driver instead."""
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = persist(e, "edges")
-    if e.count() <= at_once:
+    if at_once and e.count() <= at_once:
         root: dict[int, int] = {}
 
         def find(k: int) -> int:
@@ -586,23 +583,26 @@ def components(edges: DataFrame, a: str, b: str, at_once: int = 1_000_000) -> Da
         nodes = list(root)
         table = pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array([find(k) for k in nodes], pa.int64())})
         return spark.createDataFrame(table) if nodes else spark.createDataFrame([], "node long, component long")
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+    last = mark(e)
     while True:
-        before = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct()
         e = persist(e, "edges")
-        if e.exceptAll(before).isEmpty() and before.exceptAll(e).isEmpty():
+        now = mark(e)
+        if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        last = now
 
 
 def links(sets: DataFrame) -> DataFrame:
     """rep, low, partners, root over the ordered sets: partners counts documents of other classes."""
     spark = sets.sparkSession
     paths = C.written(sets, spark)
-    numbers = C.file_numbers(spark, paths)
+    numbers, count = C.file_numbers(spark, paths), paths.rows
     files = sorted(numbers, key=numbers.__getitem__)
     posts = led_postings(spark, paths, numbers)
     sizes = posts.groupBy("leader").agg(F.count("*").alias("m"))
@@ -613,13 +613,13 @@ def links(sets: DataFrame) -> DataFrame:
     tasks = posts.select("leader", *held, other.alias("other"))
     tasks = tasks.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *held)
     alive = tasks.groupBy("leader", "i", "j").applyInArrow(_survivors, "leader long, i int, j int, place long, block int, ats binary")
-    chunk = F.floor(F.col("place").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(C.ROWS))
+    chunk = F.floor(F.col("place").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(count))
     asked = alive.groupBy(F.shiftright("place", 40).alias("file"), chunk.alias("chunk"))
-    shipped = asked.applyInArrow(lambda t: _ship(t, files), SHIPPED)
+    shipped = asked.applyInArrow(lambda t: _ship(t, files, count), SHIPPED)
     return shipped.groupBy("leader", "i", "j").applyInArrow(_links, LINKS)
 
 
-def grouped(spark: SparkSession, paths: list[str]) -> DataFrame:
+def grouped(spark: SparkSession, paths: C.Chunked) -> DataFrame:
     """Every row of the ordered sets without tokens, with partners, and id (least) and name (first) of the smallest row of
     its component."""
     sets = ordered_sets(spark, paths)

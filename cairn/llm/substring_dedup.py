@@ -153,9 +153,9 @@ def removed_words(ids, texts: list[bytes], told: list[bytes], width: int) -> tup
     return w.words, out
 
 
-def _blocks(spark: SparkSession, paths: list[str], width: int) -> DataFrame:
+def _blocks(spark: SparkSession, paths: C.Chunked, width: int) -> DataFrame:
     rows = C.rows_of(spark, paths).drop("row")
-    sent = rows.mapInArrow(_emit(width, C.slice_count(spark)), C.BLOCK)
+    sent = rows.mapInArrow(_emit(width, paths.slices), C.BLOCK)
     return C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_answer, C.BLOCK))
 
 
@@ -163,18 +163,20 @@ def _kept(words: list[bytes], gone: np.ndarray) -> bytes:
     return b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(words)
 
 
-def _chunk(table: pa.Table, width: int, columns: list[str] | None = None):
+def _chunk(table: pa.Table, count: int, width: int, columns: list[str] | None = None):
     told = [b for b in table.column(3).to_pylist() if b]
-    rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py(), columns)
+    rows = C.read_chunk(table.column(1)[0].as_py(), table.column(2)[0].as_py(), count, columns)
     ids, texts = C.ids_and_texts(rows)
     return rows, *removed_words(ids, texts, told, width)
 
 
 def digests(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of a table (path) or DataFrame."""
+    paths = C.written(docs, spark)
+    count = paths.rows
 
     def run(table: pa.Table) -> pa.Table:
-        rows, words, gone = _chunk(table, width, ["doc_id", "text"])
+        rows, words, gone = _chunk(table, count, width, ["doc_id", "text"])
         return pa.table(
             {
                 "doc_id": rows.column("doc_id").cast(pa.int64()),
@@ -184,20 +186,21 @@ def digests(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> D
             }
         )
 
-    return _blocks(spark, C.written(docs, spark), width).groupBy("file", "chunk").applyInArrow(run, DIGESTS)
+    return C.by_place(_blocks(spark, paths, width), paths).applyInArrow(run, DIGESTS)
 
 
 def remove(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> DataFrame:
     """The documents with the kept words as text, all other columns as they are, and `removed`: word intervals [from, to); a
     column of that name gives way."""
     paths = C.written(docs, spark)
+    count = paths.rows
     schema = spark.read.parquet(*paths).schema
     from pyspark.sql.types import ArrayType, LongType, StructType
 
     result = StructType([f for f in schema.fields if f.name != "removed"]).add("removed", ArrayType(ArrayType(LongType())))
 
     def run(table: pa.Table) -> pa.Table:
-        rows, words, gone = _chunk(table, width)
+        rows, words, gone = _chunk(table, count, width)
         rows = rows.drop_columns(["removed"]) if "removed" in rows.column_names else rows
         spans = []
         for g in gone:
@@ -208,4 +211,4 @@ def remove(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> Da
         rows = rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
         return rows.append_column("removed", pa.array(spans, pa.list_(pa.list_(pa.int64()))))
 
-    return _blocks(spark, paths, width).groupBy("file", "chunk").applyInArrow(run, result)
+    return C.by_place(_blocks(spark, paths, width), paths).applyInArrow(run, result)

@@ -510,6 +510,51 @@ def test_quality(spark, empty):
     assert [quality.kth_largest(x, "x", k) for k in range(1, 9)] == values
 
 
+def brute_grams(text):
+    """Buckets of single tokens and pairs, one by one."""
+    mask, q, out, last = 2**64 - 1, quality, [], None
+    for token in re.findall(r"\w+|[^\w\s]+", text or ""):
+        if len(token) > 1 and token.isupper():
+            h = int(q.CAPITALS)
+        else:
+            data = token.lower().encode()
+            h = (zlib.crc32(data) << 32 | zlib.adler32(data)) * 0x9E3779B97F4A7C15 & mask
+        out.append((h, int(q.REPEAT) if h == last else h))
+        last = h
+    h = [b for _, b in out]
+    both = h + [(a * 0x100000001B3 + b) & mask for a, b in zip(h, h[1:], strict=False)]
+    return [(((x ^ x >> 33) * int(q._MIX) & mask) >> 40) % q.BUCKETS for x in both]
+
+
+def test_quality_against_brute_force(spark):
+    """Counts, ratios, threshold, keys and the kept set, over ties, repeats, capitals, long texts and clashing columns."""
+    r, vocabulary = random.Random(8), ["stone", "River", "LOUD", "win", "win", "buy!!", "é", "a"]
+    rows = [(i % 150 if i % 10 else None, " ".join(r.choice(vocabulary[: 4 if i % 3 else 8]) for _ in range(r.randrange(1, 60)))) for i in range(300)]
+    rows += rows[:5] + [(7, None), (8, ""), (9, "long " * 70_000), (10, "same text"), (11, "same text")]
+    labels = [(i, int(i % 3 > 0), 0) for i in range(60)] + [(5, 0, 0), (None, 1, 0), (61, None, 0)]
+    df = spark.createDataFrame([(i, t, 1, "x", 2.0) for i, t in rows], "doc_id long, text string, kind int, grams string, score double").repartition(3)
+    got = quality.classify(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.col("quality") == 1, carry=()).collect()
+    sample = {i: bool(q) for i, q, _ in labels if i is not None and q is not None} | {5: False}
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    held = [(i, t, brute_grams(t)) for i, t in rows]
+    for i, _, g in held:
+        np.add.at(raw, g, 1)
+        np.add.at(target, g if sample.get(i) else [], 1)
+    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * quality.BUCKETS)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * quality.BUCKETS))
+    scores = [sum(ratio[b] for b in g) / (len(g) + quality.STEADY) for _, _, g in held]
+    seen = sorted((s, sample[i]) for (i, _, _), s in zip(held, scores, strict=True) if i in sample)
+    costs = [sum(y for _, y in seen[:k]) + 0.25 * sum(not y for _, y in seen[k:]) for k in range(len(seen) + 1)]
+    best = [k for k, c in enumerate(costs) if c == min(costs)]
+    k = best[len(best) // 2]
+    threshold = -np.inf if k == 0 else seen[-1][0] + 1 if k == len(seen) else (seen[k - 1][0] + seen[k][0]) / 2
+    keys = [s / quality.TEMPERATURE + quality.gumbel(i, (t or "").encode()) for (i, t, _), s in zip(held, scores, strict=True)]
+    n = sum(s >= threshold for s in scores)
+    cut = sorted(keys)[-n] if n else np.inf
+    want = sorted((i if i is not None else -1, len(g), round(s, 9), round(key, 6), key >= cut - 1e-9) for (i, _, g), s, key in zip(held, scores, keys, strict=True))
+    assert sorted((x["doc_id"] if x["doc_id"] is not None else -1, x["n_grams"], round(x["score"], 9), round(x["key"], 6), x["kept"]) for x in got) == want
+    assert 0 < n < len(rows)
+
+
 def lm_dictionary(counts, size):
     """The words that save most, the best last."""
     out, held = [], 0
@@ -541,7 +586,7 @@ def brute_lm(rows, inside, general, got):
         (near, n_in), (far, n_all) = runs(w, lambda p: in_[p] - flag > 0), runs(w, lambda p: all_[p] > 1)  # noqa: B023
         assert (r["n_words"], r["n_in_seen"], r["n_seen"]) == (len(w), n_in, n_all)
         if raw:
-            a, b = (lm_score.Compressor(b" ".join([c, *found]) if found else c).size(raw) for c, found in ((inside, near), (general, far)))
+            a, b = (lm_score.Compressor(c).size(raw, b" ".join(found)) for c, found in ((inside, near), (general, far)))
             assert (r["n_bytes"], r["in_bytes"], r["general_bytes"], r["score"], r["in_bits"]) == (len(raw), a, b, (b - a) / len(raw), 8 * a / len(raw))
         else:
             assert (r["in_bytes"], r["general_bytes"], r["score"]) == (0, 0, None)
@@ -562,7 +607,9 @@ def test_lm_score_of_copies(spark, docs):
     df = spark.createDataFrame([(i, t, f, "x") for i, t, f in held], "doc_id long, text string, inside boolean, slice string").repartition(4)
     out = sorted((tuple(r) for r in lm_score.lm_score(df, F.col("inside")).select("n_words", "n_in_seen", "n_seen").collect()))
     assert out == sorted([(40, 0, 0), (40, 0, 40), (40, 40, 40), (3, 3, 3), (3, 3, 3), (1, 1, 1), (1, 1, 1), (0, 0, 0), (0, 0, 0)])
-    inside, _ = lm_score.dictionaries(df, F.col("inside"))
+    known = lm_score.Compressor(inside := lm_score.dictionaries(df, F.col("inside"))[0])
+    far = bytes(np.random.default_rng(0).integers(97, 123, 3 << 20).astype(np.uint8))  # beyond the level's window
+    assert known.size(far, far) < 5000 < 10**6 < known.size(far)
     assert b"z" * lm_score.PIECE in inside and b"z" * (lm_score.PIECE + 1) not in inside
 
 
