@@ -273,6 +273,31 @@ def test_media(spark, docs, empty, tmp_path):
     assert media.read_member(fs, str(file), offset)[0] in BY_ID
 
 
+def test_sharding_media_and_codecs_of_repeats_and_missing_ids(spark, tmp_path):
+    """Equal rows, rows without id and very long texts each give a row; shards of skewed documents come out near equal."""
+    r = random.Random(6)
+    texts = ["same text"] * 40 + [None, "", "tie"] * 4 + ["long " * 30_000] + [" ".join(["w"] * r.randrange(1, 200)) for _ in range(400)]
+    rows = [(None if i % 3 == 0 else i // 2, t, "x", i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot string, size int").repartition(3)
+    want = Counter((i, len((t or "").encode())) for i, t, *_ in rows)
+    got = sharding.assign(df, 4, 512, f"file://{tmp_path}/map").collect()
+    assert Counter((x["doc_id"], x["size"] - 8) for x in got) == want
+    shards = defaultdict(list)
+    for x in got:
+        shards[x["shard"]].append(x)
+    assert all(sorted(x["slot"] for x in s) == list(range(len(s))) for s in shards.values())
+    heaviest = 8 + 5 * 30_000
+    rest = [sum(x["size"] for x in s if x["size"] < heaviest) for s in shards.values() if not any(x["size"] >= heaviest for x in s)]
+    assert len(shards) == 4 and max(rest) < 1.3 * min(rest)
+    small = df.where("length(text) < 2000 or text is null")
+    want = Counter({k: n for k, n in want.items() if k[1] < 2000})
+    media_rows = media.store_and_describe(small).collect()
+    assert Counter((x["doc_id"], x["n_bytes"]) for x in media_rows) == want
+    assert len({tuple(x)[2:] for x in media_rows}) == len({t or "" for t in texts if not t or len(t) < 2000})  # equal texts, equal values
+    codes = sp_codec.digests(small, P.path("piece_bpe_32k.model")).collect()
+    assert len(codes) == sum(want.values()) and len({x["ids_sha256"] for x in codes if x["decoded_sha256"] == sha("same text")}) == 1
+
+
 # -- 2, 4 ---------------------------------------------------------------------------
 
 
@@ -398,6 +423,29 @@ def test_ngram_join_of_equal_and_missing_ids(spark):
         assert found == sorted([(i, 11, 2, 2, i), (i, 12, 2, 2, i), (2, 12, 2, 2, 2), (i, 11, 2, 3, i), (i, 11, 2, 3, i), (3, 12, 2, 3, 3), (i, 0, 0, i, i)])
 
 
+def test_chunks_follow_the_length_of_rows(spark, tmp_path, monkeypatch):
+    """Long rows make smaller chunks, larger tables more slices; results are the same."""
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(chunks, "SLICE_BYTES", 500)
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(ROWS, SCHEMA).coalesce(2).write.parquet(path)
+    paths = chunks.written(path, spark)
+    assert paths.rows == 8 and paths.slices > 8
+    assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.digests(spark, path, 20).collect()} == brute_dedup([(r[0], r[1]) for r in ROWS], 20)
+    assert {r["doc_id"]: (r["n_shingles"], r["n_similar"], r["component_id"]) for r in ngram_join.similar(spark, path).collect()} == brute_similar([(r[0], r[1]) for r in ROWS])
+    brute_lm([(r[0], r[1], r[2] == "en") for r in ROWS], *lm_score.dictionaries(spark.read.parquet(path), F.col("lang") == "en"), {r["doc_id"]: r for r in lm_score.lm_score(spark.read.parquet(path), F.col("lang") == "en").collect()})
+
+
+def test_signatures_bound_the_difference():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (np.unique(r.integers(0, 3000, r.integers(1, 400)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        x, y = ngram_join.signature(a), ngram_join.signature(b)
+        width = min(len(x), len(y))
+        p, q = ngram_join.folded([x, y], width)
+        assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(a, b)) and (ngram_join.folded([x], len(x)) == np.frombuffer(x, np.uint64)).all()
+
+
 def test_trie_overlaps():
     r = np.random.default_rng(3)
     sets = []
