@@ -17,7 +17,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_GROUP, as_bytes, filesystem, shared_path, small_batches
+from .common import ROW_GROUP, as_bytes, filesystem, shared_path, small_batches, tidy
 
 #: Rows a chunk at most; fewer, a power of two, if they hold more than CHUNK_BYTES as stored.
 ROWS = 2048
@@ -98,7 +98,10 @@ def take(spark: SparkSession, paths: Chunked, wanted: DataFrame, columns: list[s
         chunk = table.column("chunk")[0].as_py()
         rows = read_chunk(table.column("file")[0].as_py(), chunk, rows_of_chunk, columns)
         keep = np.unique(table.column("row").to_numpy()) - chunk * rows_of_chunk
-        return rows.take(pa.array(keep)).select(columns)
+        kept = rows.take(pa.array(keep)).select(columns)
+        del rows
+        tidy()
+        return kept
 
     return by_place(wanted.select("file", F.floor(F.col("row") / F.lit(paths.rows)).cast("long").alias("chunk"), "row"), paths).applyInArrow(run, schema)
 
@@ -251,6 +254,8 @@ def by_chunk(batches, flush):
             texts.append(text or b"")
     if ids:
         yield from flush(*key, ids, texts, *more)
+    del ids, texts, more
+    tidy()
 
 
 def block_batch(rows: list[tuple]) -> pa.RecordBatch:

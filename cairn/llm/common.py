@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -90,3 +91,17 @@ class Generations(dict):
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
+def tidy(*caches) -> None:
+    """Between tasks: a worker that waits for its next task gives back what it doesn't need."""
+    for cache in caches:
+        cache.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .common import as_bytes, persist, small_batches
+from .common import as_bytes, persist, small_batches, tidy
 
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
@@ -277,6 +277,8 @@ def lm_score(docs: DataFrame, in_domain: Column, size: int = DICTIONARY_BYTES) -
                 out.append((0, 0, 0, None, None, None, *counts))
         kinds = [pa.int64()] * 3 + [pa.float64()] * 3 + [pa.int64()] * 3
         names = [c.split()[0] for c in RESULT.split(", ")]
+        del texts, phrases, runs, in_runs
+        tidy()
         return pa.table({"doc_id": held.column("doc_id").cast(pa.int64())} | {c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(names[1:], kinds, strict=True))})
 
     return C.by_place(every, paths).applyInArrow(run, RESULT)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .common import persist
+from .common import persist, tidy
 
 #: Classes in one task of a group.
 GROUP = 512
@@ -149,6 +149,7 @@ def _answer(table: pa.Table) -> pa.Table:
         i, j = slice(cut[k], cut[k + 1]), slice(bound[k], bound[k + 1])
         told = C.squeeze(df[i])
         rows.append((part, *key, len(told).to_bytes(4, "little") + told + C.pack([k1[j], k2[j], size[j], low[j], name[j], mult[j]])))
+    tidy()
     return pa.Table.from_batches([C.block_batch(rows)])
 
 
@@ -186,6 +187,8 @@ def _ordered(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
                 tokens = np.sort(f << np.uint64(48) | s >> np.uint64(16)).tobytes()
         out.append((name, doc, n, low, rep, mult, rep == name, rare, tokens))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+    del rows, sets, keys, classes, h, df, owner
+    tidy()
     return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in SETS.split(", ")])
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, as_bytes, persist, small_batches
+from .common import Generations, as_bytes, persist, small_batches, tidy
 
 #: At most so many labelled documents enter the fit; everything else covers all documents.
 SAMPLE = 20_000
@@ -120,6 +120,7 @@ def tables(docs: DataFrame, sample: dict[int, bool], carry: tuple[str, ...] = ()
         if carried is not None:
             rows = [(kind, int(b), int(n[b]), None, None, None) for kind, n in ((TOTAL_RAW, raw), (TOTAL_TARGET, target)) for b in np.flatnonzero(n)]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), *(pa.nulls(len(rows), c.type) for c in carried)], names)
+        tidy(_hashes)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text", *carry).mapInArrow(run, schema)
 
@@ -178,7 +179,7 @@ def gumbel(doc: int | None, text: bytes) -> float:
 def score(found: DataFrame, model: Model, temperature: float = TEMPERATURE, carry: tuple[str, ...] = ()) -> DataFrame:
     """The documents of tables(), scored. carry: columns that the result has too."""
     types = {f.name: f.dataType.simpleString() for f in found.schema.fields}
-    schema = ", ".join([SCORES, *(f"{c} {types[c]}" for c in carry)])
+    schema = ", ".join([SCORES, "order_bits long", *(f"{c} {types[c]}" for c in carry)])
     ratio = model.ratio
 
     def run(batches):
@@ -190,15 +191,17 @@ def score(found: DataFrame, model: Model, temperature: float = TEMPERATURE, carr
                 s = Model.score(n, w)
                 out.append((n, w, s, s / temperature + noise))
             kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), *batch.columns[4:]], ["doc_id", "n_grams", "log_weight", "score", "key", *carry])
+            order = pa.array(order_bits(np.array([r[3] for r in out], np.float64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), order, *batch.columns[4:]], ["doc_id", "n_grams", "log_weight", "score", "key", "order_bits", *carry])
 
     return found.where(F.col("kind") > TOTAL_TARGET).select("doc_id", "n", "grams", "noise", *carry).mapInArrow(run, schema)
 
 
-def kth_largest(rows: DataFrame, column: str, k: int) -> float:
-    """The k-th largest value by radix selection: each round counts the next sixteen bits below the prefix found so far."""
+def kth_largest(rows: DataFrame, column: str, k: int, bits: str | None = None) -> float:
+    """The k-th largest value by radix selection: each round counts the next sixteen bits below the prefix found so far. bits: a
+    column that has order_bits() of the values already."""
+    ordered = rows.select((F.col(bits) if bits else _order_bits_udf(column)).alias("bits"))
     bits = F.col("bits")
-    ordered = rows.select(_order_bits(column).alias("bits"))
     prefix, left = 0, k
     for shift in (48, 32, 16, 0):
         part = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFF)).alias("part")
@@ -212,13 +215,16 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     return _from_order_bits(prefix)
 
 
-def _order_bits(column: str):
-    """A long whose unsigned order is the order of the doubles: the sign bit flipped, or all bits of negatives."""
+def order_bits(x: np.ndarray) -> np.ndarray:
+    """Longs whose unsigned order is the order of the doubles: the sign bit flipped, or all bits of negatives."""
+    raw = np.asarray(x, np.float64).view(np.int64)
+    return np.where(raw < 0, ~raw, raw ^ np.int64(-(2**63)))
 
+
+def _order_bits_udf(column: str):
     @F.pandas_udf("long")
     def convert(x):
-        raw = x.to_numpy(np.float64).view(np.int64)
-        return x._constructor(np.where(raw < 0, ~raw, raw ^ np.int64(-(2**63))))
+        return x._constructor(order_bits(x.to_numpy(np.float64)))
 
     return convert(F.col(column))
 
@@ -233,6 +239,5 @@ def classify(docs: DataFrame, labels: DataFrame, good, limit: int = SAMPLE, carr
     model, found = fit(docs, labels, good, limit, carry)
     scored = persist(score(found, model, carry=carry), "scores")
     k = scored.where(F.col("score") >= F.lit(model.threshold)).count()
-    if k == 0:
-        return scored.withColumn("kept", F.lit(False))
-    return scored.withColumn("kept", F.col("key") >= F.lit(kth_largest(scored, "key", k)))
+    kept = F.col("key") >= F.lit(kth_largest(scored, "key", k, "order_bits")) if k else F.lit(False)
+    return scored.withColumn("kept", kept).drop("order_bits")

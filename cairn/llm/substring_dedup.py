@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunks as C
+from .common import tidy
 
 WIDTH = 20
 DIGESTS = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -120,6 +121,7 @@ def _answer(table: pa.Table) -> pa.Table:
     order = np.lexsort((e, h, who))
     h, e, who = h[order], e[order], who[order]
     bounds = np.searchsorted(who, np.arange(len(keys) + 1))
+    tidy()
     rows = [(0, *keys[k], C.pack([h[a:b], e[a:b]])) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
     return pa.Table.from_batches([C.block_batch(rows)])
 
@@ -176,6 +178,7 @@ def digests(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> D
     count = paths.rows
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         rows, words, gone = _chunk(table, count, width, ["doc_id", "text"])
         return pa.table(
             {
@@ -200,6 +203,7 @@ def remove(spark: SparkSession, docs: DataFrame | str, width: int = WIDTH) -> Da
     result = StructType([f for f in schema.fields if f.name != "removed"]).add("removed", ArrayType(ArrayType(LongType())))
 
     def run(table: pa.Table) -> pa.Table:
+        tidy()
         rows, words, gone = _chunk(table, count, width)
         rows = rows.drop_columns(["removed"]) if "removed" in rows.column_names else rows
         spans = []
