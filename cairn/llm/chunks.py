@@ -62,9 +62,12 @@ def written(docs: DataFrame | str, spark: SparkSession) -> Chunked:
 def rows_of(spark: SparkSession, paths: Chunked, text: bool = True, more: tuple = ()) -> DataFrame:
     """doc_id, text, file, chunk, more Columns, row of every row; without text if it isn't wanted."""
     small_batches(spark)
-    row = F.col("_metadata.row_index")
+    row, cores = F.col("_metadata.row_index"), spark.sparkContext.defaultParallelism
     columns = [F.col("doc_id").cast("long").alias("doc_id"), *([F.col("text")] if text else [])]
-    return spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(paths.rows)).cast("long").alias("chunk"), *more, row.alias("row"))
+    rows = spark.read.parquet(*paths).select(*columns, F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(paths.rows)).cast("long").alias("chunk"), *more, row.alias("row"))
+    # a table of fewer row groups than cores: chunks, whole, over all cores
+    few = spark.read.parquet(*paths).select(F.spark_partition_id().alias("p")).distinct().count() < cores
+    return rows.repartition(cores, "file", "chunk") if few else rows
 
 
 def file_numbers(spark: SparkSession, paths: list[str]) -> dict[str, int]:

@@ -10,6 +10,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 #: Rows per Arrow batch. Documents may be long, so a batch stays small in bytes.
 BATCH_ROWS = 256
@@ -46,6 +47,17 @@ def persist(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(docs, *columns: str):
+    """Columns of docs, over all cores if docs is a scan of fewer row groups than there are cores: one row group is one task,
+    whatever the work on its rows. The count reads no column; larger tables aren't shuffled."""
+    rows = docs.selectExpr(*columns)
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return rows
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    held = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+    return rows.repartition(cores) if held < cores else rows
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_ROWS rows: memory follows a few hundred texts, not ten thousand."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

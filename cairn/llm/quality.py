@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, as_bytes, persist, small_batches, tidy
+from .common import Generations, as_bytes, persist, small_batches, spread, tidy
 
 #: At most so many labelled documents enter the fit; everything else covers all documents.
 SAMPLE = 20_000
@@ -122,7 +122,7 @@ def tables(docs: DataFrame, sample: dict[int, bool], carry: tuple[str, ...] = ()
             yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), *(pa.nulls(len(rows), c.type) for c in carried)], names)
         tidy(_hashes)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text", *carry).mapInArrow(run, schema)
+    return spread(docs, "cast(doc_id as long) doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 class Model:

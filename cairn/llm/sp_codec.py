@@ -18,7 +18,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Generations, as_bytes, small_batches
+from .common import Generations, as_bytes, small_batches, spread
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 MARK = "▁"
@@ -217,7 +217,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids = [codec(path).encode((x or b"").decode("utf-8")) for x in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(docs, "cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(ids: DataFrame, path: str) -> DataFrame:
@@ -241,4 +241,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n, ids, back = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return spread(docs, "cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Generations, as_bytes, small_batches
+from .common import Generations, as_bytes, small_batches, spread
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 LETTER, NUMBER, SPACE, WHITE, APOSTROPHE, OTHER, STMD, R, V, L, E, END = range(12)
@@ -378,4 +378,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return spread(docs, "cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
