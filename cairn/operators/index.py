@@ -250,11 +250,20 @@ def bundle_seeds(tokens: DataFrame, terms: DataFrame, cfg: IndexConfig) -> DataF
     return seeds.select(key.alias("key"), "base", "docs").orderBy(F.desc("docs"), "key").limit(cfg.bundle_keys)
 
 
-def bundles(seeds: DataFrame, terms: DataFrame, frequencies: DataFrame, cfg: IndexConfig, n: int) -> DataFrame:
-    """key, doc, score, rnk, total, next_score, next_doc: the best documents of each seed and the bound that follows them."""
-    posts = postings(terms, frequencies, n)
-    wanted = seeds.select("key", F.size("base").alias("need"), F.explode(T.expanded(F.col("base"))).alias("term"), "base")
-    hits = wanted.join(posts, "term").groupBy("key", "doc").agg(F.sum("impact").alias("score"), F.count(F.when(F.array_contains("base", F.col("term")), 1)).alias("have"), F.first("need").alias("need"))
+def rarest(each: DataFrame, key: str, frequencies: DataFrame, many: Column) -> DataFrame:
+    """key, term: of each row's terms (base) the `many` rarest; terms that nothing holds are the rarest of all."""
+    base = each.select(key, many.alias("many"), F.explode("base").alias("term"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "term"))  # a row a term of one query
+    return base.join(frequencies, "term", "left").withColumn("r", place).where(F.col("r") <= F.col("many")).select(key, "term")
+
+
+def bundles(seeds: DataFrame, posts: DataFrame, frequencies: DataFrame, cfg: IndexConfig) -> DataFrame:
+    """key, doc, score, rnk, total, next_score, next_doc: the best documents of each seed and the bound that follows them. Only
+    documents of a seed's rarest term are candidates."""
+    candidates = rarest(seeds, "key", frequencies, F.lit(1)).join(posts, "term").select("key", "doc")
+    wanted = candidates.join(seeds.select("key", "base", T.expanded(F.col("base")).alias("all")), "key")
+    found = wanted.join(posts, "doc").where(F.array_contains("all", F.col("term")))
+    hits = found.groupBy("key", "doc").agg(F.sum("impact").alias("score"), F.count(F.when(F.array_contains("base", F.col("term")), 1)).alias("have"), F.first(F.size("base")).alias("need"))
     rows = hits.where("have = need").select("key", "doc", "score")
     best = top_rows(rows, "key", cfg.bundle_rows + 1)
     after = best.where(F.col("rnk") == cfg.bundle_rows + 1).select("key", F.col("score").alias("next_score"), F.col("doc").alias("next_doc"))
@@ -307,12 +316,16 @@ def _build(df: DataFrame, cfg: IndexConfig, store: Store, checksums: bool) -> In
 
         tables["blocks"] = store.stage("blocks", lambda: layout.block_bounds(posts, bounds.BLOCK_DOCS), sort=["term", "block"])
         tables["tiers"] = store.stage("tiers", lambda: layout.impact_tiers(posts), sort=["term"])
+    if cfg.locality:
+        from cairn.operators import layout
+
+        tables["payload"] = store.stage("payload", lambda: layout.placed(docs, terms), sort=layout.PLACE)
     tables["facets"] = store.stage("facets", lambda: facets(df, cfg))
     if cfg.authority:
         tables["authority"] = store.stage("authority", lambda: authority(df, cfg), sort=["key"], bloom="key")
     if cfg.bundles:
         tables["seeds"] = store.stage("seeds", lambda: bundle_seeds(tokens, terms, cfg))
-        tables["bundles"] = store.stage("bundles", lambda: bundles(tables["seeds"], terms, tables["terms"], cfg, n), sort=["key"])
+        tables["bundles"] = store.stage("bundles", lambda: bundles(tables["seeds"], posts, tables["terms"], cfg), sort=["key"])
     for field_name, order in cfg.sort_replicas:
         kind = "number" if any(x.name == field_name for x in cfg.numbers) else "boolean"
         name = f"replica_{field_name}_{order}"

@@ -21,18 +21,24 @@ def locality(terms: DataFrame, docs: DataFrame, limit: int = 2, depth: int = 3)
     return out.select("doc", F.when(F.col("prime").isNotNull(), shard_key(F.col("prime"), depth)).otherwise(F.lit("")).alias("shard"), F.coalesce("prime", F.lit("")).alias("prime"), F.coalesce("second", F.lit("")).alias("second"), F.coalesce("strength", F.lit(0)).cast("long").alias("strength"))
 
 
-def write_by_locality(docs: DataFrame, places: DataFrame, path: str) -> None:
-    order = [F.col("prime") == "", F.col("shard"), F.col("prime"), F.desc("strength"), F.col("second"), F.col("doc")]
-    docs.join(places, "doc").repartitionByRange(*order).sortWithinPartitions(*order).drop("shard", "prime", "second", "strength").write.mode("overwrite").parquet(path)
+#: The order of placed().
+PLACE = ["unplaced", "shard", "prime", "weaker", "second", "doc"]
+
+
+def placed(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """docs with the columns of PLACE: documents of the same best terms, the strongest first, lie together in that order."""
+    places = locality(terms, docs).withColumn("unplaced", F.col("prime") == "").withColumn("weaker", -F.col("strength")).drop("strength")
+    return docs.join(places, "doc")
 
 
 def term_shards(frequencies: DataFrame, base: int = 3, deepest: int = 5, target: int = 30_000) -> DataFrame:
-    """term, df, shard: prefixes lengthened while a shard holds more than `target` postings."""
-    out = frequencies.select("term", "df")
-    out = out.withColumn("depth", F.lit(base))
+    """term, df, shard: prefixes lengthened while a shard holds more than `target` postings. Sizes are sums by prefix, added up
+    before they are shuffled, so a prefix of very many terms is no task of its own."""
+    out = frequencies.select("term", "df").withColumn("depth", F.lit(base))
     for depth in range(base, deepest):
-        sizes = F.sum("df").over(Window.partitionBy(shard_key(F.col("term"), depth)))
-        out = out.withColumn("size", sizes).withColumn("depth", F.when((F.col("depth") == depth) & (F.col("size") > target), F.lit(depth + 1)).otherwise(F.col("depth"))).drop("size")
+        key = shard_key(F.col("term"), depth)
+        sizes = frequencies.groupBy(key.alias("prefix")).agg(F.sum("df").alias("size")).where(F.col("size") > target)
+        out = out.withColumn("prefix", key).join(sizes, "prefix", "left").withColumn("depth", F.when((F.col("depth") == depth) & F.col("size").isNotNull(), F.lit(depth + 1)).otherwise(F.col("depth"))).drop("prefix", "size")
     shard = shard_key(F.col("term"), base)
     for depth in range(base + 1, deepest + 1):
         shard = F.when(F.col("depth") == depth, shard_key(F.col("term"), depth)).otherwise(shard)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.functions import values as V
 from cairn.operators.filters import Filters, condition, order_columns, page_bounds, sort_spec
-from cairn.operators.index import Index
+from cairn.operators.index import Index, rarest
 
 RERANK_CANDIDATES = 30
 DEPENDENCY_SCALE = 0.12
@@ -212,19 +212,12 @@ def distinct_queries(asked: DataFrame) -> DataFrame:
     return asked.select(F.array_join("base", " ").alias("terms"), "base").dropDuplicates(["terms"]).withColumn("need", need)
 
 
-def pivots(index: Index, each: DataFrame) -> DataFrame:
-    """terms, term: of every query the rarest term and, where one may be missing, the next: a hit holds one of them."""
-    base = each.select("terms", F.size("base").alias("n"), "need", F.explode("base").alias("term"))
-    ranked = base.join(index.terms, "term", "left").withColumn("r", F.row_number().over(Window.partitionBy("terms").orderBy(F.coalesce("df", F.lit(0)), "term")))
-    return ranked.where(F.col("r") <= F.col("n") - F.col("need") + 1).select("terms", "term")
-
-
 def batch(index: Index, queries: DataFrame, key: str, text: str, size: int = 10) -> DataFrame:
     """key, doc, score, rank of every row of a table of queries. Queries of the same terms are answered once; candidates are
     the documents of a query's rarest term (or two), and only their postings add up."""
     asked = analysed(index, queries, key, text)
     each = distinct_queries(asked)
-    candidates = pivots(index, each).join(index.postings, "term").select("terms", "doc").distinct()
+    candidates = rarest(each, "terms", index.terms, F.size("base") - F.col("need") + 1).join(index.postings, "term").select("terms", "doc").distinct()
     wanted = candidates.join(each.select("terms", "need", "base", T.expanded(F.col("base")).alias("all")), "terms")
     found = wanted.join(index.postings, "doc").where(F.array_contains("all", F.col("term")))
     hits = found.groupBy("terms", "doc").agg(F.sum("impact").alias("score"), F.sum(F.array_contains("base", F.col("term")).cast("int")).alias("hits"), F.first("need").alias("need"))

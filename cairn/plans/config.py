@@ -153,6 +153,7 @@ class IndexConfig:
     bundle_terms: int = 3
     bundle_field_tokens: int = 160
     sort_replicas: tuple[tuple[str, str], ...] = ()
+    locality: bool = False  # a copy of docs in order of their best terms, for sequential readers
     bounds: bool = True  # tables of bounds on impacts, for searches that don't count their hits
     typo: TypoOptions = field(default_factory=TypoOptions)
     fold: str = "latin"  # or "nfkd": full normalisation by an Arrow UDF

@@ -143,3 +143,15 @@ def test_command_line_report_and_verify(spark, tmp_path, capsys):
     assert main(["verify", "--index", path]) == 0 and "postings" in json.loads(capsys.readouterr().out)["verified"]
     assert main(["report", "--index", path]) == 0 and json.loads(capsys.readouterr().out)["telemetry"]["report"]["docs"] == 3
     assert main(["search", "--config", str(tmp_path / "c.json"), "--trace", "stone"]) == 0 and json.loads(capsys.readouterr().out)["stats"]["trace"]["total"] > 0
+
+
+def test_payload_in_order_of_locality(spark):
+    import dataclasses
+
+    from cairn.operators import layout
+
+    cfg = dataclasses.replace(CONFIG, locality=True, bundles=False, sort_replicas=())
+    ix = build(spark.createDataFrame([*ROWS, (10**6, "", "a", 1, True)], SCHEMA), cfg)
+    rows = [tuple(r) for r in ix.payload.select(*layout.PLACE).collect()]
+    assert len(rows) == 401 and sorted(rows)[-1][0] and rows == sorted(rows)
+    assert {r["doc"] for r in ix.payload.collect()} == {r[0] for r in ROWS} | {10**6}
