@@ -9,7 +9,8 @@ members that start in its range. Payloads leave it in Arrow batches of bounded s
 checksum fails is tried again by itself, from a newly opened file at its own offset, before the task fails.
 
 Defined results: null and empty texts are one padded row; repeated rows repeat; equal texts give equal values; null ids
-stay null; an empty table gives an empty result; columns besides doc_id and text are ignored.
+stay null; an empty table gives an empty result; columns besides doc_id and text are ignored; a very
+long text is one member, held whole by the task that writes or reads it.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ pairs of blocks are tasks of their own. Nothing but a count per class and the ed
 
 Defined results: words are cut at ASCII white space and A-Z lower-cased; one word alone is its own shingle; documents
 without words (or null) have the empty set, link with nothing and are their own component; rows that share an id are each
-a document; null ids sort last; an empty table gives an empty result; extra columns are ignored.
+a document; null ids sort last; an empty table gives an empty result; extra columns are ignored; a
+very long text is held whole in one task, and joins those of its length only.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def _ordered(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
             f = df[np.searchsorted(h, s >> np.uint64(24))].astype(np.uint64)
             rare = int((f == 1).sum())
             if rare < prefix_length(n):
-                tokens = np.sort(f << np.uint64(48) | s >> np.uint64(16)).tobytes()
+                tokens = C.squeeze(np.sort(f << np.uint64(48) | s >> np.uint64(16)))
         out.append((name, doc, n, low, rep, mult, rep == name, rare, tokens))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
     del rows, sets, keys, classes, h, df, owner
@@ -208,7 +209,7 @@ def _postings(reps: list, sizes: list, rares: list, tokens: list) -> tuple[np.nd
     the shingle with its hash in front, so that keys spread evenly."""
     t, who, n, at = [np.empty(0, np.uint64)], [], [], []
     for rep, size, rare, data in zip(reps, sizes, rares, tokens, strict=True):
-        x = np.frombuffer(data, np.uint64)[rare : prefix_length(size)]
+        x = C.loosen(data, np.uint64)[rare : prefix_length(size)]
         t.append(x)
         who.append(np.full(len(x), rep, np.int64))
         n.append(np.full(len(x), size, np.int64))
@@ -359,7 +360,7 @@ def _led(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
     leader, token, rep, n, at = (x[order] for x in (leader, token, rep, n, at))
     first = np.flatnonzero(np.r_[True, (leader[1:] != leader[:-1]) | (rep[1:] != rep[:-1])]) if len(rep) else np.empty(0, np.int64)
     last = np.append(first[1:], len(rep))[: len(first)]
-    held = {r[0]: (r[1] - r[2], signature(np.frombuffer(r[3], np.uint64)[r[2] :]), r[5]) for r in rows}
+    held = {r[0]: (r[1] - r[2], signature(C.loosen(r[3], np.uint64)[r[2] :]), r[5]) for r in rows}
     mine = [held[r] for r in rep[first].tolist()]
     spans = list(zip(first.tolist(), last.tolist(), strict=True))
     longs = {"leader": leader[first], "rep": rep[first], "n": n[first], "shared": np.array([m[0] for m in mine], np.int64)}
@@ -433,7 +434,7 @@ def _ship(table: pa.Table, files: list[str], count: int) -> pa.Table:
     rows = C.read_chunk(files[int(place[0] >> 40)], chunk, count, ["rep", "low", "mult", "n", "rare", "tokens"])
     asked, which = np.unique(row - chunk * count, return_inverse=True)
     rows = rows.take(pa.array(asked))
-    tokens = [t[8 * r :] for t, r in zip(rows.column("tokens").to_pylist(), rows.column("rare").to_pylist(), strict=True)]
+    tokens = [C.squeeze(C.loosen(t, np.uint64)[r:]) for t, r in zip(rows.column("tokens").to_pylist(), rows.column("rare").to_pylist(), strict=True)]
     which = pa.array(which)
     out = {c: table.column(c) for c in ("leader", "i", "j", "block", "ats")} | {c: rows.column(c).take(which) for c in ("rep", "low", "mult", "n", "rare")}
     return pa.table(out | {"tokens": pa.array(tokens, pa.binary()).take(which)})
@@ -523,7 +524,7 @@ def _links(table: pa.Table) -> pa.Table:
     """Of one task of a group: for each class the documents that it links with here, and its root in a spanning forest."""
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     rep, mult, block = (table.column(c).to_numpy() for c in ("rep", "mult", "block"))
-    sets = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
+    sets = [C.loosen(b, np.uint64) for b in table.column("tokens").to_pylist()]
     ats = [np.frombuffer(b, np.int32) for b in table.column("ats").to_pylist()]
     size, rare = table.column("n").to_numpy(), table.column("rare").to_numpy()
     m = len(sets)

@@ -6,7 +6,7 @@ records keep their slots. The law is `bytes`: the sizes of the shards are as nea
 
 Defined results: a null text has no bytes, so the size 8 and the checksum 0; repeated rows and equal texts are placed each
 on its own; null ids hash like any value; an empty table gives an empty result and an even map; columns besides doc_id
-and text are ignored.
+and text are ignored; a very long text counts with all its bytes, in the one slot it falls into.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ merges undone from the latest, no merge over the seam would have come first. Run
 are merged from the left, as the library does. Characters outside the vocabulary become their bytes.
 
 Defined results: null and empty texts have no ids, and decode to the empty text; repeated rows repeat; an empty table
-gives an empty result; columns besides doc_id and text are ignored.
+gives an empty result; columns besides doc_id and text are ignored; a very long text is read unit by unit, a very long unit in
+time that grows with its length.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ No hash gathers more rows than there are chunks, however often a passage repeats
 
 Defined results: a null or empty text has no words; a text with fewer words than a window keeps all; a null id sorts last;
 rows that share an id (or have none) are one after the other in table order, files by name; an empty table gives an empty result; extra columns are
-ignored by the digests and kept by remove().
+ignored by the digests and kept by remove(); a very long text is held whole, with its words, in one task.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Two deterministic transducers are compiled from the tokenizer's file:
 Both are exact: a prefix has one last token that can end it, the one compatible with the token before it.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows repeat; columns besides doc_id and text
-are ignored; an empty table gives an empty result. A special string in a text is one token, as the library reads it.
+are ignored; an empty table gives an empty result. A special string in a text is one token, as the library reads it;
+a very long text is read chunk by chunk by one task, in memory of a few times its characters.
 """
 
 from __future__ import annotations
