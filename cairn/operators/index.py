@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import dataclasses
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,10 @@ from cairn.sources.store import Store, checksum, fingerprint, fresh_path, read_j
 from cairn.sources.store import verify as check
 
 
+#: Stages of a build at a time.
+SIDE_BY_SIDE = 4
+
+
 @dataclass
 class Index:
     spark: SparkSession
@@ -300,36 +306,45 @@ def build(df: DataFrame, cfg: IndexConfig, path: str | None = None, source: str
 
 
 def _build(df: DataFrame, cfg: IndexConfig, store: Store, checksums: bool) -> Index:
+    """Stages that don't wait for each other run side by side: the scheduler fills the cores that one leaves free."""
     spark, began = df.sparkSession, time.time()
-    docs = store.stage("docs", lambda: documents(df, cfg), sort=["doc"])
-    n = docs.count()
-    tokens = store.stage("tokens", lambda: token_arrays(spread(df), cfg))
-    counts = store.stage("occurrences", lambda: occurrences(tokens, cfg))
-    mean = averages(counts, cfg, n)
-    pairs = proximity_rows(tokens, cfg) if cfg.expansion_terms_per_doc > 0 else None
-    terms = store.stage("doc_terms", lambda: doc_terms(counts, pairs, cfg, mean))
-    tables = {"docs": docs, "tokens": tokens, "occurrences": counts, "doc_terms": terms}
-    tables["terms"] = store.stage("terms", lambda: document_frequencies(terms), sort=["term"])
-    posts = tables["postings"] = store.stage("postings", lambda: postings(terms, tables["terms"], n), sort=["term", "doc"], bloom="term")
-    if cfg.bounds:
-        from cairn.operators import bounds, layout
-
-        tables["blocks"] = store.stage("blocks", lambda: layout.block_bounds(posts, bounds.BLOCK_DOCS), sort=["term", "block"])
-        tables["tiers"] = store.stage("tiers", lambda: layout.impact_tiers(posts), sort=["term"])
-    if cfg.locality:
-        from cairn.operators import layout
-
-        tables["payload"] = store.stage("payload", lambda: layout.placed(docs, terms), sort=layout.PLACE)
-    tables["facets"] = store.stage("facets", lambda: facets(df, cfg))
-    if cfg.authority:
-        tables["authority"] = store.stage("authority", lambda: authority(df, cfg), sort=["key"], bloom="key")
-    if cfg.bundles:
-        tables["seeds"] = store.stage("seeds", lambda: bundle_seeds(tokens, terms, cfg))
-        tables["bundles"] = store.stage("bundles", lambda: bundles(tables["seeds"], posts, tables["terms"], cfg), sort=["key"])
-    for field_name, order in cfg.sort_replicas:
-        kind = "number" if any(x.name == field_name for x in cfg.numbers) else "boolean"
-        name = f"replica_{field_name}_{order}"
-        tables[name] = store.stage(name, lambda c=f"{kind}_{field_name}", o=order: replica(docs.withColumn(c, F.col(c).cast("double")), c, o), sort=["rnk"])
+    tables: dict[str, DataFrame] = {}
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+
+        def start(name: str, make, **how):
+            return pool.submit(inheritable_thread_target(spark)(lambda: store.stage(name, make, **how)))
+
+        later = {"docs": start("docs", lambda: documents(df, cfg), sort=["doc"]), "facets": start("facets", lambda: facets(df, cfg))}
+        if cfg.authority:
+            later["authority"] = start("authority", lambda: authority(df, cfg), sort=["key"], bloom="key")
+        tokens = tables["tokens"] = store.stage("tokens", lambda: token_arrays(spread(df), cfg))
+        counts = tables["occurrences"] = store.stage("occurrences", lambda: occurrences(tokens, cfg))
+        docs = later["docs"].result()
+        n = docs.count()
+        for field_name, order in cfg.sort_replicas:
+            kind = "number" if any(x.name == field_name for x in cfg.numbers) else "boolean"
+            name = f"replica_{field_name}_{order}"
+            later[name] = start(name, lambda c=f"{kind}_{field_name}", o=order: replica(docs.withColumn(c, F.col(c).cast("double")), c, o), sort=["rnk"])
+        mean = averages(counts, cfg, n)
+        pairs = proximity_rows(tokens, cfg) if cfg.expansion_terms_per_doc > 0 else None
+        terms = tables["doc_terms"] = store.stage("doc_terms", lambda: doc_terms(counts, pairs, cfg, mean))
+        if cfg.locality:
+            from cairn.operators import layout
+
+            later["payload"] = start("payload", lambda: layout.placed(docs, terms), sort=layout.PLACE)
+        if cfg.bundles:
+            later["seeds"] = start("seeds", lambda: bundle_seeds(tokens, terms, cfg))
+        frequencies = tables["terms"] = store.stage("terms", lambda: document_frequencies(terms), sort=["term"])
+        posts = tables["postings"] = store.stage("postings", lambda: postings(terms, frequencies, n), sort=["term", "doc"], bloom="term")
+        if cfg.bounds:
+            from cairn.operators import bounds, layout
+
+            later["blocks"] = start("blocks", lambda: layout.block_bounds(posts, bounds.BLOCK_DOCS), sort=["term", "block"])
+            later["tiers"] = start("tiers", lambda: layout.impact_tiers(posts), sort=["term"])
+        if cfg.bundles:
+            seeds = later["seeds"].result()
+            later["bundles"] = start("bundles", lambda: bundles(seeds, posts, frequencies, cfg), sort=["key"])
+        tables |= {name: found.result() for name, found in later.items()}
     index = Index(spark, cfg, n, mean, tables, store.path, store.reused)
     publish(index, store, round(time.time() - began, 3), checksums)
     return index
