@@ -116,9 +116,10 @@ def chunks_of(spark: SparkSession, paths: Chunked) -> DataFrame:
 
 
 def by_place(blocks: DataFrame, paths: Chunked):
-    """Blocks grouped by chunk, over as many tasks as there are slices: a small block means a whole chunk's work, so partitions
-    mustn't be put together by size."""
-    return blocks.repartition(paths.slices, "file", "chunk").groupBy("file", "chunk")
+    """Blocks grouped by chunk. A small block means a whole chunk's work, so partitions mustn't be put together by size: there
+    are as many as slices, and no more than four a core (a task holds one chunk at a time, however many it has)."""
+    tasks = min(paths.slices, 4 * blocks.sparkSession.sparkContext.defaultParallelism)
+    return blocks.repartition(tasks, "file", "chunk").groupBy("file", "chunk")
 
 
 def read_chunk(file: str, chunk: int, count: int, columns: list[str] | None = None) -> pa.Table:
