@@ -363,6 +363,7 @@ def _led(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
     held = {r[0]: (r[1] - r[2], signature(C.loosen(r[3], np.uint64)[r[2] :]), r[5]) for r in rows}
     mine = [held[r] for r in rep[first].tolist()]
     spans = list(zip(first.tolist(), last.tolist(), strict=True))
+    tidy()
     longs = {"leader": leader[first], "rep": rep[first], "n": n[first], "shared": np.array([m[0] for m in mine], np.int64)}
     return pa.table({k: pa.array(v, pa.int64()) for k, v in longs.items()} | {"tokens": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), "ats": pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), "bits": pa.array([m[1] for m in mine], pa.binary()), "place": pa.array([m[2] for m in mine], pa.int64())})
 

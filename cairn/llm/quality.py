@@ -193,6 +193,7 @@ def score(found: DataFrame, model: Model, temperature: float = TEMPERATURE, carr
             kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             order = pa.array(order_bits(np.array([r[3] for r in out], np.float64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)), order, *batch.columns[4:]], ["doc_id", "n_grams", "log_weight", "score", "key", "order_bits", *carry])
+        tidy()
 
     return found.where(F.col("kind") > TOTAL_TARGET).select("doc_id", "n", "grams", "noise", *carry).mapInArrow(run, schema)
 
