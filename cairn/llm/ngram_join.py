@@ -2,16 +2,23 @@
 
 A document's set holds the hashes of its distinct 2-word shingles. Equal sets form one class; a class is joined once, by
 the smallest document that holds it. Classes go by that row's place in the table (file and row), which is unique where ids
-aren't; ids only name the results. Shingles have a global order, rarest first: document frequencies come from an
-exchange of hashes between chunks (see chunks.py), ties go by hash. Two sets with Jaccard similarity t share a shingle in
-their prefixes of n - ceil(t n) + 1 shingles, so shingles that no other class holds need no posting.
-
-Each posting's shingle has a leader, the smallest class that holds it in its prefix, and a class goes to the groups of
-its leaders if a partner passes the bound on the overlap that their positions leave. In a group the ordered sets form a
-trie, stored as flat arrays of edges; each set walks it level by level, all edges of a level at once, adding up the
-overlap that sets below an edge share, and leaves subtrees whose remaining lengths can't reach the needed overlap. A pair
-counts in the group of its first common shingle, so it counts once. Groups beyond GROUP classes are cut into blocks, and
-pairs of blocks are tasks of their own. Nothing but a count per class and the edges of a spanning forest leaves a group.
+aren't; ids only name the results.
+
+Candidates are found by marks, not by shingles: a single shingle, however rare, is held by more classes the more documents
+there are, and so are the candidates of each. A mark is a pair of shingles that are neighbours in the set sorted by hash,
+both ends counting as shingles, so a set of n shingles has n + 1 marks. In the sorted union of two sets each shingle that
+only one of them holds parts two neighbours at most: sets of m and n shingles that share c share 3c - m - n + 1 marks at
+least, which is more than (m + n) / 8 from a similarity of 0.6 on. Marks have a global order, rarest first: frequencies
+come from an exchange of hashes between chunks (see chunks.py), ties go by hash. So similar sets share a mark in their
+prefixes of n + 1 - ceil(n / 5) marks, and marks that no other class holds need no posting.
+
+Each posting's mark has a leader, the smallest class that holds it in its prefix, and a class goes to the groups of its
+leaders if a partner passes the bound on the common marks that their positions leave. In a group the sets, ordered by how
+many there hold a shingle, form a trie, stored as flat arrays of edges; each set walks it level by level, all edges of a
+level at once, adding up the overlap that sets below an edge share, and leaves subtrees whose remaining lengths can't reach
+the needed overlap. A pair counts in the group of its first common mark, so it counts once. Groups beyond GROUP classes are
+cut into blocks, and pairs of blocks are tasks of their own. Nothing but a count per class and the edges of a spanning
+forest leaves a group.
 
 Defined results: words are cut at ASCII white space and A-Z lower-cased; one word alone is its own shingle; documents
 without words (or null) have the empty set, link with nothing and are their own component; rows that share an id are each
@@ -31,10 +38,15 @@ from .common import persist, tidy
 
 #: Classes in one task of a group.
 GROUP = 512
+#: Marks of a class that a group gets beside its own, the first that others may hold: by them most pairs that count elsewhere
+#: are left out before their sets are read.
+HEADS = 16
 PERCENT = 60
-#: name: the row's place, file number and row number; rep and low: name and id of the class's smallest row.
-SETS = "name long, doc_id long, n long, low long, rep long, mult long, own boolean, rare int, tokens binary"
+#: name: the row's place, file number and row number; rep and low: name and id of the class's smallest row; rare: how many
+#: marks no other class holds; grams, often: the set and its marks' frequencies, see _unfold.
+SETS = "name long, doc_id long, n long, low long, rep long, mult long, own boolean, rare int, grams binary, often binary"
 _ONE = np.uint64(0xA0761D6478BD642F)
+_ENDS = np.array([0], np.uint64), np.array([2**64 - 1], np.uint64)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -48,6 +60,23 @@ def _set(x: np.ndarray) -> np.ndarray:
     return np.unique(C.mix(x[:-1] * C.BASE[0] + x[1:]))
 
 
+def marks(s: np.ndarray) -> np.ndarray:
+    """Hashes of the neighbours in a sorted set, its ends included: one more than it has shingles."""
+    x = np.concatenate([_ENDS[0], s, _ENDS[1]])
+    return C.mix(x[:-1] * C.BASE[0] + x[1:])
+
+
+def _fold(s: np.ndarray, often: np.ndarray) -> tuple[bytes, bytes]:
+    """A sorted set as differences, and the frequencies of its marks."""
+    return C.squeeze(np.diff(s, prepend=np.uint64(0))), C.squeeze(often)
+
+
+def _unfold(grams: bytes, often: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted set, and its ordered marks (frequency, then 48 bits)."""
+    s = np.cumsum(C.loosen(grams, np.uint64), dtype=np.uint64)
+    return s, np.sort(C.loosen(often, np.uint16).astype(np.uint64) << np.uint64(48) | marks(s) >> np.uint64(16))
+
+
 def _chunk_sets(ids, texts: list[bytes]):
     """Per document of a chunk: its set and the two halves of the set's key."""
     sets = [shingles(t) for t in texts]
@@ -72,8 +101,8 @@ def _classes(ids, sets, keys, names: list[int]):
 
 
 def _held(classes: list) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles (40 bits) of a chunk's classes, ascending, and how many classes hold each."""
-    return np.unique(np.concatenate([c[2] for c in classes]) >> np.uint64(24), return_counts=True)
+    """The marks (40 bits) of a chunk's classes, ascending, and how many classes hold each."""
+    return np.unique(np.concatenate([marks(c[2]) for c in classes]) >> np.uint64(24), return_counts=True)
 
 
 def _blocks(parts: int, numbers: dict[str, int]):
@@ -103,8 +132,8 @@ def _blocks(parts: int, numbers: dict[str, int]):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Of one slice, to each chunk: frequencies of its shingles in ascending order (the chunk knows them, so they aren't sent
-    back), smallest row and members of its classes. A chunk that two tasks read has two blocks and gets one answer."""
+    """Of one slice, to each chunk: frequencies of its marks in ascending order (the chunk knows them, so they aren't sent
+    back), smallest row and members of its classes, and how often a class itself counts. A chunk that two tasks read has two blocks and gets one answer."""
     part = table.column("slice")[0].as_py()
     files, chunk, blocks = (table.column(i).to_pylist() for i in (1, 2, 3))
     keys = list(dict.fromkeys(zip(files, chunk, strict=True)))
@@ -126,7 +155,7 @@ def _answer(table: pa.Table) -> pa.Table:
     df = np.minimum(total, 65535).astype(np.uint16)[np.cumsum(new) - 1]
     order = np.argsort(who, kind="stable")  # stays sorted by hash within a chunk
     h, df, who = h[order], df[order], who[order]
-    once = np.ones(len(h), bool)  # two blocks of a chunk may hold one shingle
+    once = np.ones(len(h), bool)  # two blocks of a chunk may hold one mark
     once[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
     df, who = df[once], who[once]
     cut = np.searchsorted(who, np.arange(len(keys) + 1))
@@ -139,27 +168,28 @@ def _answer(table: pa.Table) -> pa.Table:
     group = np.cumsum(new) - 1
     first = np.flatnonzero(new)
     if len(k1):
-        low, name, mult = low[first][group], name[first][group], np.add.reduceat(many, first)[group]
+        low, name, mult, own = low[first][group], name[first][group], np.add.reduceat(many, first)[group], np.diff(np.append(first, len(k1)))[group]
     else:
-        mult = many
+        mult = own = many
     order = np.argsort(who, kind="stable")
-    k1, k2, size, low, name, mult, who = (x[order] for x in (k1, k2, size, low, name, mult, who))
+    k1, k2, size, low, name, mult, own, who = (x[order] for x in (k1, k2, size, low, name, mult, own, who))
     bound = np.searchsorted(who, np.arange(len(keys) + 1))
     rows = []
     for k, key in enumerate(keys):
         i, j = slice(cut[k], cut[k + 1]), slice(bound[k], bound[k + 1])
         told = C.squeeze(df[i])
-        rows.append((part, *key, len(told).to_bytes(4, "little") + told + C.pack([k1[j], k2[j], size[j], low[j], name[j], mult[j]])))
+        rows.append((part, *key, len(told).to_bytes(4, "little") + told + C.pack([k1[j], k2[j], size[j], low[j], name[j], mult[j], own[j]])))
     tidy()
     return pa.Table.from_batches([C.block_batch(rows)])
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+def prefix_length(n: int) -> int:
+    """Marks of which a set of n shingles shares one with any similar set; of all its marks it shares more than n / 5."""
+    return n + 1 - -(-n // 5)
 
 
 def _ordered(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
-    """Of one chunk with its answers: every row's class, and the ordered set of each class that may have a partner."""
+    """Of one chunk with its answers: every row's class, and the set of each class that may have a partner."""
     file, chunk = table.column(1)[0].as_py(), table.column(2)[0].as_py()
     rows = C.read_chunk(file, chunk, count, ["doc_id", "text"])
     ids, sets, keys = _chunk_sets(*C.ids_and_texts(rows))
@@ -168,7 +198,7 @@ def _ordered(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
     for _, b in sorted((p, b) for p, b in zip(table.column("slice").to_pylist(), table.column(3).to_pylist(), strict=True) if b):
         n = int.from_bytes(b[:4], "little")
         freq.append(C.loosen(b[4 : 4 + n], np.uint16))
-        k1, k2, size, *found = (x.tolist() for x in C.unpack(b[4 + n :], [np.uint64, np.uint64, np.uint32, np.int64, np.int64, np.int64]))
+        k1, k2, size, *found = (x.tolist() for x in C.unpack(b[4 + n :], [np.uint64, np.uint64, np.uint32, np.int64, np.int64, np.int64, np.int64]))
         owner.update(zip(zip(k1, k2, size, strict=True), zip(*found, strict=True), strict=True))
     _, classes = _classes(ids, sets, keys, list(range(first, first + len(sets))))
     h, df = (_held(classes)[0], np.concatenate(freq)) if classes else (np.empty(0, np.uint64), np.empty(0, np.uint16))
@@ -177,17 +207,17 @@ def _ordered(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
     for name, (doc, s, k) in enumerate(zip(ids.tolist(), sets, keys, strict=True), first):
         n = len(s)
         if not n:
-            out.append((name, doc, 0, doc, name, 1, False, 0, None))
+            out.append((name, doc, 0, doc, name, 1, False, 0, None, None))
             continue
-        low, rep, mult = owner[(*k, n)]
-        rare, tokens = 0, None
+        low, rep, mult, own = owner[(*k, n)]
+        rare, folds = 0, (None, None)
         if rep == name:
-            f = df[np.searchsorted(h, s >> np.uint64(24))].astype(np.uint64)
-            rare = int((f == 1).sum())
+            f = df[np.searchsorted(h, marks(s) >> np.uint64(24))]
+            rare = int((f == own).sum()) if own < 65535 else 0
             if rare < prefix_length(n):
-                tokens = C.squeeze(np.sort(f << np.uint64(48) | s >> np.uint64(16)))
-        out.append((name, doc, n, low, rep, mult, rep == name, rare, tokens))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+                folds = _fold(s, f)
+        out.append((name, doc, n, low, rep, mult, rep == name, rare, *folds))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary()]
     del rows, sets, keys, classes, h, df, owner
     tidy()
     return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in SETS.split(", ")])
@@ -204,12 +234,12 @@ FAR = np.uint32(2**32 - 1)  # a size that no partner has
 NEVER = np.int64(-(2**62))
 
 
-def _postings(reps: list, sizes: list, rares: list, tokens: list) -> tuple[np.ndarray, ...]:
-    """key, rep, n, at of the prefixes of ordered sets, but for shingles that a set alone holds; ascending by key, which is
-    the shingle with its hash in front, so that keys spread evenly."""
+def _postings(reps: list, sizes: list, rares: list, grams: list, often: list) -> tuple[np.ndarray, ...]:
+    """key, rep, n, at of the prefixes of sets' ordered marks, but for marks that a set alone holds; ascending by key, which
+    is the mark with its hash in front, so that keys spread evenly."""
     t, who, n, at = [np.empty(0, np.uint64)], [], [], []
-    for rep, size, rare, data in zip(reps, sizes, rares, tokens, strict=True):
-        x = C.loosen(data, np.uint64)[rare : prefix_length(size)]
+    for rep, size, rare, *folds in zip(reps, sizes, rares, grams, often, strict=True):
+        x = _unfold(*folds)[1][rare : prefix_length(size)]
         t.append(x)
         who.append(np.full(len(x), rep, np.int64))
         n.append(np.full(len(x), size, np.int64))
@@ -222,8 +252,9 @@ def _postings(reps: list, sizes: list, rares: list, tokens: list) -> tuple[np.nd
 
 
 def _room(n: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """What is left of a set behind a shingle: a pair passes if each one's room reaches 375 times the other's size."""
-    return 625 * n - 1000 * at
+    """What is left of a set's marks from a place on, and its size's bound on a partner's: a pair passes if each one's room
+    reaches 3 times the other's size (8 marks left for 1 of both sizes, and sizes 3 to 5 at most)."""
+    return np.minimum(3 * (7 * n - 8 * at), 5 * n)
 
 
 def _holders(key: np.ndarray, rep: np.ndarray, n: np.ndarray, room: np.ndarray):
@@ -248,7 +279,7 @@ def _unpack_summary(block: bytes):
 
 
 def _holder_blocks(parts: int):
-    """Each chunk's holders of each shingle, summed up: a shingle is sent once a chunk, however many classes hold it."""
+    """Each chunk's holders of each mark, summed up: a mark is sent once a chunk, however many classes hold it."""
 
     def flush(file, chunk, rows):
         key, rep, n, at = _postings(*zip(*rows, strict=True))
@@ -275,7 +306,7 @@ def _holder_blocks(parts: int):
 
 
 def _leaders(table: pa.Table) -> pa.Table:
-    """Of one slice, to each chunk, for shingles that other chunks hold too: the leader, and the others' smallest size and
+    """Of one slice, to each chunk, for marks that other chunks hold too: the leader, and the others' smallest size and
     largest room."""
     files, chunk, blocks = (table.column(i).to_pylist() for i in (1, 2, 3))
     keys = list(dict.fromkeys(zip(files, chunk, strict=True)))
@@ -327,18 +358,18 @@ def folded(signatures: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-LED = "leader long, rep long, n long, shared long, tokens binary, ats binary, bits binary, place long"
+LED = "leader long, rep long, n long, tokens binary, ats binary, bits binary, heads binary, place long"
 
 
 def _led(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
-    """Of one chunk of ordered sets with its answers, a row a leader and class: which shingles that may have a partner the
-    leader leads, where they are in the class, the class's signature over shingles that others hold, and the place of its row
+    """Of one chunk of ordered sets with its answers, a row a leader and class: which marks that may have a partner the
+    leader leads, where they are in the class, the class's signature and first marks, and the place of its row
     among the ordered sets."""
     file, chunk = table.column(1)[0].as_py(), table.column(2)[0].as_py()
-    rows = C.read_chunk(file, chunk, count, ["rep", "n", "own", "rare", "tokens"])
-    rows = list(zip(*(rows.column(c).to_pylist() for c in ("rep", "n", "rare", "tokens", "own")), range(_name(numbers[file], chunk * count), 2**63), strict=False))
-    rows = [r for r in rows if r[4] and r[3] is not None]
-    key, rep, n, at = _postings(*(list(c) for c in zip(*(r[:4] for r in rows), strict=True))) if rows else _postings([], [], [], [])
+    rows = C.read_chunk(file, chunk, count, ["rep", "n", "own", "rare", "grams", "often"])
+    rows = list(zip(*(rows.column(c).to_pylist() for c in ("rep", "n", "rare", "grams", "often", "own")), range(_name(numbers[file], chunk * count), 2**63), strict=False))
+    rows = [r for r in rows if r[5] and r[3] is not None]
+    key, rep, n, at = _postings(*(list(c) for c in zip(*(r[:5] for r in rows), strict=True))) if rows else _postings([], [], [], [], [])
     room = _room(n, at)
     first, count, low, least, widest = _holders(key, rep, n, room)
     # one holder here: its partners are elsewhere; more: among themselves too
@@ -352,7 +383,7 @@ def _led(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
         least[at_key] = np.minimum(least[at_key], tleast[order].astype(np.int64))
         widest[at_key] = np.maximum(widest[at_key], twidest[order])
     group = np.repeat(np.arange(len(first)), count)
-    may = (room >= 375 * least[group]) & (widest[group] >= 375 * n) if len(first) else np.empty(0, bool)
+    may = (room >= 3 * least[group]) & (widest[group] >= 3 * n) if len(first) else np.empty(0, bool)
     token = key >> np.uint64(16) | key << np.uint64(48)
     leader = (leader[group] if len(first) else rep)[may]
     token, rep, n, at = token[may], rep[may], n[may], at[may].astype(np.int32)
@@ -360,41 +391,65 @@ def _led(table: pa.Table, numbers: dict[str, int], count: int) -> pa.Table:
     leader, token, rep, n, at = (x[order] for x in (leader, token, rep, n, at))
     first = np.flatnonzero(np.r_[True, (leader[1:] != leader[:-1]) | (rep[1:] != rep[:-1])]) if len(rep) else np.empty(0, np.int64)
     last = np.append(first[1:], len(rep))[: len(first)]
-    held = {r[0]: (r[1] - r[2], signature(C.loosen(r[3], np.uint64)[r[2] :]), r[5]) for r in rows}
+    asked = set(rep.tolist())
+    held = {}
+    for r in rows:
+        if r[0] in asked:
+            s, order = _unfold(*r[3:5])
+            held[r[0]] = signature(s), order[r[2] : prefix_length(r[1])][:HEADS].tobytes(), r[6]
     mine = [held[r] for r in rep[first].tolist()]
     spans = list(zip(first.tolist(), last.tolist(), strict=True))
     tidy()
-    longs = {"leader": leader[first], "rep": rep[first], "n": n[first], "shared": np.array([m[0] for m in mine], np.int64)}
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in longs.items()} | {"tokens": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), "ats": pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), "bits": pa.array([m[1] for m in mine], pa.binary()), "place": pa.array([m[2] for m in mine], pa.int64())})
+    longs = {"leader": leader[first], "rep": rep[first], "n": n[first]}
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in longs.items()} | {"tokens": pa.array([token[a:b].tobytes() for a, b in spans], pa.binary()), "ats": pa.array([at[a:b].tobytes() for a, b in spans], pa.binary()), "bits": pa.array([m[0] for m in mine], pa.binary()), "heads": pa.array([m[1] for m in mine], pa.binary()), "place": pa.array([m[2] for m in mine], pa.int64())})
 
 
 def led_postings(spark: SparkSession, paths: C.Chunked, numbers: dict[str, int]) -> DataFrame:
     """Rows of LED: postings travel as summaries by chunk, not as rows."""
     row, count = F.col("_metadata.row_index"), paths.rows
-    rows = spark.read.parquet(*paths).where("own and tokens is not null").select("rep", "n", "rare", "tokens", F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(count)).cast("long").alias("chunk"))
+    rows = spark.read.parquet(*paths).where("own and grams is not null").select("rep", "n", "rare", "grams", "often", F.col("_metadata.file_path").alias("file"), F.floor(row / F.lit(count)).cast("long").alias("chunk"))
     sent = rows.mapInArrow(_holder_blocks(paths.slices), C.BLOCK)
     every = C.chunks_of(spark, paths).unionByName(sent.groupBy("slice").applyInArrow(_leaders, C.BLOCK))
     return persist(C.by_place(every, paths).applyInArrow(lambda t: _led(t, numbers, count), LED), "postings")
 
 
+def _first_shared(marks: list[np.ndarray], left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Of each two of these classes (at most about 2 GROUP) the first mark that both hold, 0 if there is none; and the value
+    in `left`, one for each mark of each class, that it has in the first of the two."""
+    m = len(marks)
+    token, who = np.concatenate(marks), np.repeat(np.arange(m), [len(t) for t in marks])
+    order = np.argsort(token, kind="stable")
+    token, who = token[order], who[order]
+    cut = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    end = np.append(cut[1:], len(token))[: len(cut)]
+    first, rest = np.zeros((m, m), np.uint64), None if left is None else np.zeros((m, m), np.int64)
+    if len(cut):
+        # of the marks that the same classes hold, the first will do
+        holders = np.add.reduceat(C.mix(who.astype(np.uint64) + C.BASE[0]), cut)
+        cut, end, holders = (x[end - cut > 1] for x in (cut, end, holders))
+        one = np.sort(np.unique(holders, return_index=True)[1])
+        for a, b in zip(cut[one][::-1].tolist(), end[one][::-1].tolist(), strict=True):
+            w = who[a:b]
+            at = w[:, None], w[None]
+            first[at] = token[a]
+            if rest is not None:
+                rest[at] = left[order[a:b]][:, None]
+    return first, rest
+
+
 def _survivors(table: pa.Table) -> pa.Table:
-    """Of one task of a group: the classes with a partner that positions and signatures allow, and where the group's
-    shingles are in them."""
+    """Of one task of a group: the classes with a partner that first marks, positions and signatures allow, and where the
+    group's marks are in them."""
     leader, i, j = (table.column(c)[0].as_py() for c in ("leader", "i", "j"))
-    place, n, shared, block = (table.column(c).to_numpy() for c in ("place", "n", "shared", "block"))
-    tokens, ats, bits = (table.column(c).to_pylist() for c in ("tokens", "ats", "bits"))
+    place, n, block = (table.column(c).to_numpy() for c in ("place", "n", "block"))
+    tokens, ats, bits, heads = (table.column(c).to_pylist() for c in ("tokens", "ats", "bits", "heads"))
     m = len(place)
-    token, at = np.frombuffer(b"".join(tokens), np.uint64), np.frombuffer(b"".join(ats), np.int32).astype(np.int64)
-    who = np.repeat(np.arange(m), [len(a) // 4 for a in ats])
-    order = np.argsort(token, kind="stable")
-    token, at, who = token[order], at[order], who[order]
-    cut = np.append(np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token))
-    may = np.zeros((m, m), bool)  # m is at most about 2 GROUP
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if b - a > 1:
-            w = who[a:b]
-            left = n[w] - at[a:b]
-            may[w[:, None], w[None]] |= 160 * np.minimum(left[:, None], left[None]) >= 60 * (n[w][:, None] + n[w][None])
+    at = np.frombuffer(b"".join(ats), np.int32).astype(np.int64)
+    first, left = _first_shared([np.frombuffer(t, np.uint64) for t in tokens], np.repeat(n, [len(a) // 4 for a in ats]) - at)
+    before = _first_shared([np.frombuffer(t, np.uint64) for t in heads])[0]
+    may = (first > 0) & ((before == 0) | (before >= first)) & (8 * np.minimum(left, left.T) >= n[:, None] + n[None])
+    sizes = 5 * n[:, None] >= 3 * n[None]
+    may &= sizes & sizes.T
     if i != j:
         may &= block[:, None] != block[None]
     x, y = np.nonzero(np.triu(may, 1))
@@ -409,7 +464,7 @@ def _survivors(table: pa.Table) -> pa.Table:
         pairs = np.flatnonzero(narrow == width)
         for p in np.array_split(pairs, max(1, len(pairs) * width // (8 << 20))):
             apart = np.bitwise_count(words[index[x[p]]] ^ words[index[y[p]]]).sum(1, dtype=np.int64)
-            good[p] = 160 * (shared[x[p]] + shared[y[p]] - apart) >= 120 * (n[x[p]] + n[y[p]])
+            good[p] = 4 * apart <= n[x[p]] + n[y[p]]
     alive = np.unique(np.concatenate([x[good], y[good]]))
     return pa.table(
         {
@@ -423,22 +478,28 @@ def _survivors(table: pa.Table) -> pa.Table:
     )
 
 
-SHIPPED = "leader long, i int, j int, block int, ats binary, rep long, low long, mult long, n long, rare int, tokens binary"
+SHIPPED = "leader long, i int, j int, block int, ats binary, rep long, low long, mult long, n long, grams binary, often binary"
 
 
 def _ship(table: pa.Table, files: list[str], count: int) -> pa.Table:
-    """The sets that the groups ask of one chunk, read from its file. Shingles that a class alone holds can't be shared: the
-    part of the set behind them is shipped, and a set once a group."""
+    """The sets that the groups ask of one chunk, read from its file; a set is shipped once a group."""
     place = table.column("place").to_numpy()
     row = place & ((1 << 40) - 1)
     chunk = int(row[0]) // count
-    rows = C.read_chunk(files[int(place[0] >> 40)], chunk, count, ["rep", "low", "mult", "n", "rare", "tokens"])
+    rows = C.read_chunk(files[int(place[0] >> 40)], chunk, count, ["rep", "low", "mult", "n", "grams", "often"])
     asked, which = np.unique(row - chunk * count, return_inverse=True)
     rows = rows.take(pa.array(asked))
-    tokens = [C.squeeze(C.loosen(t, np.uint64)[r:]) for t, r in zip(rows.column("tokens").to_pylist(), rows.column("rare").to_pylist(), strict=True)]
     which = pa.array(which)
-    out = {c: table.column(c) for c in ("leader", "i", "j", "block", "ats")} | {c: rows.column(c).take(which) for c in ("rep", "low", "mult", "n", "rare")}
-    return pa.table(out | {"tokens": pa.array(tokens, pa.binary()).take(which)})
+    return pa.table({c: table.column(c) for c in ("leader", "i", "j", "block", "ats")} | {c: rows.column(c).take(which) for c in ("rep", "low", "mult", "n", "grams", "often")})
+
+
+def _ranked(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sets' shingles as ranks, those that fewest of the sets hold first, without those that one set alone holds."""
+    shingle, which, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(shingle), np.uint64)
+    rank[np.lexsort((shingle, held))] = np.arange(len(shingle), dtype=np.uint64)
+    ends = np.cumsum([len(s) for s in sets])[:-1]
+    return [np.sort(r[h > 1]) for r, h in zip(np.split(rank[which], ends), np.split(held[which], ends), strict=True)]
 
 
 class Trie:
@@ -525,9 +586,10 @@ def _links(table: pa.Table) -> pa.Table:
     """Of one task of a group: for each class the documents that it links with here, and its root in a spanning forest."""
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     rep, mult, block = (table.column(c).to_numpy() for c in ("rep", "mult", "block"))
-    sets = [C.loosen(b, np.uint64) for b in table.column("tokens").to_pylist()]
+    held = [_unfold(g, o) for g, o in zip(table.column("grams").to_pylist(), table.column("often").to_pylist(), strict=True)]
+    sets, order = [x[0] for x in held], [x[1] for x in held]
     ats = [np.frombuffer(b, np.int32) for b in table.column("ats").to_pylist()]
-    size, rare = table.column("n").to_numpy(), table.column("rare").to_numpy()
+    size = table.column("n").to_numpy()
     m = len(sets)
     partners = np.zeros(m, np.int64)
     root = list(range(m))
@@ -538,28 +600,27 @@ def _links(table: pa.Table) -> pa.Table:
             k = root[k]
         return k
 
-    def pair(a: int, b: int) -> None:
-        if rep[a] == rep[b] or i != j and block[a] == block[b]:
-            return
-        both = np.intersect1d(sets[a], sets[b], assume_unique=True)
-        first = np.searchsorted(sets[a], both[0]) + rare[a]
-        where = ats[a]
-        k = np.searchsorted(where, first)
-        if k < len(where) and where[k] == first:  # their first common shingle is led by this group
-            partners[a] += mult[b]
-            partners[b] += mult[a]
-            x, y = find(a), find(b)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-
     if m:
-        trie = Trie(sets, size)
-        place = np.empty(m, np.int64)
-        place[trie.order] = np.arange(m)
-        for a in range(m):
-            for k in trie.overlaps(sets[a], int(size[a]))[0].tolist():
-                if k > place[a]:
-                    pair(a, trie.order[k])
+        # the pairs whose first common mark is led by this group
+        mine = np.isin(_first_shared(order)[0], np.concatenate([o[a] for o, a in zip(order, ats, strict=True)]))
+        np.fill_diagonal(mine, False)
+        if i != j:
+            mine &= block[:, None] != block[None]
+        some = np.flatnonzero(mine.any(1))
+        if len(some):
+            sets = _ranked([sets[k] for k in some.tolist()])
+            trie = Trie(sets, size[some])
+            ordered = some[trie.order]
+            for k, a in enumerate(ordered.tolist()):
+                found = trie.overlaps(sets[trie.order[k]], int(size[a]))[0]
+                others = ordered[found[found > k]]
+                others = others[mine[a, others]]
+                partners[a] += mult[others].sum()
+                partners[others] += mult[a]
+                for b in others.tolist():
+                    x, y = find(a), find(b)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
     at = np.flatnonzero(partners)
     low = table.column("low").to_numpy()
     return pa.table({"rep": pa.array(rep[at], pa.int64()), "low": pa.array(low[at], pa.int64()), "partners": pa.array(partners[at], pa.int64()), "root": pa.array([int(rep[find(k)]) for k in at.tolist()], pa.int64())})
@@ -614,7 +675,7 @@ def links(sets: DataFrame) -> DataFrame:
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / F.lit(GROUP))).cast("int")
     posts = posts.join(sizes.where("m > 1").select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    held = ["place", "n", "shared", "tokens", "ats", "bits", "block"]
+    held = ["place", "n", "tokens", "ats", "bits", "heads", "block"]
     tasks = posts.select("leader", *held, other.alias("other"))
     tasks = tasks.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *held)
     alive = tasks.groupBy("leader", "i", "j").applyInArrow(_survivors, "leader long, i int, j int, place long, block int, ats binary")

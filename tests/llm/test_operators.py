@@ -423,6 +423,54 @@ def test_ngram_join_of_equal_and_missing_ids(spark):
         assert found == sorted([(i, 11, 2, 2, i), (i, 12, 2, 2, i), (2, 12, 2, 2, 2), (i, 11, 2, 3, i), (i, 11, 2, 3, i), (3, 12, 2, 3, 3), (i, 0, 0, i, i)])
 
 
+def test_similar_sets_share_marks():
+    r = np.random.default_rng(11)
+    seen = 0
+    for _ in range(4000):
+        m = int(r.integers(1, 60))
+        pool = np.unique(chunks.mix(r.integers(0, 2**63, 2 * m).astype(np.uint64)))
+        a = np.sort(r.choice(pool, m, replace=False))
+        b = np.unique(np.concatenate([a[r.random(m) < r.uniform(0.6, 1)], r.choice(pool, int(r.integers(0, m // 2 + 1)))]))
+        c = len(np.intersect1d(a, b))
+        if 160 * c < 60 * (len(a) + len(b)):
+            continue
+        seen += 1
+        x, y = ngram_join.marks(a), ngram_join.marks(b)
+        both = np.intersect1d(x, y)
+        assert len(x) == len(a) + 1 and len(both) >= 3 * c - len(a) - len(b) + 1 > (len(a) + len(b)) / 8
+        # in any order of marks, the first common one lies in both prefixes, where both have room
+        at, bt = (np.searchsorted(np.sort(z), both[0]) for z in (x, y))
+        assert at < ngram_join.prefix_length(len(a)) and bt < ngram_join.prefix_length(len(b))
+        assert ngram_join._room(len(a), at) >= 3 * len(b) and ngram_join._room(len(b), bt) >= 3 * len(a)
+        t, u = (ngram_join._unfold(*ngram_join._fold(z, np.full(len(z) + 1, 7, np.uint16))) for z in (a, b))
+        assert (t[0] == a).all() and (u[0] == b).all() and (t[1] == np.sort(np.uint64(7 << 48) | x >> np.uint64(16))).all()
+    assert seen > 1000
+
+
+def test_ngram_join_of_few_words(spark):
+    """2000 texts over 100 words: every shingle is in a dozen texts, but only the near copies have candidates, and from 60 %
+    on a pair counts, one shingle less and it doesn't."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(100)}" for _ in range(r.randrange(50, 70))) for _ in range(2000)]
+    base = [f"w{k}" for k in range(100)]
+    for k in range(30):
+        words = r.choice(texts[:20]).split()
+        for _ in range(r.randrange(16)):
+            words[r.randrange(len(words))] = r.choice(base)
+        texts.append(" ".join(words))
+    texts += [" ".join(f"x{k}" for k in range(7)), " ".join(f"x{k}" for k in range(11)), " ".join(f"x{k}" for k in range(12))]  # 6, 10, 11 shingles
+    texts += ["p q", "p q r", "p q r s", "p"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    paths = chunks.written(df, spark)
+    sets = chunks.written(ngram_join.ordered_sets(spark, paths), spark)
+    posts = ngram_join.led_postings(spark, sets, chunks.file_numbers(spark, sets))
+    assert posts.select("rep").distinct().count() < 200
+    got = {r["doc_id"]: (r["n_shingles"], r["n_similar"], r["component_id"]) for r in ngram_join.similar(spark, paths[0]).collect()}
+    assert got == brute_similar(rows)
+    assert got[2030][1:] == (1, 2030) and got[2031][1:] == (2, 2030) and got[2032][1:] == (1, 2030)
+
+
 def test_chunks_follow_the_length_of_rows(spark, tmp_path, monkeypatch):
     """Long rows make smaller chunks, larger tables more slices; results are the same."""
     monkeypatch.setattr(chunks, "CHUNK_BYTES", 2000)
