@@ -72,3 +72,25 @@ def test_typo_helpers(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     for a, b, x in df.select("a", "b", Z.overlap(F.col("a"), F.col("b")).alias("x")).collect():
         assert x == pytest.approx(Z.overlap_text(a, b))
+
+
+def test_terms_in_arrow_equal_the_columns(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, "été №12 K3 x y MIXED_Case", "a" * 7 + " " * 9])], "i int, t string")
+    rows = df.select("t", T.terms(F.col("t")).alias("a"), T.tokens(F.col("t")).alias("b"), T.terms(F.col("t"), "nfkd", unique=True).alias("c"), T.tokens(F.col("t"), "nfkd", unique=True).alias("d")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and [r["c"] for r in rows] == [r["d"] for r in rows]
+
+
+def test_terms_are_made_once(spark):
+    df = spark.createDataFrame([("red widget",)], "t string").select(T.terms(F.col("t")).alias("a")).where(F.size("a") > 0).select(F.array_join("a", " ").alias("s"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and df.first()[0] == "red widget"
+
+
+def test_terms_cut_anywhere(monkeypatch):
+    import pyarrow as pa
+
+    from cairn.functions import words
+
+    texts = [*TEXTS, *(t[k:] for t in TEXTS if t for k in range(1, min(20, len(t)))), None]
+    for size in (4 << 20, 9, 1):
+        monkeypatch.setattr(words, "SLICE_BYTES", size)
+        assert words.term_arrays(pa.array([None, "zz", *texts]).slice(2), "nfkd").to_pylist() == [T.tokenize_text(t, unique=False) for t in texts]
