@@ -14,7 +14,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from cairn.operators.index import Index, averages, doc_terms, document_frequencies, documents, occurrences, postings, proximity_rows, token_arrays
+from cairn.operators.index import Index, averages, doc_terms, document_frequencies, documents, in_one_row, occurrences, postings, proximity_rows, token_arrays
 from cairn.plans.config import IndexConfig
 from cairn.sources.store import checksum, read_text, verify, write_text
 
@@ -34,10 +34,11 @@ def write_segment(batch: DataFrame, number: int, cfg: IndexConfig, path: str) ->
         held = {"docs": write("docs", documents(batch, cfg)), "tokens": write("tokens", token_arrays(batch, cfg))}
     finally:
         batch.unpersist()
-    counts = held["occurrences"] = write("occurrences", occurrences(held["tokens"], cfg))
+    one_row = in_one_row(held["tokens"], cfg)
+    counts = held["occurrences"] = write("occurrences", occurrences(held["tokens"], cfg, one_row))
     n = held["docs"].count()
     pairs = proximity_rows(held["tokens"], cfg) if cfg.expansion_terms_per_doc > 0 else None
-    write("doc_terms", doc_terms(counts, pairs, cfg, averages(counts, cfg, n)))
+    write("doc_terms", doc_terms(counts, pairs, cfg, averages(counts, cfg, n), held["tokens"] if one_row else None))
     write_text(spark, f"{path}/manifest/segment={number}.json", json.dumps({"segment": number, "docs": n, "checksums": {k: checksum(df) for k, df in held.items()}}, sort_keys=True))
 
 
@@ -56,7 +57,7 @@ def read_segments(spark: SparkSession, path: str, cfg: IndexConfig, numbers: lis
     n = tables["docs"].count()
     mean = averages(tables["occurrences"], cfg, n)
     pairs = proximity_rows(tables["tokens"], cfg) if cfg.expansion_terms_per_doc > 0 else None
-    tables["doc_terms"] = doc_terms(tables["occurrences"], pairs, cfg, mean)
+    tables["doc_terms"] = doc_terms(tables["occurrences"], pairs, cfg, mean, tables["tokens"] if in_one_row(tables["tokens"], cfg) else None)
     tables["terms"] = document_frequencies(tables["doc_terms"])
     tables["postings"] = postings(tables["doc_terms"], tables["terms"], n)
     return Index(spark, cfg, n, mean, tables, path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cairn.functions import text as T
 from cairn.operators import layout, quality, search as S
 from cairn.operators.filters import Filters
-from cairn.operators.index import authority, authority_rows, build, bundle_seeds, postings, top_rows
+from cairn.operators.index import authority, authority_rows, build, bundle_seeds, doc_terms, in_one_row, occurrences, postings, top_rows
 from cairn.plans.config import Authority, IndexConfig, Number, TextField
 
 CONFIG = IndexConfig(text=(TextField("title", phrase=True),), numbers=(Number("size"),), authority=(Authority("title"),), id_path="doc", bundles=True, bundle_rows=4, sort_replicas=(("size", "desc"),))
@@ -70,3 +70,27 @@ def test_bundles_know_what_follows(ix):
     full = S.scores(ix.postings, ["w1", "x2"]).orderBy(F.desc("score"), "doc").collect()
     assert [(r["doc"], r["score"]) for r in rows] == [(r["doc"], r["score"]) for r in full[:4]]
     assert {(r["total"], r["next_score"], r["next_doc"]) for r in rows} == {(len(full), full[4]["score"], full[4]["doc"])}
+
+
+def test_counts_inside_the_row_equal_the_shuffled_ones(spark):
+    cfg = IndexConfig(text=(TextField("body"),), id_path="doc", body_chars=0, terms_per_doc=3)
+    tokens = spark.createDataFrame([(1, 0, ["b", "a", "b", "c", "d", "9"]), (2, 0, ["a"]), (3, 0, ["z", "y", "z", "y", "x", "w"])], "doc long, f int, terms array<string>")
+    assert in_one_row(tokens, cfg) and not in_one_row(tokens.unionAll(tokens), cfg)
+    assert not in_one_row(tokens, IndexConfig(text=(TextField("body", phrase=True),))) and not in_one_row(tokens, IndexConfig())
+    want, got = occurrences(tokens, cfg), occurrences(tokens, cfg, True)
+    assert want.dtypes == got.dtypes and sorted(want.collect()) == sorted(got.collect())
+    mean = {"body": 4.0}
+    full, short = doc_terms(want, None, cfg, mean), doc_terms(got, None, cfg, mean, tokens)
+    assert full.dtypes == short.dtypes and sorted(full.collect()) == sorted(short.collect()) and "Exchange" not in plan(short) and "Exchange" not in plan(got)
+
+
+def test_counts_cut_anywhere(monkeypatch):
+    import pyarrow as pa
+
+    from cairn.functions import words
+
+    lists = [["b", "a", "b"], None, [], ["c", "b", "a", "a", "b"], ["x"]]
+    for size in (1, 4, 500):
+        monkeypatch.setattr(words, "SLICE_TERMS", size)
+        got = words.count_arrays(pa.array([["q"], *lists], pa.list_(pa.string())).slice(1), 2).to_pylist()
+        assert [[(p["term"], p["n"]) for p in x] for x in got] == [[("b", 2), ("a", 1)], [], [], [("a", 2), ("b", 2)], [("x", 1)]]
