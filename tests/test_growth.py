@@ -94,3 +94,12 @@ def test_counts_cut_anywhere(monkeypatch):
         monkeypatch.setattr(words, "SLICE_TERMS", size)
         got = words.count_arrays(pa.array([["q"], *lists], pa.list_(pa.string())).slice(1), 2).to_pylist()
         assert [[(p["term"], p["n"]) for p in x] for x in got] == [[("b", 2), ("a", 1)], [], [], [("a", 2), ("b", 2)], [("x", 1)]]
+
+
+def test_block_bounds_in_one_pass(spark):
+    rows = [(t, d, (d * 31) % 17) for t in ("a", "b") for d in range(0, 90, 1 if t == "a" else 7)]
+    found = layout.block_bounds(spark.createDataFrame(rows, "term string, doc long, impact long"), 8)
+    assert "unboundedfollowing" not in plan(found)
+    for r in found.collect():
+        assert r["rest"] == max(i for t, d, i in rows if t == r["term"] and d // 8 >= r["block"])
+        assert (r["most"], r["n"]) == (max(own := [i for t, d, i in rows if t == r["term"] and d // 8 == r["block"]]), len(own))
